@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -105,12 +105,16 @@ def tokens(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(_c(c)), r"\s+"), lambda t: t != "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Softmax of an array of doubles."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda p: p / total)
+    shifted = bind(scores, lambda s: bind(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+    return bind(shifted, lambda p: bind(
+        F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def lexicon_logit(words: Column, weights: Mapping[str, float]) -> Column:

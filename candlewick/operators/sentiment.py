@@ -29,12 +29,12 @@ class LexiconScorer:
         return list(self.weights)
 
     def scores(self, text: Column) -> Column:
-        words = X.tokens(text)
-        size = F.greatest(F.size(words), F.lit(1)).cast("double")
-        logits = F.array(*[
-            X.lexicon_logit(words, w) / size * F.lit(self.scale) + F.lit(float(self.bias.get(l, 0.0)))
-            for l, w in self.weights.items()])
-        return X.softmax(logits)
+        def logits(words: Column) -> Column:
+            size = F.greatest(F.size(words), F.lit(1)).cast("double")
+            return F.array(*[
+                X.lexicon_logit(words, w) / size * F.lit(self.scale) + F.lit(float(self.bias.get(l, 0.0)))
+                for l, w in self.weights.items()])
+        return X.softmax(X.bind(X.tokens(text), logits))
 
 
 def score_text(df: DataFrame, text: str, scorer: LexiconScorer, prefix: str = "sentiment_") -> DataFrame:

@@ -361,3 +361,303 @@ SELECT series_id, ds, round(volume - taker_buy_base_asset_volume, 6) AS sell_vol
 def notional(spark, sf):
     out = I.notional(T.bars(spark, sf)).select(*KEY, "ds", "sell_volume", "sell_notional")
     return rounded(out, ["sell_volume", "sell_notional"])
+
+
+# -- posts: versions, memos, text --------------------------------------------------------------------
+
+NEWEST = "(fetch_datetime IS NULL) DESC, fetch_datetime DESC, self_text_md5 DESC, event_id DESC"
+
+
+@register("latest_snapshot", O._with(O.SNAPSHOTS, f"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {NEWEST}) AS rn FROM snapshots)""")
+    + "SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1")
+def latest_snapshot(spark, sf):
+    return DD.latest_per_id(T.snapshots(spark, sf), tie=("self_text_md5", "event_id"))
+
+
+@register("latest_snapshot_dated", O._with(O.SNAPSHOTS, """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (fetch_datetime IS NULL), fetch_datetime DESC, self_text_md5 DESC, event_id DESC) AS rn FROM snapshots)""")
+    + "SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1")
+def latest_snapshot_dated(spark, sf):
+    return DD.latest_per_id(T.snapshots(spark, sf), tie=("self_text_md5", "event_id"), nulls="lose")
+
+
+@register("latest_snapshot_stamped", O._with(O.SNAPSHOTS, """
+stamped AS (SELECT * REPLACE (coalesce(fetch_datetime, TIMESTAMP '2024-02-01 00:00:00') AS fetch_datetime) FROM snapshots),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetch_datetime DESC, self_text_md5 DESC, event_id DESC) AS rn FROM stamped)""")
+    + "SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1")
+def latest_snapshot_stamped(spark, sf):
+    return DD.latest_per_id(DD.stamp_missing(T.snapshots(spark, sf), "fetch_datetime", "2024-02-01 00:00:00"),
+                            tie=("self_text_md5", "event_id"))
+
+
+@register("upsert_memo", O._with(O.POSTS, O.MEMO, f"""
+batch AS (SELECT id, self_text_md5, {O.relevance('body')} AS is_relevant, created_at AS fetch_datetime FROM posts),
+both_sides AS (SELECT * FROM memo UNION ALL SELECT * FROM batch),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (fetch_datetime IS NULL) DESC, fetch_datetime DESC, self_text_md5 DESC) AS rn FROM both_sides)""")
+    + "SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1")
+def upsert_memo(spark, sf):
+    batch = T.posts(spark, sf).select("id", "self_text_md5", X.mentions_any("body").alias("is_relevant"),
+                                      F.col("created_at").alias("fetch_datetime"))
+    return DD.upsert(T.relevance_memo(spark, sf), batch)
+
+
+@register("keyword_relevance", O._with(O.CLEAN, O.MEMO, f"""
+known AS (SELECT c.id, c.clean_text, m.is_relevant FROM cleaned c LEFT JOIN memo m USING (id, self_text_md5))""") + f"""
+SELECT id, coalesce(is_relevant, {O.relevance('clean_text')}) AS is_relevant FROM known WHERE is_relevant IS DISTINCT FROM FALSE""")
+def keyword_relevance(spark, sf):
+    posts = T.with_text(T.posts(spark, sf))
+    return DD.judge_relevance(posts, T.relevance_memo(spark, sf), "clean_text",
+                              X.mentions_any("clean_text")).select("id", "is_relevant")
+
+
+@register("score_reuse_split", O._with(O.SCORED, O.MEMO, """
+held AS (SELECT m.id, m.self_text_md5, s.sentiment_positive FROM memo m JOIN scored s ON s.id = m.id),
+looked AS (SELECT p.id, h.sentiment_positive AS s FROM posts p LEFT JOIN held h USING (id, self_text_md5))""") + """
+SELECT id, CASE WHEN s IS NULL THEN 'to_score' ELSE 'reused' END AS part, round(s, 6) AS s_positive FROM looked""")
+def score_reuse_split(spark, sf):
+    scores = T.scored(spark, sf).select("id", F.col("sentiment_labels").alias("his_sentiment_labels"),
+                                        F.col("sentiment_scores").alias("his_sentiment_scores"))
+    memo = T.relevance_memo(spark, sf).select("id", "self_text_md5").join(scores, "id")
+    posts = T.posts(spark, sf).select("id", "self_text_md5")
+    done, todo = DD.reuse_scores(posts, memo, ["sentiment_labels", "sentiment_scores"])
+    both = done.withColumn("part", F.lit("reused")).unionByName(todo.withColumn("part", F.lit("to_score")))
+    wide = S.scores_to_columns(both, "sentiment_labels", "sentiment_scores", ["positive"], "s_")
+    return rounded(wide.select("id", "part", "s_positive"), ["s_positive"])
+
+
+@register("score_memo_upsert", O._with(O.SCORED, O.MEMO, """
+old AS (SELECT m.id, m.self_text_md5, m.fetch_datetime, s.sentiment_positive + 1 AS p FROM memo m JOIN scored s USING (id)),
+fresh AS (SELECT id, self_text_md5, created_at AS fetch_datetime, sentiment_positive AS p FROM scored WHERE sentiment_positive IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetch_datetime DESC, self_text_md5 DESC) AS rn
+           FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh))""")
+    + "SELECT id, self_text_md5, fetch_datetime, round(p, 6) AS p FROM ranked WHERE rn = 1")
+def score_memo_upsert(spark, sf):
+    wide = T.scored_wide(spark, sf)
+    fresh = wide.select("id", "self_text_md5", F.col("created_at").alias("fetch_datetime"), F.col("sentiment_positive").alias("p"))
+    old = (T.relevance_memo(spark, sf).drop("is_relevant")
+           .join(wide.select("id", (F.col("sentiment_positive") + 1).alias("p")), "id"))
+    return rounded(DD.upsert(old, fresh, require=["p"]), ["p"])
+
+
+@register("clean_text", O._with(O.CLEAN) + "SELECT id, clean_text FROM cleaned")
+def clean_text(spark, sf):
+    return T.with_text(T.posts(spark, sf)).select("id", "clean_text")
+
+
+@register("text_lengths", O._with(O.CLEAN) + """
+SELECT link_flair_text, count(*) AS n_posts, sum(length(body))::BIGINT AS total_length, sum(least(length(body), 514))::BIGINT AS truncated_length,
+       (count(*) FILTER (length(body) > 514))::BIGINT AS over_limit FROM cleaned GROUP BY 1""")
+def text_lengths(spark, sf):
+    p = T.posts(spark, sf)
+    return p.groupBy("link_flair_text").agg(
+        F.count(F.lit(1)).alias("n_posts"), F.sum(F.length("body")).alias("total_length"),
+        F.sum(F.length(X.truncated("body"))).alias("truncated_length"),
+        F.count_if(F.length("body") > X.MODEL_TEXT_LENGTH).alias("over_limit"))
+
+
+@register("md5_check", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS self_text_md5 FROM documents")
+def md5_check(spark, sf):
+    return table_text(spark, sf).select("id", X.fingerprint("text").alias("self_text_md5"))
+
+
+def table_text(spark, sf):
+    return T.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+
+
+@register("post_previews", O._with(O.CLEAN) + """
+SELECT id, left(clean_text, 220) || '...' AS preview, 'https://www.reddit.com' || permalink AS link,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_str FROM cleaned""")
+def post_previews(spark, sf):
+    p = T.with_text(T.posts(spark, sf))
+    return p.select("id", X.preview("clean_text").alias("preview"), X.link("permalink").alias("link"),
+                    D.stamp_text("created_at").alias("created_str"))
+
+
+@register("masked_tokens", """
+SELECT CAST(doc_id AS VARCHAR) AS id, md5(array_to_string(list_transform(string_split(text, ' '), lambda t:
+  CASE WHEN starts_with(t, '@') AND length(t) > 1 THEN '@user' WHEN starts_with(t, 'http') THEN 'http' ELSE t END), ' ')) AS masked FROM documents""")
+def masked_tokens(spark, sf):
+    return table_text(spark, sf).select("id", F.md5(X.mask_users_and_links("text")).alias("masked"))
+
+
+@register("excluded_authors", O._with(O.POSTS) + "SELECT id, author, score FROM posts WHERE NOT coalesce(contains(author, 'u1'), FALSE) AND score > 1")
+def excluded_authors(spark, sf):
+    p = T.posts(spark, sf).select("id", "author", "score")
+    return p.where(X.excludes("author", "u1") & (F.col("score") > 1))
+
+
+@register("lexicon_scores", O._with(O.SCORED) + f"SELECT id, {O.r('sentiment_negative', 'sentiment_neutral', 'sentiment_positive', 'emotion_fear', 'emotion_joy', 'emotion_neutral')} FROM scored")
+def lexicon_scores(spark, sf):
+    s = S.scores_to_columns(T.scored_wide(spark, sf), "emotion_labels", "emotion_scores", T.EMOTION.labels, "emotion_")
+    cols = [f"sentiment_{l}" for l in T.SENTIMENT.labels] + [f"emotion_{l}" for l in T.EMOTION.labels]
+    return rounded(s.select("id", *cols), cols)
+
+
+@register("scores_exploded", O._with(O.SCORED) + """
+SELECT id, unnest(['negative', 'neutral', 'positive']) AS sentiment_label,
+       round(unnest([sentiment_negative, sentiment_neutral, sentiment_positive]), 6) AS sentiment_score FROM scored WHERE sentiment_neutral IS NOT NULL
+UNION ALL SELECT id, NULL, NULL FROM scored WHERE sentiment_neutral IS NULL""")
+def scores_exploded(spark, sf):
+    s = T.scored(spark, sf).select("id", "sentiment_labels", "sentiment_scores")
+    return rounded(S.explode_scores(s, "sentiment_labels", "sentiment_scores", "sentiment_"), ["sentiment_score"])
+
+
+@register("scores_pivoted", O._with(O.SCORED) + f"SELECT id, {O.r('emotion_fear', 'emotion_joy', 'emotion_neutral')} FROM scored")
+def scores_pivoted(spark, sf):
+    e = S.explode_scores(T.scored(spark, sf).select("id", "emotion_labels", "emotion_scores"),
+                         "emotion_labels", "emotion_scores", "emotion_")
+    out = S.pivot_scores(e, "id", "emotion_label", "emotion_score", T.EMOTION.labels, "emotion_")
+    return rounded(out, [f"emotion_{l}" for l in T.EMOTION.labels])
+
+
+@register("ranked_labels", O._with(O.SCORED) + """
+SELECT id, CASE WHEN sentiment_positive = top THEN 'positive' WHEN sentiment_neutral = top THEN 'neutral' WHEN sentiment_negative = top THEN 'negative' END AS top_label,
+       round(top, 4) AS top_score FROM (SELECT id, round(sentiment_negative, 4) AS sentiment_negative, round(sentiment_neutral, 4) AS sentiment_neutral,
+  round(sentiment_positive, 4) AS sentiment_positive, greatest(round(sentiment_negative, 4), round(sentiment_neutral, 4), round(sentiment_positive, 4)) AS top FROM scored)""")
+def ranked_labels(spark, sf):
+    s = T.scored(spark, sf).select("id", X.ranked_labels(F.col("sentiment_labels"), F.col("sentiment_scores")).alias("r"))
+    top = F.get("r", F.lit(0))
+    return s.select("id", top["label"].alias("top_label"), top["score"].alias("top_score"))
+
+
+@register("dominant_sentiment", O._with(O.SCORED) + """
+SELECT id, CASE greatest(sentiment_negative, sentiment_neutral, sentiment_positive) WHEN sentiment_negative THEN 'negative' WHEN sentiment_neutral THEN 'neutral' WHEN sentiment_positive THEN 'positive' END AS senti_most,
+       CAST(CASE WHEN sentiment_positive > sentiment_negative AND sentiment_positive > sentiment_neutral THEN 1
+                 WHEN sentiment_negative > sentiment_positive AND sentiment_negative > sentiment_neutral THEN -1 ELSE 0 END AS INTEGER) AS senti_dir FROM scored""")
+def dominant_sentiment(spark, sf):
+    p = T.sentiment_posts(spark, sf)
+    c = {l: F.col(f"sentiment_{l}") for l in S.SENTIMENTS}
+    return p.select("id", M.dominant(list(c.items())).alias("senti_most"),
+                    M.direction(c["positive"], c["negative"], c["neutral"]).alias("senti_dir"))
+
+
+@register("term_counts", O._with(O.CLEAN, O.TOKENS, "terms AS (SELECT unnest(words) AS term FROM tokenized)")
+          + "SELECT term, count(*) AS n FROM terms GROUP BY 1 ORDER BY n DESC, term LIMIT 100")
+def term_counts(spark, sf):
+    return S.term_counts(T.with_text(T.posts(spark, sf)), "clean_text", 100)
+
+
+@register("json_props", """
+SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS prop_k, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def json_props(spark, sf):
+    e = T.table(spark, sf, "events").select("event_type", "value", F.from_json("props", "k BIGINT").alias("s"))
+    out = e.groupBy("event_type", F.col("s.k").alias("prop_k")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return rounded(out, ["total"])
+
+
+# -- hourly sentiment ---------------------------------------------------------------------------------
+
+@register("sentiment_hourly", O._with(O.SCORED, O.HOURLY) + f"SELECT ds, {O.r(*O.SENTI_COLS)}, post_count_by_hour FROM hourly")
+def sentiment_hourly(spark, sf):
+    return rounded(T.sentiment_hourly(spark, sf), O.SENTI_COLS)
+
+
+@register("sentiment_interpolated", O._with(O.SCORED, O.GRID) + f"SELECT ds, {O.r(*O.SENTI_COLS, 'post_count_by_hour')} FROM sgrid")
+def sentiment_interpolated(spark, sf):
+    return rounded(T.sentiment_grid(spark, sf), [*O.SENTI_COLS, "post_count_by_hour"])
+
+
+@register("sentiment_features", O._with(O.SCORED, O.GRID, O.FEATURES) + f"SELECT ds, {O.r(*O.ALL_FEATURE_COLS)} FROM sfull")
+def sentiment_features(spark, sf):
+    out = S.sentiment_features(T.sentiment_grid(spark, sf))
+    return rounded(out, O.ALL_FEATURE_COLS)
+
+
+SCORE_SQL = "0 * tw_avg_negative + 50 * tw_avg_neutral + 100 * tw_avg_positive"
+
+
+@register("sentiment_score", O._with(O.SCORED, O.GRID, O.FEATURES) + f"""
+SELECT ds, CAST(trunc({SCORE_SQL}) AS INTEGER) AS sentiment_score,
+       CASE WHEN trunc({SCORE_SQL}) < 34 THEN 'negative' WHEN trunc({SCORE_SQL}) < 67 THEN 'neutral' ELSE 'positive' END AS band,
+       CASE WHEN trunc({SCORE_SQL}) < 33 THEN 'negative' WHEN trunc({SCORE_SQL}) < 67 THEN 'neutral' ELSE 'positive' END AS gauge FROM sfull""")
+def sentiment_score(spark, sf):
+    out = S.sentiment_score(S.sentiment_features(T.sentiment_grid(spark, sf)))
+    return out.select("ds", "sentiment_score", M.score_band("sentiment_score").alias("band"),
+                      M.score_band("sentiment_score", 33).alias("gauge"))
+
+
+@register("time_weighted_price", O._with(O.BASE, f"""
+k AS (SELECT series_id, ds, y, list(y) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS l FROM dense)""") + f"""
+SELECT series_id, ds, y, CASE WHEN len(l) = 120 THEN round(list_sum(list_transform(l, lambda v, i: v * power(0.5, i / 120.0))) / {sum(0.5 ** ((120 - l) / 120) for l in range(120))!r}::DOUBLE, 6) END AS tw_oldest,
+       CASE WHEN len(l) = 120 THEN round(list_sum(list_transform(l, lambda v, i: v * power(0.5, (121 - i) / 120.0))) / {sum(0.5 ** ((l + 1) / 120) for l in range(120))!r}::DOUBLE, 6) END AS tw_recent FROM k""")
+def time_weighted_price(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=119)
+    w.add(tw_oldest=R.kernel_average(w, "ds", "y"), tw_recent=R.kernel_average(w, "ds", "y", kernel="recent"))
+    return rounded(w.done(), ["tw_oldest", "tw_recent"])
+
+
+@register("fill_gaps", O._with(O.BASE) + """
+SELECT series_id, ds, last_value(own_y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds) AS filled,
+       first_value(own_y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_y FROM raw_dense""")
+def fill_gaps(spark, sf):
+    g = G.densify(T.bars(spark, sf).select(*KEY, "ds", "y"), KEY)
+    near = R._with_neighbours(g, KEY, "ds", ["y"], R.BLOCK_STEPS, times=False)
+    return near.select(*KEY, "ds", F.coalesce("y", "_prev_y").alias("filled"), F.coalesce("y", "_next_y").alias("next_y"))
+
+
+@register("interpolate_price", O._with(O.BASE, O.interpolated("(SELECT series_id, ds, own_y FROM raw_dense)", ["own_y"], "ip", "series_id"))
+          + "SELECT series_id, ds, round(own_y, 6) AS y FROM ip")
+def interpolate_price(spark, sf):
+    g = G.densify(T.bars(spark, sf).select(*KEY, "ds", "y"), KEY)
+    return rounded(R.interpolate(g, KEY, "ds", ["y"]), ["y"])
+
+
+# -- dashboard tables ------------------------------------------------------------------------------------
+
+TAGGED = """
+top AS (SELECT * FROM scored ORDER BY created_at DESC, id DESC LIMIT 500),
+tagged AS (
+  SELECT id, created_at, upvote_ratio, num_comments, sentiment_negative, sentiment_neutral, sentiment_positive,
+         make_timestamp(epoch_us(created_at) // 21600000000 * 21600000000) AS time_group,
+         CASE greatest(sentiment_negative, sentiment_neutral, sentiment_positive) WHEN sentiment_negative THEN 'negative' WHEN sentiment_neutral THEN 'neutral' WHEN sentiment_positive THEN 'positive' END AS senti_most FROM top)"""
+
+
+@register("rep_posts", O._with(O.SCORED, TAGGED) + f"SELECT id, created_at, upvote_ratio, num_comments, time_group, senti_most, {O.r('sentiment_negative', 'sentiment_neutral', 'sentiment_positive')} FROM tagged")
+def rep_posts(spark, sf):
+    cols = [f"sentiment_{l}" for l in S.SENTIMENTS]
+    p = T.sentiment_posts(spark, sf).select("id", "created_at", "upvote_ratio", "num_comments", *cols)
+    return rounded(S.tag_posts(p), cols)
+
+
+@register("representative_posts", O._with(O.SCORED, TAGGED, """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY senti_most ORDER BY time_group DESC, upvote_ratio, id) AS lo,
+  row_number() OVER (PARTITION BY senti_most ORDER BY time_group DESC, upvote_ratio DESC, id) AS hi FROM tagged)""") + """
+SELECT senti_most, 'low' AS prefer, id, upvote_ratio, time_group FROM ranked WHERE lo = 1
+UNION ALL SELECT senti_most, 'high', id, upvote_ratio, time_group FROM ranked WHERE hi = 1""")
+def representative_posts(spark, sf):
+    tagged = S.tag_posts(T.sentiment_posts(spark, sf))
+    low = S.representative_posts(tagged, "low").withColumn("prefer", F.lit("low"))
+    high = S.representative_posts(tagged, "high").withColumn("prefer", F.lit("high"))
+    return low.unionByName(high).select("senti_most", "prefer", "id", "upvote_ratio", "time_group")
+
+
+# -- look-back panel ----------------------------------------------------------------------------------------
+
+LOOKBACK_COLS = ["sentiment_positive", "sentiment_negative"]
+
+
+@register("lookback_panel", O.lookback_sql((120, 168, 240, 360), LOOKBACK_COLS))
+def lookback_panel(spark, sf):
+    bars = T.bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    w = F.col("relevancy_score") * F.log1p("num_comments")
+    out = L.lookback_panel(bars, T.sentiment_posts(spark, sf), LOOKBACK_COLS, weight=w)
+    return rounded(out, [c for c in out.columns if "_w" in c])
+
+
+@register("lookback_two_weeks", O.lookback_sql((336,), ["sentiment_positive"]).replace(
+    "SELECT b.series_id, b.y AS close_price, a.*",
+    "SELECT b.series_id, a.ds, b.y AS close_price, a.sentiment_positive_rolling_w336, a.sentiment_positive_rolling_wgt_w336"))
+def lookback_two_weeks(spark, sf):
+    bars = T.bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    w = F.col("relevancy_score") * F.log1p("num_comments")
+    out = L.lookback_panel(bars, T.sentiment_posts(spark, sf), ["sentiment_positive"], (336,), weight=w, weighted_only=True)
+    return rounded(out, [c for c in out.columns if "_w" in c])
+
+
+@register("lookback_unaligned", O._with(O.POSTS) + """
+SELECT e.event_id, count(p.id) AS n_posts FROM events e LEFT JOIN posts p
+  ON p.created_at >= e.ts - INTERVAL 120 HOUR AND p.created_at < e.ts GROUP BY 1""")
+def lookback_unaligned(spark, sf):
+    return L.lookback_counts_unaligned(T.events(spark, sf), T.posts(spark, sf), "ts", "created_at", 120, ["event_id"])

@@ -94,7 +94,7 @@ snapshots AS (
 MEMO = """
 memo AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN toxic = 1 THEN text || ' old' ELSE text END) AS self_text_md5,
-         quality = 1 AS is_relevant, make_timestamp((1704067200 + doc_id) * 1000000) AS fetch_datetime
+         quality = 1 AS is_relevant, make_timestamp((1704067200 + doc_id * 900) * 1000000 + 500000) AS fetch_datetime
   FROM documents JOIN labels USING (doc_id))"""
 
 

@@ -104,7 +104,7 @@ def relevance_memo(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(lab, "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), X.fingerprint(text).alias("self_text_md5"),
         (F.col("quality") == 1).alias("is_relevant"),
-        D.from_seconds(F.lit(1704067200.0) + F.col("doc_id")).alias("fetch_datetime"))
+        D.from_seconds(F.lit(1704067200.5) + F.col("doc_id") * 900).alias("fetch_datetime"))
 
 
 def sentiment_hourly(spark: SparkSession, sf: str) -> DataFrame:
