@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as M, textfns as X, timefns as D
-from ..operators import dedupe as DD, grid as G, indicators as I, lookback as L, rolling as R, sentiment as S
+from ..operators import (
+    backtest as B, dedupe as DD, forecast as P, grid as G, indicators as I, lookback as L, metrics as ME,
+    rolling as R, selection as SE, sentiment as S, serve as V, stats as ST)
 from ..operators.ewm import ewm_stds
-from ..sources import readers
+from ..session import work_dir
+from ..sources import readers, schemas as SC
+from ..streaming import streams as STR
 from . import oracle as O, tables as T
 
 KEY = T.KEY
@@ -661,3 +666,563 @@ SELECT e.event_id, count(p.id) AS n_posts FROM events e LEFT JOIN posts p
   ON p.created_at >= e.ts - INTERVAL 120 HOUR AND p.created_at < e.ts GROUP BY 1""")
 def lookback_unaligned(spark, sf):
     return L.lookback_counts_unaligned(T.events(spark, sf), T.posts(spark, sf), "ts", "created_at", 120, ["event_id"])
+
+
+# -- statistics ----------------------------------------------------------------------------------------
+
+DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("describe", " UNION ALL ".join(f"""
+SELECT '{c}' AS field, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max,
+       round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75 FROM lineitem"""
+    for c in DESCRIBED))
+def describe(spark, sf):
+    out = ST.describe(T.table(spark, sf, "lineitem"), DESCRIBED)
+    return rounded(out, ["mean", "std", "q25", "q50", "q75"])
+
+
+@register("histogram", """
+WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+b AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 50.0)), 49)::INTEGER AS bin, count(*) AS n FROM lineitem, e GROUP BY 1),
+g AS (SELECT unnest(generate_series(0, 49))::INTEGER AS bin)
+SELECT g.bin, round(lo + g.bin * ((hi - lo) / 50.0), 6) AS left, round(lo + (g.bin + 1) * ((hi - lo) / 50.0), 6) AS right,
+       coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS percent
+FROM g LEFT JOIN b USING (bin), e""")
+def histogram(spark, sf):
+    return rounded(ST.histogram(T.table(spark, sf, "lineitem"), "l_extendedprice", 50), ["left", "right", "percent"])
+
+
+@register("histogram_by_class", """
+WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT o_orderstatus, least(floor((o_totalprice - lo) / ((hi - lo) / 30.0)), 29)::INTEGER AS bin, count(*) AS n FROM orders, e GROUP BY 1, 2),
+g AS (SELECT o_orderstatus, unnest(generate_series(0, 29))::INTEGER AS bin FROM (SELECT DISTINCT o_orderstatus FROM orders))
+SELECT g.o_orderstatus, g.bin, round(lo + g.bin * ((hi - lo) / 30.0), 6) AS left, round(lo + (g.bin + 1) * ((hi - lo) / 30.0), 6) AS right,
+       coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (PARTITION BY g.o_orderstatus), 6) AS percent
+FROM g LEFT JOIN b USING (o_orderstatus, bin), e""")
+def histogram_by_class(spark, sf):
+    out = ST.histogram(T.table(spark, sf, "orders"), "o_totalprice", 30, "o_orderstatus")
+    return rounded(out, ["left", "right", "percent"])
+
+
+def _box_sql(whisker: float) -> str:
+    return f"""
+WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+f AS (SELECT o.o_totalprice AS v, q.*, v BETWEEN q1 - {whisker} * (q3 - q1) AND q3 + {whisker} * (q3 - q1) AS inside FROM orders o JOIN q USING (o_orderpriority))
+SELECT o_orderpriority, round(any_value(f.q1), 6) AS q1, round(any_value(f.median), 6) AS median, round(any_value(f.q3), 6) AS q3, round(avg(v), 6) AS mean,
+       min(v) FILTER (inside) AS whisker_lo, max(v) FILTER (inside) AS whisker_hi, count(*) FILTER (NOT inside) AS outliers
+FROM f GROUP BY o_orderpriority"""
+
+
+@register("box_stats", _box_sql(1.5))
+def box_stats(spark, sf):
+    out = ST.box_stats(T.table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
+    return rounded(out, ["q1", "median", "q3", "mean"])
+
+
+@register("box_stats_narrow", _box_sql(0.4))
+def box_stats_narrow(spark, sf):
+    out = ST.box_stats(T.table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", 0.4)
+    return rounded(out, ["q1", "median", "q3", "mean"])
+
+
+@register("kde", """
+WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+s AS (SELECT l_returnflag, count(*) AS n, stddev_samp(l_extendedprice) * power(count(*), -0.2) AS h FROM lineitem GROUP BY 1),
+g AS (SELECT i::INTEGER AS point, lo + (hi - lo) * (i / 29.0) AS x FROM e, (SELECT unnest(generate_series(0, 29)) AS i))
+SELECT l.l_returnflag, point, round(x, 6) AS x,
+       round(1e6 * sum(exp(-0.5 * power((l_extendedprice - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
+FROM lineitem l JOIN s USING (l_returnflag), g GROUP BY ALL""")
+def kde(spark, sf):
+    out = ST.kde(T.table(spark, sf, "lineitem"), "l_extendedprice", 30, "l_returnflag")
+    return rounded(out.withColumn("density", F.col("density") * 1e6), ["x", "density"])
+
+
+@register("kde_2d", O._with(O.SCORED, """
+s AS (SELECT count(*) AS n, min(sentiment_positive) AS alo, max(sentiment_positive) AS ahi, min(sentiment_negative) AS blo, max(sentiment_negative) AS bhi,
+      var_samp(sentiment_positive) * power(count(*), -1/3.0) AS vaa, var_samp(sentiment_negative) * power(count(*), -1/3.0) AS vbb,
+      covar_samp(sentiment_positive, sentiment_negative) * power(count(*), -1/3.0) AS vab FROM scored WHERE sentiment_positive IS NOT NULL)""",
+    "d AS (SELECT *, vaa * vbb - vab * vab AS det FROM s)",
+    "g AS (SELECT i::INTEGER AS ia, j::INTEGER AS ib, alo + (ahi - alo) * (i / 7.0) AS ga, blo + (bhi - blo) * (j / 7.0) AS gb, d.* FROM d, (SELECT unnest(generate_series(0, 7)) AS i), (SELECT unnest(generate_series(0, 7)) AS j))") + """
+SELECT ia, ib, round(sum(exp(-0.5 * (vbb * power(p.sentiment_positive - ga, 2) - 2 * vab * (p.sentiment_positive - ga) * (p.sentiment_negative - gb)
+       + vaa * power(p.sentiment_negative - gb, 2)) / det)) / (any_value(n) * 2 * pi() * sqrt(any_value(det))), 6) AS density
+FROM g, scored p WHERE p.sentiment_positive IS NOT NULL GROUP BY 1, 2""")
+def kde_2d(spark, sf):
+    return rounded(ST.kde_2d(T.sentiment_posts(spark, sf), "sentiment_positive", "sentiment_negative", 8), ["density"])
+
+
+@register("author_stats", O._with(O.SCORED) + """
+SELECT author, count(id) AS count, round(avg(score), 6) AS score_avg, round(avg(num_comments), 6) AS num_comments_avg,
+       round(avg(sentiment_positive), 6) AS sentiment_positive_avg, round(stddev_samp(sentiment_positive), 6) AS sentiment_positive_std FROM scored GROUP BY 1""")
+def author_stats(spark, sf):
+    out = ST.author_stats(T.sentiment_posts(spark, sf), "author", "id", ["score", "num_comments", "sentiment_positive"], ["sentiment_positive"])
+    return rounded(out, [c for c in out.columns if c.endswith(("_avg", "_std"))])
+
+
+@register("customer_stats", """
+SELECT o_custkey, count(o_orderkey) AS count, round(avg(o_totalprice), 4) AS o_totalprice_avg, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std FROM orders GROUP BY 1""")
+def customer_stats(spark, sf):
+    out = ST.author_stats(T.table(spark, sf, "orders"), "o_custkey", "o_orderkey", ["o_totalprice"], ["o_totalprice"])
+    return rounded(out, ["o_totalprice_avg", "o_totalprice_std"], 4)
+
+
+@register("value_counts", " UNION ALL ".join(f"""
+SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value, count(*) AS n, round(count(*) / (SELECT count({c}) FROM orders), 6) AS share FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"""
+    for c in ("o_orderstatus", "o_orderpriority")))
+def value_counts(spark, sf):
+    return rounded(ST.value_counts(T.table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]), ["share"])
+
+
+@register("flagged_authors", O._with(O.POSTS) + """
+SELECT id, author, score, num_comments FROM posts WHERE author IN (SELECT author FROM posts WHERE link_flair_text = 'scam')""")
+def flagged_authors(spark, sf):
+    p = T.posts(spark, sf).select("id", "author", "score", "num_comments", "link_flair_text")
+    return ST.posts_by_flagged(p, F.col("link_flair_text").isin("scam")).drop("link_flair_text")
+
+
+@register("quantile_bucket", """
+SELECT o_orderkey, 1 + (o_totalprice > q[1])::INT + (o_totalprice > q[2])::INT + (o_totalprice > q[3])::INT + (o_totalprice > q[4])::INT AS score_quantile
+FROM orders, (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM orders)""")
+def quantile_bucket(spark, sf):
+    return ST.quantile_bucket(T.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").drop("o_totalprice")
+
+
+@register("post_weights", O._with(O.POSTS, "q AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM posts)") + """
+SELECT id, b AS score_quantile, round(b * b * relevancy_score * ln(num_comments + 1), 6) AS weight, b * b AS weight_plain FROM
+ (SELECT *, 1 + (score > q[1])::INT + (score > q[2])::INT + (score > q[3])::INT + (score > q[4])::INT AS b FROM posts, q)""")
+def post_weights(spark, sf):
+    p = T.posts(spark, sf).select("id", "score", "relevancy_score", "num_comments")
+    q = ST.quantile_bucket(p, "score")
+    return q.select("id", "score_quantile", F.round(M.post_weight("score_quantile", "relevancy_score", "num_comments"), 6).alias("weight"),
+                    M.post_weight("score_quantile").cast("int").alias("weight_plain"))
+
+
+@register("signed_returns", O._with(O.SCORED, O.BASE, f"""
+fwd AS (SELECT ds, avg(r) AS r FROM (SELECT ds, lead(y, 120) {O.W} / y - 1 AS r FROM dense) GROUP BY ds),
+dirs AS (SELECT author, id, CASE WHEN epoch_us(created_at) % 3600000000 > 1800000000 OR (epoch_us(created_at) % 3600000000 = 1800000000 AND (epoch_us(created_at) // 3600000000) % 2 = 1)
+            THEN date_trunc('hour', created_at) + INTERVAL 1 HOUR ELSE date_trunc('hour', created_at) END AS ds,
+         CASE WHEN sentiment_positive > sentiment_negative AND sentiment_positive > sentiment_neutral THEN 1
+              WHEN sentiment_negative > sentiment_positive AND sentiment_negative > sentiment_neutral THEN -1 ELSE 0 END AS dir FROM scored)""") + """
+SELECT author, count(id) AS count, round(avg(r * dir), 6) AS ret_adj_avg, round(stddev_samp(r * dir), 6) AS ret_adj_std FROM dirs LEFT JOIN fwd USING (ds) GROUP BY 1""")
+def signed_returns(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    fwd = R.returns(d, KEY, "ds", "y", [120], "fwd").groupBy("ds").agg(F.avg("ret_fwd_120_h").alias("r"))
+    p = T.sentiment_posts(spark, sf)
+    dirs = p.select("author", "id", D.round_hour("created_at").alias("ds"), M.direction(
+        F.col("sentiment_positive"), F.col("sentiment_negative"), F.col("sentiment_neutral")).alias("dir"))
+    both = dirs.join(fwd, "ds", "left").withColumn("ret_adj", F.col("r") * F.col("dir"))
+    return rounded(ST.author_stats(both, "author", "id", ["ret_adj"], ["ret_adj"]), ["ret_adj_avg", "ret_adj_std"])
+
+
+CORR = ["y", "volume", "num_of_trades", "taker_buy_base_asset_volume", "y_upper", "y_lower"]
+
+
+@register("corr_matrix", O._with(O.BARS) + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM bars" for i, a in enumerate(CORR) for b in CORR[i:]))
+def corr_matrix(spark, sf):
+    return rounded(ST.corr_matrix(T.bars(spark, sf), CORR), ["r"])
+
+
+@register("corr_to_target", O._with(O.BARS) + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS field, round(corr({a}, y), 6) AS correl FROM bars" for a in CORR[1:]) + ") WHERE abs(correl) > 0.2")
+def corr_to_target(spark, sf):
+    return rounded(ST.corr_to(T.bars(spark, sf), "y", CORR[1:], 0.2), ["correl"])
+
+
+XCORR = """
+price AS (SELECT series_id, date_trunc('day', ds) AS ds, avg(y) AS x FROM bars GROUP BY ALL),
+mood AS (SELECT date_trunc('day', created_at) AS ds, avg(sentiment_positive) AS y FROM scored GROUP BY 1),
+lags AS (SELECT unnest(generate_series(-20, 19))::INTEGER AS lag),
+pairs AS (SELECT series_id, lag, x, m.y AS y FROM price p, lags l, mood m WHERE m.ds + l.lag * INTERVAL 1 DAY = p.ds)"""
+
+
+def _daily_pair(spark, sf):
+    price = G.resample(T.bars(spark, sf), KEY, D.floor_day("ds"), {"x": F.avg("y")})
+    mood = G.resample(T.sentiment_posts(spark, sf), [], D.floor_day("created_at"), {"y": F.avg("sentiment_positive")})
+    return price, mood
+
+
+@register("cross_corr_pearson", O._with(O.BARS, O.SCORED, XCORR) + "SELECT series_id, lag, round(corr(x, y), 6) AS r FROM pairs GROUP BY 1, 2")
+def cross_corr_pearson(spark, sf):
+    a, b = _daily_pair(spark, sf)
+    return rounded(ST.cross_corr(a, b, KEY, "ds", "x", "y"), ["r"])
+
+
+@register("cross_corr_spearman", O._with(O.BARS, O.SCORED, XCORR, """
+ranked AS (SELECT series_id, lag, rank() OVER (PARTITION BY series_id, lag ORDER BY x) + (count(*) OVER (PARTITION BY series_id, lag, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY series_id, lag ORDER BY y) + (count(*) OVER (PARTITION BY series_id, lag, y) - 1) / 2.0 AS ry FROM pairs)""")
+    + "SELECT series_id, lag, round(corr(rx, ry), 6) AS r FROM ranked GROUP BY 1, 2")
+def cross_corr_spearman(spark, sf):
+    a, b = _daily_pair(spark, sf)
+    return rounded(ST.cross_corr(a, b, KEY, "ds", "x", "y", method="spearman"), ["r"])
+
+
+@register("cross_corr_kendall", O._with(O.BARS, O.SCORED, XCORR, """
+num AS (SELECT series_id, lag, row_number() OVER (PARTITION BY series_id, lag) AS i, x, y FROM pairs),
+signs AS (SELECT a.series_id, a.lag, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM num a JOIN num b ON a.series_id = b.series_id AND a.lag = b.lag AND a.i < b.i)""")
+    + "SELECT series_id, lag, round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 6) AS r FROM signs GROUP BY 1, 2")
+def cross_corr_kendall(spark, sf):
+    a, b = _daily_pair(spark, sf)
+    return rounded(ST.cross_corr(a, b, KEY, "ds", "x", "y", method="kendall"), ["r"])
+
+
+_LB = O.lookback_sql((120, 240), LOOKBACK_COLS)
+_LBF = [f"{c}_rolling{t}_w{k}" for c in LOOKBACK_COLS for t in ('', '_wgt') for k in (120, 240)]
+
+
+@register("weighted_correlation", "WITH panel AS (" + _LB + "), c AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, round(corr({f}, close_price), 6) AS correl FROM panel" for f in _LBF) + """),
+a AS (SELECT regexp_extract(field, '^(.+)_rolling_w([0-9]+)$', 1) AS label, regexp_extract(field, '^(.+)_rolling_w([0-9]+)$', 2) AS w, field, correl FROM c WHERE field NOT LIKE '%wgt%'),
+b AS (SELECT regexp_extract(field, '^(.+)_rolling_wgt_w([0-9]+)$', 1) AS label, regexp_extract(field, '^(.+)_rolling_wgt_w([0-9]+)$', 2) AS w, field AS field_wgt, correl AS correl_wgt FROM c WHERE field LIKE '%wgt%')
+SELECT label, CAST(w AS INTEGER) AS window, field, correl, field_wgt, correl_wgt, round(correl - correl_wgt, 6) AS diff FROM a JOIN b USING (label, w) WHERE abs(correl) > 0.001 OR abs(correl_wgt) > 0.001""")
+def weighted_correlation(spark, sf):
+    bars = T.bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    w = F.col("relevancy_score") * F.log1p("num_comments")
+    panel = rounded(L.lookback_panel(bars, T.sentiment_posts(spark, sf), LOOKBACK_COLS, (120, 240), weight=w), _LBF)
+    correl = rounded(ST.corr_to(panel, "close_price", _LBF), ["correl"])
+    return rounded(ST.compare_weighted(correl, 0.001), ["diff"])
+
+
+# -- model frame and selection ----------------------------------------------------------------------------
+
+@register("model_frame", O._with(O.BASE, O.SCORED, O.GRID) + f"""
+SELECT d.series_id, d.ds, d.y, {O.r(*O.SENTI_COLS)} FROM dense d LEFT JOIN sgrid s USING (ds)""")
+def model_frame(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    s = T.sentiment_grid(spark, sf).drop("post_count_by_hour")
+    return rounded(V.join_model_frame(d, s, KEY, strict=False), O.SENTI_COLS)
+
+
+SELECTED = [*I.FEATURES, "volume", "num_of_trades", "taker_buy_base_asset_volume"]
+
+
+def _features(spark, sf):
+    return I.tech_features(T.dense_bars(spark, sf), KEY)
+
+
+_FEATS = O._with(O.BASE, O.RSI, O.MACD, O.FLOW, O.BANDS, f"""
+feats AS (SELECT * FROM (
+  SELECT f.*, r.RSI, m.MACD, m.MACD_signal, m.MACD_diff, b.bollinger_upper, b.bollinger_lower
+  FROM flow f JOIN rsi r USING (series_id, ds) JOIN macd m USING (series_id, ds) JOIN bands b USING (series_id, ds))
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in I.FEATURES)})""")
+
+
+@register("variance_filter", _FEATS + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(var_pop({c}), 4) AS variance FROM feats" for c in SELECTED) + ") WHERE variance > 0.1")
+def variance_filter(spark, sf):
+    return rounded(SE.select_by_variance(_features(spark, sf), SELECTED), ["variance"], 4)
+
+
+VIF_COLS = ["volume", "num_of_trades", "RSI", "MFI"]
+
+
+@register("vif")
+def vif(spark, sf):
+    return rounded(SE.vif(_features(spark, sf), VIF_COLS), ["vif"])
+
+
+
+@register("vif_pair", _FEATS + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(1 / (1 - power(corr(volume, num_of_trades), 2)), 6) AS vif FROM feats" for c in ("volume", "num_of_trades")))
+def vif_pair(spark, sf):
+    return rounded(SE.vif(_features(spark, sf), ["volume", "num_of_trades"]), ["vif"])
+
+
+@register("rf_importance")
+def rf_importance(spark, sf):
+    return rounded(SE.select_by_forest(_features(spark, sf), SELECTED, "y"), ["importance"])
+
+
+@register("rfe")
+def rfe(spark, sf):
+    return SE.rfe(_features(spark, sf), SELECTED, "y", 6)
+
+
+@register("ols_pvalues")
+def ols_pvalues(spark, sf):
+    return rounded(SE.ols_pvalues(_features(spark, sf), ["RSI", "MFI", "volume", "num_of_trades", "MACD"], "y"), ["coefficient", "p_value"])
+
+
+@register("select_features")
+def select_features(spark, sf):
+    return SE.select_features(_features(spark, sf).cache(), SELECTED, "y", n_features=6)
+
+
+# -- forecasts, metrics, backtests --------------------------------------------------------------------------
+
+_SPLITS = """
+sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM dense),
+blocks AS (SELECT *, n // 6 AS size, unnest(generate_series(0, 4))::INTEGER AS split FROM sized),
+tagged AS (SELECT *, n - 5 * size + split * size AS begin FROM blocks),
+parts AS (SELECT *, CASE WHEN rn < begin - 120 THEN 'train' WHEN rn >= begin AND rn < begin + size THEN 'test' END AS part FROM tagged)"""
+
+
+@register("time_splits", O._with(O.BASE, _SPLITS) + """
+SELECT series_id, split, part, count(*) AS n_rows, min(ds) AS first_ds, max(ds) AS last_ds FROM parts WHERE part IS NOT NULL GROUP BY ALL""")
+def time_splits(spark, sf):
+    s = B.time_splits(T.dense_bars(spark, sf).select(*KEY, "ds"), KEY, "ds", 5, 120)
+    return s.groupBy(*KEY, "split", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+
+
+@register("naive_forecast", O._with(O.BASE, f"""
+r AS (SELECT series_id, lead(y, 120) {O.W} / y - 1 AS fwd, y / lag(y, 120) {O.W} - 1 AS past FROM dense)""") + """
+SELECT series_id, count(*) AS n, round(sqrt(avg(power(fwd - past, 2))), 6) AS rmse_past, round(sqrt(avg(fwd * fwd)), 6) AS rmse_zero,
+       round((sqrt(avg(power(fwd - past, 2))) / sqrt(avg(fwd * fwd)) - 1) * 100, 4) AS ratio_pct FROM r WHERE fwd IS NOT NULL AND past IS NOT NULL GROUP BY 1""")
+def naive_forecast(spark, sf):
+    out = P.naive_errors(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, "ds", "y")
+    return rounded(rounded(out, ["rmse_past", "rmse_zero"]), ["ratio_pct"], 4)
+
+
+_NAIVE = f"shifted AS (SELECT series_id, ds, y, lag(y, 120) {O.W} AS yhat, rn FROM dense), good AS (SELECT * FROM shifted WHERE yhat IS NOT NULL)"
+
+
+def _shifted(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=120)
+    return w.add(yhat=F.lag("y", 120).over(w.window)).done().where(F.col("yhat").isNotNull())
+
+
+@register("regression_metrics", O._with(O.BASE, _NAIVE) + """
+SELECT series_id, count(*) AS n, round(avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape, round(avg(power(y - yhat, 2)), 6) AS mse,
+       round(avg(abs(y - yhat)), 6) AS mae, round(stddev_pop(abs(y - yhat)), 6) AS std_error, round(sqrt(avg(power((y - yhat) / nullif(y, 0), 2))) * 100, 4) AS rmspe,
+       round(sqrt(avg(power(y - yhat, 2))), 6) AS rmse, round(avg(power(y - yhat, 2)), 6) AS rmse_ref, round(1 - avg(power(y - yhat, 2)) / var_pop(y), 6) AS r2,
+       round(1 - var_pop(y - yhat) / var_pop(y), 6) AS explained_variance, round(median(abs(y - yhat)), 6) AS median_ae FROM good GROUP BY 1""")
+def regression_metrics(spark, sf):
+    out = ME.regression_metrics(_shifted(spark, sf), "y", "yhat", KEY, median=True)
+    return rounded(rounded(out, [c for c in out.columns if c not in (*KEY, "n", "rmspe")]), ["rmspe"], 4)
+
+
+@register("hit_rate", O._with(O.BASE, _NAIVE, f"mv AS (SELECT series_id, (y - lag(y) {O.W}) * (yhat - lag(yhat) {O.W}) AS p FROM good)") + """
+SELECT series_id, round(count(*) FILTER (p > 0) / count(p), 6) AS pcg_same_dir FROM mv GROUP BY 1""")
+def hit_rate(spark, sf):
+    return rounded(ME.hit_rate(_shifted(spark, sf), KEY, "ds", "y", "yhat"), ["pcg_same_dir"])
+
+
+_BYHOUR = """
+good2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS i FROM good),
+byhour AS (SELECT series_id, CAST(i % 120 AS INTEGER) AS hour, avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS avg_mape, stddev_pop(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS std_mape FROM good2 GROUP BY 1, 2)"""
+
+
+@register("mape_by_horizon", O._with(O.BASE, _NAIVE, _BYHOUR) + "SELECT series_id, hour, round(avg_mape, 6) AS avg_mape, round(std_mape, 6) AS std_mape FROM byhour")
+def mape_by_horizon(spark, sf):
+    return rounded(ME.mape_by_horizon(_shifted(spark, sf), KEY, "ds", "y", "yhat", 120), ["avg_mape", "std_mape"])
+
+
+@register("horizon_extremes", O._with(O.BASE, _NAIVE, _BYHOUR) + """
+SELECT series_id, first(hour ORDER BY avg_mape, hour) AS best_hour, round(min(avg_mape), 6) AS best_mape, first(hour ORDER BY avg_mape DESC, hour) AS worst_hour,
+       round(max(avg_mape), 6) AS worst_mape, round(avg(avg_mape), 6) AS mean_mape FROM byhour GROUP BY 1""")
+def horizon_extremes(spark, sf):
+    m = ME.mape_by_horizon(_shifted(spark, sf), KEY, "ds", "y", "yhat", 120)
+    return rounded(ME.horizon_extremes(m, KEY), ["best_mape", "worst_mape", "mean_mape"])
+
+
+@register("residual_percent", O._with(O.BASE, _NAIVE) + "SELECT series_id, ds, round((y - yhat) / nullif(y, 0) * 100, 6) AS residual FROM good")
+def residual_percent(spark, sf):
+    return _shifted(spark, sf).select(*KEY, "ds", (F.round(ME.residual_percent("y", "yhat"), 6) + 0.0).alias("residual"))
+
+
+@register("class_metrics", """
+WITH p AS (SELECT quality AS a, (n_chars > 1000)::INTEGER AS b, lang FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT lang, count(*) AS n, count(*) FILTER (a = b) AS ok, count(*) FILTER (a = 1 AND b = 1) AS tp, count(*) FILTER (b = 1) AS pp, count(*) FILTER (a = 1) AS ap FROM p GROUP BY 1)
+SELECT lang, n, round(ok / n, 6) AS accuracy, round(coalesce(tp / nullif(pp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(ap, 0), 0), 6) AS recall,
+       round(coalesce(2 * tp / nullif(pp + ap, 0), 0), 6) AS f1_score FROM s""")
+def class_metrics(spark, sf):
+    docs = T.table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 1000).cast("int").alias("b"))
+    p = T.table(spark, sf, "labels").join(docs, "doc_id")
+    return rounded(ME.class_metrics(p, "quality", "b", ["lang"]), ["accuracy", "precision", "recall", "f1_score"])
+
+
+_CLASSES = f"""
+r AS (SELECT series_id, lead(y, 120) {O.W} / y - 1 AS fwd, y / lag(y, 120) {O.W} - 1 AS past FROM dense),
+c AS (SELECT series_id, CASE WHEN fwd > 0.005 THEN 1 WHEN fwd < -0.005 THEN -1 ELSE 0 END AS a, CASE WHEN past > 0.005 THEN 1 WHEN past < -0.005 THEN -1 ELSE 0 END AS p FROM r)"""
+
+
+@register("confusion", O._with(O.BASE, _CLASSES) + """
+SELECT coalesce(CAST(a AS VARCHAR), 'Total') AS actual, count(*) FILTER (p = -1) AS predicted_m1, count(*) FILTER (p = 0) AS predicted_0, count(*) FILTER (p = 1) AS predicted_1,
+       count(*) AS total FROM c GROUP BY ROLLUP (a)""")
+def confusion(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=120, ahead=120)
+    w.add(a=M.signal_label(R.forward_return(w, "y", 120)), p=M.signal_label(R.past_return(w, "y", 120)))
+    return ME.confusion(w.done(), "a", "p", [-1, 0, 1])
+
+
+CUT = ("2024-01-10 00:00:00", "2024-01-28 00:00:00")
+
+
+def _backtest_sql(select: str) -> str:
+    return O._with(O.BASE, _NAIVE, f"""
+cuts AS (SELECT unnest(generate_series(TIMESTAMP '{CUT[0]}', TIMESTAMP '{CUT[1]}', INTERVAL 6 HOUR)) AS cutoff),
+lim AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM dense GROUP BY 1),
+trimmed AS (
+  SELECT s.series_id, s.ds, s.y, s.yhat, c.cutoff, row_number() OVER (PARTITION BY s.series_id, c.cutoff ORDER BY s.ds DESC) AS back, l.hi < c.cutoff + INTERVAL 120 HOUR AS short_horizon
+  FROM shifted s JOIN lim l USING (series_id) JOIN cuts c ON s.ds > c.cutoff - INTERVAL 10 DAY AND s.ds <= c.cutoff + INTERVAL 120 HOUR),
+bounds AS (SELECT series_id, cutoff, min(ds) AS training_start, max(ds) AS training_end FROM trimmed WHERE back > 120 GROUP BY 1, 2),
+runs AS (
+  SELECT series_id, cutoff, short_horizon, min(ds) AS mystery_start, max(ds) AS mystery_end, count(*) AS n_test, avg(abs(y - yhat)) AS mae, avg(power(y - yhat, 2)) AS mse,
+         avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS mape, list(y ORDER BY ds) AS y, list(yhat ORDER BY ds) AS yhat
+  FROM trimmed WHERE back <= 120 GROUP BY 1, 2, 3)""") + select
+
+
+def _naive_runs(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    tests = B.naive_test_rows(d, KEY, "ds", "y", *CUT, step_h=6, train_days=10)
+    return B.summarise_runs(tests, KEY, "ds", "y")
+
+
+@register("backtest_naive", _backtest_sql("""
+SELECT r.series_id, cutoff, short_horizon, training_start, training_end, mystery_start, mystery_end, n_test, round(mae, 6) AS mae, round(mse, 6) AS mse, round(mape, 6) AS mape,
+       round(((epoch_us(training_end) - epoch_us(training_start)) / 3600000000 + 1) * 0.2, 6) AS validation_size FROM runs r JOIN bounds USING (series_id, cutoff)"""))
+def backtest_naive(spark, sf):
+    cols = [*KEY, "cutoff", "short_horizon", "training_start", "training_end", "mystery_start", "mystery_end", "n_test", "mae", "mse", "mape", "validation_size"]
+    return rounded(_naive_runs(spark, sf).select(*cols), ["mae", "mse", "mape", "validation_size"])
+
+
+@register("mape_per_step", _backtest_sql("""
+, flat AS (SELECT unnest(y) AS y, unnest(yhat) AS yhat, unnest(generate_series(0, len(y) - 1)) AS hour FROM runs)
+SELECT CAST(hour AS INTEGER) AS hour, round(avg(abs((y - yhat) / nullif(y, 0)) * 100), 4) AS mean_mape FROM flat GROUP BY 1"""))
+def mape_per_step(spark, sf):
+    return rounded(ME.mape_per_step(_naive_runs(spark, sf)), ["mean_mape"], 4)
+
+
+@register("backtest_baseline")
+def backtest_baseline(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    runs = P.backtest_baseline(d, KEY, *CUT, step_h=48, train_days=20)
+    return B.ranked_runs(runs.drop("y", "yhat"))
+
+
+@register("backtest_side_by_side")
+def backtest_side_by_side(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    model = P.backtest_baseline(d, KEY, *CUT, step_h=48, train_days=20)
+    naive = B.summarise_runs(B.naive_test_rows(d, KEY, "ds", "y", *CUT, step_h=48, train_days=20), KEY, "ds", "y")
+    return B.side_by_side(model, naive, KEY, ("model", "naive"))
+
+
+@register("baseline_forecast")
+def baseline_forecast(spark, sf):
+    return P.baseline_forecast(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, prefix="baseline_")
+
+
+@register("tune_baseline")
+def tune_baseline(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    return P.tune_baseline(d, KEY, "2024-01-22 00:00:00", "2024-01-26 00:00:00", step_h=96)
+
+
+@register("regressor_subsets")
+def regressor_subsets(spark, sf):
+    return P.evaluate_regressors(T.dense_bars(spark, sf), KEY, "ds", "y", ["volume", "num_of_trades", "taker_buy_base_asset_volume"])
+
+
+@register("lagged_forecast")
+def lagged_forecast(spark, sf):
+    return P.lagged_forecast(T.dense_bars(spark, sf).select(*KEY, "ds", "volume", "y"), KEY, cols=("volume", "y"))
+
+
+@register("direction_model")
+def direction_model(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=72, ahead=24)
+    w.add(label=M.signal_label(R.forward_return(w, "y", 24)), **{f"r{k}": R.past_return(w, "y", k) for k in (1, 24, 72)})
+    out = P.direction_model(w.done(), KEY, "ds", ["r1", "r24", "r72"], "label")
+    return out.groupBy("split", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("direction_holdout")
+def direction_holdout(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=72, ahead=24)
+    w.add(label=M.signal_label(R.forward_return(w, "y", 24)), **{f"r{k}": R.past_return(w, "y", k) for k in (1, 24, 72)})
+    tagged = P.random_holdout(w.done(), [*KEY, "ds"])
+    return ME.confusion(P.direction_predictions(tagged, ["r1", "r24", "r72"], "label"), "label", "predicted", [-1, 0, 1])
+
+
+@register("ablation")
+def ablation(spark, sf):
+    p = I.panel(T.dense_bars(spark, sf), KEY, horizons=(1, 6, 24))
+    return P.ablation(p, KEY, "ds", "ret_fwd_24_h", [("returns", ["ret_past_"]), ("volumes", ["vol"]), ("trades", ["trdCnt"])], n_past=12)
+
+
+# -- dashboard tables over bars -----------------------------------------------------------------------------
+
+AS_OF = "2024-01-25 00:00:00"
+_SERVED = f"""
+pred AS (SELECT series_id, ds + INTERVAL 120 HOUR AS ds, y * 1.01 AS close_price FROM dense),
+future AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS k FROM pred WHERE ds >= TIMESTAMP '{AS_OF}'),
+merged AS (
+  SELECT series_id, ds, round_even(y, 2) AS close_price, 0 AS if_pred FROM dense WHERE ds < TIMESTAMP '{AS_OF}' AND ds >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY
+  UNION ALL SELECT series_id, ds, round_even(close_price, 2), 1 FROM future WHERE k <= 120)"""
+
+
+def _merged(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    pred = d.select(*KEY, (F.col("ds") + F.expr("INTERVAL 120 HOURS")).alias("ds"), (F.col("close_price") * 1.01).alias("close_price"))
+    return V.history_and_forecast(d, pred, KEY, AS_OF)
+
+
+@register("history_and_forecast", O._with(O.BASE, _SERVED) + "SELECT * FROM merged")
+def history_and_forecast(spark, sf):
+    return _merged(spark, sf)
+
+
+@register("price_range", O._with(O.BASE, _SERVED) + """
+SELECT series_id, min(close_price) FILTER (if_pred = 1) AS lowest, max(close_price) FILTER (if_pred = 1) AS highest, max_by(close_price, ds) FILTER (if_pred = 0) AS current FROM merged GROUP BY 1""")
+def price_range(spark, sf):
+    return V.price_range(_merged(spark, sf), KEY)
+
+
+@register("snapshot_lines", O._with(O.BASE, """
+n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS back, count(*) OVER (PARTITION BY series_id) AS n FROM dense)""") + """
+SELECT series_id, string_agg('past ' || back || ' hours (' || strftime(ds, '%Y-%m-%d %H:%M:%S') || '): ' || CAST(num_of_trades AS BIGINT), chr(10) ORDER BY ds DESC) AS lines
+FROM n WHERE back IN (1, 6, 12, 24, 48) AND back < n GROUP BY 1""")
+def snapshot_lines(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "num_of_trades")
+    return V.snapshot_lines(R.sample_positions(d, KEY, "ds", [-1, -6, -12, -24, -48]), KEY, "ds", F.col("num_of_trades"))
+
+
+# -- streams ---------------------------------------------------------------------------------------------------
+
+
+
+def _run(spark, sf, name: str, shape, write_for, mode: str) -> str:
+    root = f"{work_dir(spark)}/{name}-{uuid4().hex}"
+    src = STR.stream_files(spark, sf, SC.EVENTS, pattern="events.parquet")
+    STR.run_stream(shape(src.withColumn("ts", F.col("ts").cast("timestamp"))), write_for(f"{root}/out"), f"{root}/log", mode).awaitTermination()
+    return f"{root}/out"
+
+
+@register("stream_hourly", """
+SELECT event_type, date_trunc('hour', ts) AS ds, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2""")
+def stream_hourly(spark, sf):
+    out = _run(spark, sf, "hourly", lambda e: STR.hourly_aggregates(e, "ts", ["event_type"], "value"), STR.append_delta, "update")
+    return rounded(rounded(STR.read_last_update(spark, out, ["event_type", "ds"]), ["total"]), ["mean"], 8)
+
+
+@register("stream_sliding", """
+SELECT event_type, date_trunc('hour', ts) + h * INTERVAL 1 HOUR AS ds, count(*) AS n, round(avg(value), 8) AS mean
+FROM events, (SELECT unnest(generate_series(1, 6)) AS h) GROUP BY 1, 2""")
+def stream_sliding(spark, sf):
+    out = _run(spark, sf, "sliding", lambda e: STR.sliding_means(e, "ts", ["event_type"], "value", 6), STR.append_delta, "update")
+    return rounded(STR.read_last_update(spark, out, ["event_type", "ds"]), ["mean"], 8)
+
+
+@register("stream_latest", O._with(O.SNAPSHOTS, f"ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {NEWEST}) AS rn FROM snapshots)")
+          + "SELECT id, event_id, event_type, self_text_md5, fetch_datetime FROM ranked WHERE rn = 1")
+def stream_latest(spark, sf):
+    def shape(e):
+        return e.select(F.col("user_id").cast("string").alias("id"), "event_id", "event_type", F.md5("props").alias("self_text_md5"),
+                        F.when(F.col("value") >= 1.0, F.col("ts")).alias("fetch_datetime"))
+    tie = ("self_text_md5", "event_id")
+    out = _run(spark, sf, "latest", shape, lambda t: STR.upsert_batch(t, "id", "fetch_datetime", tie), "append")
+    return STR.read_latest(spark, out, "id", "fetch_datetime", tie)
+
+
+@register("stream_enriched", """
+SELECT e.event_id, e.user_id, c.c_mktsegment FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id""")
+def stream_enriched(spark, sf):
+    customers = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    out = _run(spark, sf, "enriched", lambda e: e.select("event_id", "user_id"),
+               lambda t: STR.append_delta(t, lambda d: DD.attach_memo(d, customers, ["user_id"], ["c_mktsegment"])), "append")
+    return spark.read.parquet(out).drop("batch_id")
