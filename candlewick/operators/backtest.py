@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import timefns as D
 from . import grid as G, metrics as M, rolling as R
+from .single import with_row
 
 
 def expand_cutoffs(df: DataFrame, key: Sequence[str], ts: str, start: str, end: str, step_h: int,
@@ -26,7 +27,7 @@ def expand_cutoffs(df: DataFrame, key: Sequence[str], ts: str, start: str, end:
     lo = F.greatest(F.ceil((F.col("_s") - F.lit(horizon) - first) / F.lit(step_h)), F.lit(0)).cast("long")
     hi = F.floor((F.least(F.col("_s") + F.lit(train_h - 1), last) - first) / F.lit(step_h)).cast("long")
     rows = rows.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo") <= F.col("_hi"))
-    rows = rows.withColumn("_c", first + F.explode(F.sequence("_lo", "_hi")) * F.lit(step_h))
+    rows = rows.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("_c", first + F.col("_k") * F.lit(step_h))
     stop = F.least(F.col("_c") + F.lit(horizon), F.col("_last"))
     rows = rows.withColumns({
         "cutoff": D.slot_start("_c"), "is_test": F.col("_s") > stop - F.lit(horizon),
@@ -37,7 +38,7 @@ def expand_cutoffs(df: DataFrame, key: Sequence[str], ts: str, start: str, end:
     rows = rows.where(F.col("training_end") >= F.col("training_start"))
     if part != "both":
         rows = rows.where(F.col("is_test") == F.lit(part == "test"))
-    return rows.drop("_s", "_c", "_lo", "_hi", "_last", "_first")
+    return rows.drop("_s", "_c", "_k", "_lo", "_hi", "_last", "_first")
 
 
 def naive_test_rows(df: DataFrame, key: Sequence[str], ts: str, y: str, start: str, end: str,
@@ -94,8 +95,7 @@ def time_splits(df: DataFrame, key: Sequence[str], ts: str, n_splits: int = 5, g
     up to ``gap`` rows before it.
     """
     spans = G.span(df, key, ts).select(*key, D.slot("lo").alias("_a"), (D.slot("hi") - D.slot("lo") + 1).alias("_n"))
-    rows = df.join(spans, list(key)) if key else df.withColumns(
-        {c: spans.select(c).scalar() for c in ("_a", "_n")})
+    rows = df.join(spans, list(key)) if key else with_row(df, spans)
     size = F.floor(F.col("_n") / F.lit(n_splits + 1)).cast("long")
     rows = rows.withColumns({"_i": D.slot(ts) - F.col("_a"), "_size": size,
                              "split": F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))})

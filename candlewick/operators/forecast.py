@@ -8,10 +8,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timefns as D
-from . import backtest as B, indicators as I, rolling as R, stats as S
+from ..session import staged
+from . import backtest as B, rolling as R, stats as S
 from .leastsq import dot, ridge
 from .metrics import regression_metrics
 
@@ -290,7 +291,7 @@ def direction_predictions(df: DataFrame, features: Sequence[str], label: str, pa
 def direction_model(df: DataFrame, key: Sequence[str], ts: str, features: Sequence[str], label: str,
                     n_splits: int = 5) -> DataFrame:
     """Predictions of the expanding-window splits, one fit per split."""
-    split = B.time_splits(df, key, ts, n_splits)
+    split = B.time_splits(staged(df.select(*key, ts, *features, label), "direction"), key, ts, n_splits)
     out = None
     for i in range(n_splits):
         one = direction_predictions(split.where(F.col("split") == i), features, label)
@@ -313,7 +314,7 @@ def naive_errors(df: DataFrame, key: Sequence[str], ts: str, close: str, horizon
     hours earlier.
     """
     w = R.Blocked(df, key, ts, back=horizon, ahead=horizon)
-    w.add(fwd=I.R.forward_return(w, close, horizon), past=I.R.past_return(w, close, horizon))
+    w.add(fwd=R.forward_return(w, close, horizon), past=R.past_return(w, close, horizon))
     # The target `horizon` hours earlier is the past return now.
     e1, e2 = F.col("fwd") - F.col("past"), F.col("fwd")
     rows = w.done()
@@ -326,6 +327,7 @@ def naive_errors(df: DataFrame, key: Sequence[str], ts: str, close: str, horizon
 def ablation(df: DataFrame, key: Sequence[str], ts: str, target: str,
              configs: Sequence[tuple[str, Sequence[str]]], n_past: int = 24, corr_threshold: float = 0.0) -> DataFrame:
     """Test errors of one model per feature family, each family cut by correlation to the target."""
+    df = staged(df, "ablation")
     candidates = [c for c in S.numeric_columns(df) if c not in (ts, target) and "ret_fwd_" not in c]
     correl = {r["field"]: r["correl"] for r in S.corr_to(df, target, candidates).collect()}
     strong = [c for c, v in correl.items() if v is not None and abs(v) > corr_threshold]

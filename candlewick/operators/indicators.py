@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import signal_label
 from . import rolling as R
 from .ewm import ewm_means, ewm_stds
+from .single import with_row
 
 # The look-back horizons of the return and volume panel, in hours.
 HORIZONS = (1, 6, 24, 48, 72, 96, 120, 240)
@@ -215,18 +216,11 @@ def normalise(df: DataFrame, cols: Sequence[str], how: str = "zscore", key: Sequ
     for c in cols:
         aggs += ([F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")] if how == "zscore"
                  else [F.max(F.abs(c)).alias(f"_s_{c}")])
-    if key:
-        stats = df.groupBy(*key).agg(*aggs)
-        joined = df.join(stats, list(key))
-        get = F.col
-    else:
-        stats = df.agg(*aggs)
-        joined = df
-        get = lambda n: stats.select(n).scalar()
+    joined = df.join(df.groupBy(*key).agg(*aggs), list(key)) if key else with_row(df, df.agg(*aggs))
     new = {}
     for c in cols:
         # A constant column scales to 0, as a scaler with unit scale would give.
-        s = get(f"_s_{c}")
-        centred = F.col(c) - get(f"_m_{c}") if how == "zscore" else F.col(c)
+        s = F.col(f"_s_{c}")
+        centred = F.col(c) - F.col(f"_m_{c}") if how == "zscore" else F.col(c)
         new[c + suffix] = F.when(s == 0, centred).otherwise(F.try_divide(centred, s))
     return joined.withColumns(new).select(*df.columns, *new)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timefns as D
 from . import grid as G, rolling as R
+from .single import row_of
 
 # Look-back windows in hours.
 WINDOWS = (120, 168, 240, 360)
@@ -97,7 +98,8 @@ def lookback_counts_unaligned(bars: DataFrame, posts: DataFrame, end: str, post_
     grid = edges.select(F.explode(F.sequence("lo", F.col("hi") + 1)).alias("_h"))
     dense = grid.join(per_hour, "_h", "left").fillna(0, ["_n"])
     before = running_before(dense, "_h", "_n")
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    span = row_of(edges)
+    lo, hi = span["lo"], span["hi"]
     clip = lambda c: F.least(F.greatest(c, lo), hi + 1)
     whole = (b.withColumns({"_from": clip(F.col("_sh")), "_to": clip(F.col("_eh"))})
              .join(before.select(F.col("_h").alias("_from"), F.col("_before").alias("_b0")), "_from")

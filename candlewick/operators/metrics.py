@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timefns as D
+from .single import with_row
 from .stats import exact_quantiles
 
 EPS = 2.220446049250313e-16
@@ -35,7 +36,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
         "explained_variance": F.lit(1.0) - F.try_divide(F.col("_ve"), F.col("_vy"))}).drop("_vy", "_ve")
     if median:
         q = exact_quantiles(rows.select(*by, F.abs(e).alias("_e")), by, "_e", (0.5,), ("median_ae",))
-        out = out.join(q, list(by)) if by else out.withColumn("median_ae", q.select("median_ae").scalar())
+        out = out.join(q, list(by)) if by else with_row(out, q)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import staged
 from .leastsq import moments
 from .stats import corr_to, drop_constant
 
@@ -99,6 +100,7 @@ def select_features(df: DataFrame, cols: Sequence[str], target: str, corr_thresh
                     check_multicollinearity: bool = True) -> DataFrame:
     """(method, feature) rows of four selectors; their distinct features are the selection."""
     spark = df.sparkSession
+    df = staged(df.select(*cols, target), "selection")
     by_corr = corr_to(df, target, cols, corr_threshold).select(F.lit("correlation").alias("method"), F.col("field").alias("feature"))
     by_var = select_by_variance(df, cols, variance_threshold).select(F.lit("variance").alias("method"), "feature")
     by_forest = select_by_forest(df, cols, target, n_features, trees).select(F.lit("forest").alias("method"), "feature")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..errors import DataQualityError
 from ..functions import scalars as M, textfns as X, timefns as D
 from . import grid as G, rolling as R
+from .single import row_of
 
 # The sentiment labels, in tie-break order of the arg-max.
 SENTIMENTS = ("negative", "neutral", "positive")
@@ -127,8 +128,8 @@ def on_hour_grid(hourly: DataFrame, bounds: DataFrame, cols: Sequence[str]) -> D
     Hours inside the posts' own span without a post count 0. Hours outside are missing and are
     interpolated like the scores: the last count is held, the start stays null.
     """
-    own = hourly.agg(F.min("ds").alias("first_post"), F.max("ds").alias("last_post"))
-    first, last = own.select("first_post").scalar(), own.select("last_post").scalar()
+    own = row_of(hourly.agg(F.min("ds").alias("first_post"), F.max("ds").alias("last_post")))
+    first, last = own["first_post"], own["last_post"]
     dense = G.densify(hourly, [], "ds", bounds=bounds)
     count = (F.when(F.col("post_count_by_hour").isNotNull(), F.col("post_count_by_hour"))
              .when((F.col("ds") >= first) & (F.col("ds") <= last), F.lit(0))).cast("double")

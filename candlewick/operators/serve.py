@@ -34,8 +34,8 @@ def history_and_forecast(hist: DataFrame, pred: DataFrame, key: Sequence[str], a
     future = pred.where(F.col(ts) >= now).select(*key, ts, price)
     first = R.last_rows(future.withColumn("_neg", -D.slot(ts)), key, "_neg", limit).drop("_neg")
     both = past.unionByName(first.withColumn("if_pred", F.lit(1)))
-    # Halves go to the even digit.
-    return both.withColumn(price, F.bround(price, 2))
+    # Halves of the scaled value go to the even digit.
+    return both.withColumn(price, F.rint(F.col(price) * 100) / 100)
 
 
 def price_range(merged: DataFrame, key: Sequence[str], price: str = "close_price", ts: str = "ds") -> DataFrame:

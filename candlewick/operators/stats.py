@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .single import row_of, with_row
+
 RANGES = 32
 
 
@@ -25,7 +27,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     if by:
         tagged = v.join(bounds, by)
     else:
-        tagged = v.withColumn("_b", bounds.select("_b").scalar())
+        tagged = with_row(v, bounds)
     where = F.lit(0)
     for i in range(RANGES - 1):
         where = where + (F.col("_v") > F.col("_b")[i]).cast("int")
@@ -91,25 +93,24 @@ def quantile_bucket(df: DataFrame, col: str, q: int = 5, out: str = "score_quant
                                  .otherwise(F.col("e1")))
     bucket = F.lit(1)
     for n in names[1:-1]:
-        bucket = bucket + (x > edges.select(n).scalar()).cast("int")
-    return df.withColumn(out, F.when(x.isNotNull(), bucket))
+        bucket = bucket + (x > F.col(f"_edges.{n}")).cast("int")
+    return df.withColumn("_edges", row_of(edges)).withColumn(out, F.when(x.isNotNull(), bucket)).drop("_edges")
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins over the whole range, empty ones included; the last is closed."""
     v = df.where(F.col(col).isNotNull()).select(*([by] if by else []), F.col(col).cast("double").alias("_v"))
-    edges = v.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - lo, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
+    edges = v.agg(F.min("_v").alias("_lo"), ((F.max("_v") - F.min("_v")) / F.lit(float(bins))).alias("_width"))
     key = [by] if by else []
-    counts = v.groupBy(*key, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy(*key).agg(F.sum("n").alias("_all"))
-    grid = groups.select(*key, "_all", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_width")), F.lit(0.0))), F.lit(bins - 1))
+    counts = with_row(v, edges).groupBy(*key, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    groups = with_row(counts.groupBy(*key).agg(F.sum("n").alias("_all")), edges)
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    n = F.coalesce("n", F.lit(0))
     return grid.join(counts, [*key, "bin"], "left").select(
-        *key, "bin", (lo + F.col("bin") * width).alias("left"), (lo + (F.col("bin") + 1) * width).alias("right"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-        (F.coalesce("n", F.lit(0)) * F.lit(100.0) / F.col("_all")).alias("percent"))
+        *key, "bin", (F.col("_lo") + F.col("bin") * F.col("_width")).alias("left"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_width")).alias("right"),
+        n.alias("n"), (n * F.lit(100.0) / F.col("_all")).alias("percent"))
 
 
 def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
@@ -130,15 +131,13 @@ def kde(df: DataFrame, col: str, points: int = 50, by: str | None = None) -> Dat
     """
     key = [by] if by else []
     v = df.where(F.col(col).isNotNull()).select(*key, F.col(col).cast("double").alias("_v"))
-    edges = v.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
-    grid = lambda i: lo + (hi - lo) * F.lit(i / (points - 1))
     stats = v.groupBy(*key).agg((F.stddev_samp("_v") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("_h"))
-    rows = v.join(stats, key) if key else v.withColumn("_h", stats.select("_h").scalar())
-    rows = rows.withColumns({"_lo": lo, "_w": hi - lo})
-    z = lambda i: (F.col("_v") - (F.col("_lo") + F.col("_w") * F.lit(i / (points - 1)))) / F.col("_h")
+    rows = v.join(stats, key) if key else with_row(v, stats)
+    rows = with_row(rows, v.agg(F.min("_v").alias("_lo"), (F.max("_v") - F.min("_v")).alias("_w")))
+    grid = lambda i: F.col("_lo") + F.col("_w") * F.lit(i / (points - 1))
+    z = lambda i: (F.col("_v") - grid(i)) / F.col("_h")
     sums = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_h").alias("_h"),
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_h", "_lo", "_w")],
         *[F.sum(F.exp(F.lit(-0.5) * z(i) * z(i))).alias(f"_k{i}") for i in range(points)])
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), grid(i).alias("x"), (F.col(f"_k{i}") / norm).alias("density"))
@@ -155,9 +154,8 @@ def kde_2d(df: DataFrame, a: str, b: str, points: int = 12) -> DataFrame:
               (F.var_samp("_a") * factor).alias("vaa"), (F.var_samp("_b") * factor).alias("vbb"),
               (F.covar_samp("_a", "_b") * factor).alias("vab"))
     s = s.withColumn("det", F.col("vaa") * F.col("vbb") - F.col("vab") * F.col("vab"))
-    get = lambda n: s.select(n).scalar()
-    fixed = ("alo", "ahi", "blo", "bhi", "vaa", "vbb", "vab", "det")
-    rows = v.withColumns({f"_{n}": get(n) for n in fixed})
+    s = s.select([F.col(c).alias(f"_{c}") for c in s.columns])
+    rows = with_row(v, s)
     last = float(points - 1)
     rows = rows.withColumn("ia", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     da = F.col("_a") - (F.col("_alo") + (F.col("_ahi") - F.col("_alo")) * (F.col("ia") / F.lit(last)))
@@ -169,8 +167,9 @@ def kde_2d(df: DataFrame, a: str, b: str, points: int = 12) -> DataFrame:
                 + F.col("_vaa") * db * db) / F.col("_det")
         return F.exp(F.lit(-0.5) * form)
 
-    sums = rows.groupBy("ia").agg(*[F.sum(kernel(j)).alias(f"_k{j}") for j in range(points)])
-    norm = get("n") * F.lit(2 * math.pi) * F.sqrt(get("det"))
+    sums = rows.groupBy("ia").agg(F.first("_n").alias("_n"), F.first("_det").alias("_det"),
+                                  *[F.sum(kernel(j)).alias(f"_k{j}") for j in range(points)])
+    norm = F.col("_n") * F.lit(2 * math.pi) * F.sqrt("_det")
     cells = F.explode(F.array(*[F.struct(F.lit(j).alias("ib"), (F.col(f"_k{j}") / norm).alias("density"))
                                 for j in range(points)]))
     return sums.select("ia", cells.alias("_c")).select("ia", "_c.ib", "_c.density")

@@ -760,10 +760,10 @@ def author_stats(spark, sf):
 
 
 @register("customer_stats", """
-SELECT o_custkey, count(o_orderkey) AS count, round(avg(o_totalprice), 4) AS o_totalprice_avg, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std FROM orders GROUP BY 1""")
+SELECT o_custkey, count(o_orderkey) AS count, round(avg(o_totalprice), 8) AS o_totalprice_avg, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std FROM orders GROUP BY 1""")
 def customer_stats(spark, sf):
     out = ST.author_stats(T.table(spark, sf, "orders"), "o_custkey", "o_orderkey", ["o_totalprice"], ["o_totalprice"])
-    return rounded(out, ["o_totalprice_avg", "o_totalprice_std"], 4)
+    return rounded(rounded(out, ["o_totalprice_avg"], 8), ["o_totalprice_std"], 4)
 
 
 @register("value_counts", " UNION ALL ".join(f"""
@@ -945,7 +945,7 @@ def ols_pvalues(spark, sf):
 
 @register("select_features")
 def select_features(spark, sf):
-    return SE.select_features(_features(spark, sf).cache(), SELECTED, "y", n_features=6)
+    return SE.select_features(_features(spark, sf), SELECTED, "y", n_features=6)
 
 
 # -- forecasts, metrics, backtests --------------------------------------------------------------------------
@@ -983,13 +983,14 @@ def _shifted(spark, sf):
 
 
 @register("regression_metrics", O._with(O.BASE, _NAIVE) + """
-SELECT series_id, count(*) AS n, round(avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape, round(avg(power(y - yhat, 2)), 6) AS mse,
+SELECT series_id, count(*) AS n, round(avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape, round(avg(power(y - yhat, 2)), 8) AS mse,
        round(avg(abs(y - yhat)), 6) AS mae, round(stddev_pop(abs(y - yhat)), 6) AS std_error, round(sqrt(avg(power((y - yhat) / nullif(y, 0), 2))) * 100, 4) AS rmspe,
-       round(sqrt(avg(power(y - yhat, 2))), 6) AS rmse, round(avg(power(y - yhat, 2)), 6) AS rmse_ref, round(1 - avg(power(y - yhat, 2)) / var_pop(y), 6) AS r2,
+       round(sqrt(avg(power(y - yhat, 2))), 6) AS rmse, round(avg(power(y - yhat, 2)), 8) AS rmse_ref, round(1 - avg(power(y - yhat, 2)) / var_pop(y), 6) AS r2,
        round(1 - var_pop(y - yhat) / var_pop(y), 6) AS explained_variance, round(median(abs(y - yhat)), 6) AS median_ae FROM good GROUP BY 1""")
 def regression_metrics(spark, sf):
     out = ME.regression_metrics(_shifted(spark, sf), "y", "yhat", KEY, median=True)
-    return rounded(rounded(out, [c for c in out.columns if c not in (*KEY, "n", "rmspe")]), ["rmspe"], 4)
+    out = rounded(rounded(out, ["mse", "rmse_ref"], 8), ["rmspe"], 4)
+    return rounded(out, [c for c in out.columns if c not in (*KEY, "n", "rmspe", "mse", "rmse_ref")])
 
 
 @register("hit_rate", O._with(O.BASE, _NAIVE, f"mv AS (SELECT series_id, (y - lag(y) {O.W}) * (yhat - lag(yhat) {O.W}) AS p FROM good)") + """
@@ -1071,11 +1072,11 @@ def _naive_runs(spark, sf):
 
 
 @register("backtest_naive", _backtest_sql("""
-SELECT r.series_id, cutoff, short_horizon, training_start, training_end, mystery_start, mystery_end, n_test, round(mae, 6) AS mae, round(mse, 6) AS mse, round(mape, 6) AS mape,
+SELECT r.series_id, cutoff, short_horizon, training_start, training_end, mystery_start, mystery_end, n_test, round(mae, 6) AS mae, round(mse, 8) AS mse, round(mape, 6) AS mape,
        round(((epoch_us(training_end) - epoch_us(training_start)) / 3600000000 + 1) * 0.2, 6) AS validation_size FROM runs r JOIN bounds USING (series_id, cutoff)"""))
 def backtest_naive(spark, sf):
     cols = [*KEY, "cutoff", "short_horizon", "training_start", "training_end", "mystery_start", "mystery_end", "n_test", "mae", "mse", "mape", "validation_size"]
-    return rounded(_naive_runs(spark, sf).select(*cols), ["mae", "mse", "mape", "validation_size"])
+    return rounded(rounded(_naive_runs(spark, sf).select(*cols), ["mse"], 8), ["mae", "mape", "validation_size"])
 
 
 @register("mape_per_step", _backtest_sql("""
@@ -1149,16 +1150,16 @@ def ablation(spark, sf):
 
 AS_OF = "2024-01-25 00:00:00"
 _SERVED = f"""
-pred AS (SELECT series_id, ds + INTERVAL 120 HOUR AS ds, y * 1.01 AS close_price FROM dense),
+pred AS (SELECT series_id, ds + INTERVAL 120 HOUR AS ds, y * 1.0137731 AS close_price FROM dense),
 future AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS k FROM pred WHERE ds >= TIMESTAMP '{AS_OF}'),
 merged AS (
-  SELECT series_id, ds, round_even(y, 2) AS close_price, 0 AS if_pred FROM dense WHERE ds < TIMESTAMP '{AS_OF}' AND ds >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY
-  UNION ALL SELECT series_id, ds, round_even(close_price, 2), 1 FROM future WHERE k <= 120)"""
+  SELECT series_id, ds, round_even(y * 100, 0) / 100 AS close_price, 0 AS if_pred FROM dense WHERE ds < TIMESTAMP '{AS_OF}' AND ds >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY
+  UNION ALL SELECT series_id, ds, round_even(close_price * 100, 0) / 100, 1 FROM future WHERE k <= 120)"""
 
 
 def _merged(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
-    pred = d.select(*KEY, (F.col("ds") + F.expr("INTERVAL 120 HOURS")).alias("ds"), (F.col("close_price") * 1.01).alias("close_price"))
+    pred = d.select(*KEY, (F.col("ds") + F.expr("INTERVAL 120 HOURS")).alias("ds"), (F.col("close_price") * 1.0137731).alias("close_price"))
     return V.history_and_forecast(d, pred, KEY, AS_OF)
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "candlewick", master: str | None = None,
@@ -38,4 +41,20 @@ def work_dir(spark: SparkSession) -> str:
     machine) a fresh local folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named if named else tempfile.mkdtemp(prefix="candlewick-")
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="candlewick-")
+    return _LOCAL[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For frames that a fit reads many times: losing an executor then costs a file read, not the
+    whole plan below.
+    """
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
