@@ -1,4 +1,4 @@
-"""One-row results inside other queries."""
+"""Small results inside other queries: single rows, and group tables of checked size."""
 
 from __future__ import annotations
 
@@ -13,3 +13,18 @@ def row_of(one: DataFrame) -> Column:
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row aggregate added to every row."""
     return df.withColumn("_row", row_of(one)).select("*", *[F.col(f"_row.{c}").alias(c) for c in one.columns]).drop("_row")
+
+
+SMALL_ROWS = 20_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """An aggregate to join back to its input: broadcast only when it was counted as small.
+
+    Up to ``limit`` rows are fetched once and sent to every task, so the large side is not
+    shuffled. A larger table stays a plain join, which AQE plans and splits when skewed.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

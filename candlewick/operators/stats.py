@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .single import row_of, with_row
+from .single import row_of, small_side, with_row
 
 RANGES = 32
 
@@ -16,7 +16,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, without gathering a group in one task.
 
-    A mergeable sketch cuts each group into value ranges, the ranges are counted, and only rows
+    Three light passes: a mergeable sketch cuts each group into value ranges, the ranges are counted, and only rows
     of the ranges that hold a wanted position are ordered - after equal values were merged.
     """
     by = list(by)
@@ -25,13 +25,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     bounds = v.groupBy(*by).agg(F.percentile_approx("_v", cuts, 2000).alias("_b"))
     if by:
-        tagged = v.join(bounds, by)
+        tagged = v.join(small_side(bounds), by)
     else:
         tagged = with_row(v, bounds)
-    where = F.lit(0)
-    for i in range(RANGES - 1):
-        where = where + (F.col("_v") > F.col("_b")[i]).cast("int")
-    tagged = tagged.select(*by, "_v", where.alias("_g"))
+    # Binary search of the value among the cuts, one short projection per halving.
+    tagged = tagged.withColumn("_g", F.lit(0))
+    half = RANGES // 2
+    while half:
+        beyond = F.col("_v") > F.get(F.col("_b"), F.col("_g") + F.lit(half - 1))
+        tagged = tagged.withColumn("_g", F.col("_g") + F.when(beyond, half).otherwise(0))
+        half //= 2
+    tagged = tagged.select(*by, "_v", "_g")
 
     counts = tagged.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_m"))
     # At most RANGES rows per group.
@@ -50,7 +54,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     for p in probs:
         for k in ends(p):
             wanted = wanted | ((k >= F.col("_start")) & (k < F.col("_start") + F.col("_m")))
-    hit = counts.where(wanted).drop("_m")
+    hit = small_side(counts.where(wanted).drop("_m"))
     values = (tagged.join(hit, [*by, "_g"]).groupBy(*by, "_g", "_start", "_size", "_v")
               .agg(F.count(F.lit(1)).alias("_m")))
     inside = Window.partitionBy(*by, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +123,7 @@ def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFra
     q = exact_quantiles(v, [by], "_v", (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
-    return v.join(q, by).groupBy(by, "q1", "median", "q3").agg(
+    return v.join(small_side(q), by).groupBy(by, "q1", "median", "q3").agg(
         F.avg("_v").alias("mean"), F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"), F.count_if(~inside).alias("outliers"))
 
@@ -132,7 +136,7 @@ def kde(df: DataFrame, col: str, points: int = 50, by: str | None = None) -> Dat
     key = [by] if by else []
     v = df.where(F.col(col).isNotNull()).select(*key, F.col(col).cast("double").alias("_v"))
     stats = v.groupBy(*key).agg((F.stddev_samp("_v") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("_h"))
-    rows = v.join(stats, key) if key else with_row(v, stats)
+    rows = v.join(small_side(stats), key) if key else with_row(v, stats)
     rows = with_row(rows, v.agg(F.min("_v").alias("_lo"), (F.max("_v") - F.min("_v")).alias("_w")))
     grid = lambda i: F.col("_lo") + F.col("_w") * F.lit(i / (points - 1))
     z = lambda i: (F.col("_v") - grid(i)) / F.col("_h")

@@ -467,7 +467,7 @@ def md5_check(spark, sf):
 
 
 def table_text(spark, sf):
-    return T.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return T.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
 @register("post_previews", O._with(O.CLEAN) + """

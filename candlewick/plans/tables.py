@@ -29,6 +29,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when an input arrives as fewer splits than there are cores.
+
+    Texts cost much per row, so one small file would otherwise keep one core busy. A large table
+    has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -47,7 +61,7 @@ def dense_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select(
         d.cast("string").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
@@ -98,7 +112,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 def relevance_memo(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents are remembered; a toxic one under an older text."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     lab = table(spark, sf, "labels")
     text = F.when(F.col("toxic") == 1, F.concat(F.col("text"), F.lit(" old"))).otherwise(F.col("text"))
     return docs.join(lab, "doc_id").select(
