@@ -62,11 +62,12 @@ def minimal_words(words: Sequence[str]) -> list[str]:
 
 def mentions_any(c: str | Column, words: Sequence[str] = RELEVANCE_WORDS) -> Column:
     """True when the text holds any word as a substring, ignoring case."""
-    text = F.lower(_c(c))
-    found = F.lit(False)
-    for w in minimal_words(words):
-        found = found | F.contains(text, F.lit(w))
-    return found
+    def search(text: Column) -> Column:
+        found = F.lit(False)
+        for w in minimal_words(words):
+            found = found | F.contains(text, F.lit(w))
+        return found
+    return bind(F.lower(_c(c)), search)
 
 
 def fingerprint(c: str | Column) -> Column:

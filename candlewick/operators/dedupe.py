@@ -67,8 +67,13 @@ def keep_not_false(df: DataFrame, col: str) -> DataFrame:
     return df.where(~F.col(col).eqNullSafe(F.lit(False)))
 
 
-def judge_relevance(posts: DataFrame, memo: DataFrame, text: str, rule: Column,
+def judge_relevance(posts: DataFrame, memo: DataFrame, rule: Column,
                     on: Sequence[str] = ("id", "self_text_md5")) -> DataFrame:
-    """Known-irrelevant posts are dropped, unknown ones judged by ``rule``."""
-    known = keep_not_false(attach_memo(posts, memo, on, ["is_relevant"]), "is_relevant")
-    return known.withColumn("is_relevant", F.coalesce(F.col("is_relevant"), rule))
+    """Known-irrelevant posts are dropped, unknown ones judged by ``rule``.
+
+    The rule is evaluated before the lookup: when the caller goes on without the text, the
+    lookup shuffles ids and one flag instead of texts.
+    """
+    judged = posts.withColumn("_judged", rule)
+    known = keep_not_false(attach_memo(judged, memo, on, ["is_relevant"]), "is_relevant")
+    return known.withColumn("is_relevant", F.coalesce(F.col("is_relevant"), F.col("_judged"))).drop("_judged")

@@ -10,53 +10,41 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import timefns as D
+from .single import with_row
 
 SUB_BLOCK = 128
 
 
-def _older(shrink: float):
-    """Fold step: a total from m sub-blocks back has shrunk m - 1 times since."""
-    def step(acc: Column, e: Column) -> Column:
-        return acc + e["t"] * F.pow(F.lit(shrink), (F.col("_g") - e["_g"] - 1).cast("double"))
-    return step
-
-
-def geometric_sums(df: DataFrame, key: Sequence[str], ts: str, specs: Mapping[str, tuple[Column, float]],
+def geometric_sums(df: DataFrame, key: Sequence[str], ts: str, specs: Mapping[str, tuple[str, float]],
                    step: int = 3600, sub_block: int = SUB_BLOCK) -> DataFrame:
-    """Add one column per spec ``name: (x, q)`` with the geometric running sum of x.
+    """Add one column per spec ``name: (x, q)`` with the geometric running sum of the expression x.
 
     A null x adds nothing but time still passes, so the series may hold leading nulls.
     """
-    names = list(specs)
     n = sub_block
-    base = (df.withColumn("_slot", D.slot(ts, step))
-            .withColumn("_g", F.floor(F.col("_slot") / F.lit(n)).cast("long"))
-            .withColumn("_p", (F.col("_slot") - F.col("_g") * n).cast("double"))
-            .withColumns({f"_x_{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, (c, _) in specs.items()}))
+    slot = f"CAST(floor(unix_seconds(`{ts}`) / {step}) AS BIGINT)"
+    base = (df.selectExpr("*", f"{slot} AS _slot", *[
+        f"coalesce(CAST({x} AS DOUBLE), 0D) AS `_x_{k}`" for k, (x, _) in specs.items()])
+        .selectExpr("*", f"CAST(floor(_slot / {n}) AS BIGINT) AS _g", f"CAST(pmod(_slot, {n}) AS DOUBLE) AS _p"))
+    by = ", ".join(f"`{k}`" for k in key)
 
     totals = base.groupBy(*key, "_g").agg(*[
-        F.sum(F.col(f"_x_{k}") * F.pow(F.lit(q), F.lit(float(n - 1)) - F.col("_p"))).alias(k)
-        for k, (_, q) in specs.items()])
+        F.expr(f"sum(`_x_{k}` * pow({q!r}D, {n - 1}D - _p)) AS `{k}`") for k, (_, q) in specs.items()])
     carry = []
     for k, (_, q) in specs.items():
+        # A total from m sub-blocks back has shrunk m - 1 times since; beyond `far` it is below 1e-18.
         far = max(1, math.ceil(42.0 / (-math.log(q) * n))) if q > 0 else 1
-        near = Window.partitionBy(*key).orderBy("_g").rangeBetween(-far, -1)
-        earlier = F.collect_list(F.struct("_g", F.col(k).alias("t"))).over(near)
-        carry.append(F.aggregate(earlier, F.lit(0.0), _older(q ** n)).alias(f"_c_{k}"))
-    carried = totals.select(*key, "_g", *carry)
-
-    inside = (Window.partitionBy(*key, "_g").orderBy("_p")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    local = base.withColumns({
-        f"_l_{k}": F.sum(F.col(f"_x_{k}") * F.pow(F.lit(q), -F.col("_p"))).over(inside)
-        for k, (_, q) in specs.items()})
-    out = local.join(carried, [*key, "_g"]).withColumns({
-        k: F.pow(F.lit(q), F.col("_p")) * (F.col(f"_l_{k}") + F.lit(q) * F.col(f"_c_{k}"))
-        for k, (_, q) in specs.items()})
-    return out.select(*df.columns, *names)
+        near = f"OVER (PARTITION BY {by or '1'} ORDER BY _g RANGE BETWEEN {far} PRECEDING AND 1 PRECEDING)"
+        carry.append(f"aggregate(collect_list(struct(_g, `{k}` AS t)) {near}, 0D, "
+                     f"(a, e) -> a + e.t * pow({q ** n!r}D, CAST(_g - e._g - 1 AS DOUBLE))) AS `_c_{k}`")
+    carried = totals.selectExpr(*key, "_g", *carry)
+
+    inside = f"OVER (PARTITION BY {by + ', ' if key else ''}_g ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = base.selectExpr("*", *[f"sum(`_x_{k}` * pow({q!r}D, -_p)) {inside} AS `_l_{k}`" for k, (_, q) in specs.items()])
+    return local.join(carried, [*key, "_g"]).selectExpr(*[f"`{c}`" for c in df.columns], *[
+        f"pow({q!r}D, _p) * (`_l_{k}` + {q!r}D * `_c_{k}`) AS `{k}`" for k, (_, q) in specs.items()])
 
 
 def ewm_means(df: DataFrame, key: Sequence[str], ts: str,
@@ -67,40 +55,38 @@ def ewm_means(df: DataFrame, key: Sequence[str], ts: str,
     column must be dense after it. Null until ``min_periods`` values were seen.
     """
     cols = sorted({c for c, _, _ in specs.values()})
-    slot = D.slot(ts, step)
-    seen = {c: F.when(F.col(c).isNotNull(), slot) for c in cols}
-    start = df.groupBy(*key).agg(*[e for c in cols for e in (
-        F.min(seen[c]).alias(f"_t0_{c}"), F.min_by(F.col(c), seen[c]).alias(f"_x0_{c}"))])
-    sums = geometric_sums(df, key, ts, {f"_s_{o}": (F.col(c), 1.0 - a) for o, (c, a, _) in specs.items()}, step)
-    flat = sums.join(start, list(key))
-    new = {}
+    slot = f"CAST(floor(unix_seconds(`{ts}`) / {step}) AS BIGINT)"
+    seen = {c: f"CASE WHEN `{c}` IS NOT NULL THEN {slot} END" for c in cols}
+    start = df.groupBy(*key).agg(*[F.expr(e) for c in cols for e in (
+        f"min({seen[c]}) AS `_t0_{c}`", f"min_by(`{c}`, {seen[c]}) AS `_x0_{c}`")])
+    sums = geometric_sums(df, key, ts, {f"_s_{o}": (f"`{c}`", 1.0 - a) for o, (c, a, _) in specs.items()}, step)
+    flat = sums.join(start, list(key)) if key else with_row(sums, start)
+    new = []
     for o, (c, a, need) in specs.items():
-        age = (D.slot(ts, step) - F.col(f"_t0_{c}")).cast("double")
-        seed = F.pow(F.lit(1.0 - a), age + 1) * F.col(f"_x0_{c}")
-        new[o] = F.when(F.col(c).isNotNull() & (age + 1 >= need), F.lit(a) * F.col(f"_s_{o}") + seed)
-    return flat.withColumns(new).select(*df.columns, *specs)
+        age = f"CAST({slot} - `_t0_{c}` AS DOUBLE)"
+        new.append(f"CASE WHEN `{c}` IS NOT NULL AND {age} + 1 >= {need} THEN "
+                   f"{a!r}D * `_s_{o}` + pow({1.0 - a!r}D, {age} + 1) * `_x0_{c}` END AS `{o}`")
+    return flat.selectExpr(*[f"`{c}`" for c in df.columns], *new)
 
 
 def ewm_stds(df: DataFrame, key: Sequence[str], ts: str, col: str, spans: Mapping[str, int],
              step: int = 3600) -> DataFrame:
     """Bias-corrected standard deviation with weights ``(1 - 2/(span+1))^age``; span 1 is null."""
-    x = F.col(col)
-    one = F.when(x.isNotNull(), 1.0)
-    specs: dict[str, tuple[Column, float]] = {}
+    x = f"`{col}`"
+    one = f"CASE WHEN {x} IS NOT NULL THEN 1D END"
+    specs: dict[str, tuple[str, float]] = {}
     for o, span in spans.items():
         q = 1.0 - 2.0 / (span + 1.0)
-        if q <= 0:
-            continue
-        specs |= {f"_w_{o}": (one, q), f"_ww_{o}": (one, q * q), f"_wx_{o}": (x, q), f"_wxx_{o}": (x * x, q)}
+        if q > 0:
+            specs |= {f"_w_{o}": (one, q), f"_ww_{o}": (one, q * q), f"_wx_{o}": (x, q), f"_wxx_{o}": (f"{x} * {x}", q)}
     sums = geometric_sums(df, key, ts, specs, step) if specs else df
-    new = {}
-    for o, span in spans.items():
+    new = []
+    for o in spans:
         if f"_w_{o}" not in specs:
-            new[o] = F.lit(None).cast("double")
+            new.append(f"CAST(NULL AS DOUBLE) AS `{o}`")
             continue
-        w, ww, wx, wxx = (F.col(f"_{p}_{o}") for p in ("w", "ww", "wx", "wxx"))
-        mean = wx / w
-        biased = F.greatest(wxx / w - mean * mean, F.lit(0.0))
-        spread = w * w - ww
-        new[o] = F.when(x.isNotNull() & (spread > 1e-12), F.sqrt(biased * w * w / spread))
-    return sums.withColumns(new).select(*df.columns, *spans)
+        w, ww, wx, wxx = (f"`_{p}_{o}`" for p in ("w", "ww", "wx", "wxx"))
+        biased = f"greatest({wxx} / {w} - ({wx} / {w}) * ({wx} / {w}), 0D)"
+        new.append(f"CASE WHEN {x} IS NOT NULL AND {w} * {w} - {ww} > 1e-12D THEN "
+                   f"sqrt({biased} * {w} * {w} / ({w} * {w} - {ww})) END AS `{o}`")
+    return sums.selectExpr(*[f"`{c}`" for c in df.columns], *new)

@@ -56,8 +56,8 @@ def _flow_columns(w: R.Blocked) -> R.Blocked:
 
 
 def _mfi(w: R.Blocked, n: int) -> Column:
-    pos = R.rolling(w, F.col("positive_money_flow"), n)
-    neg = R.rolling(w, F.col("negative_money_flow"), n)
+    pos = R.rolling(w, "positive_money_flow", n)
+    neg = R.rolling(w, "negative_money_flow", n)
     # No flow at all is undefined; flow in one direction only is an infinite ratio.
     return (F.when((neg == 0) & (pos > 0), F.lit(100.0))
             .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(pos, neg))))
@@ -69,8 +69,8 @@ def money_flow(df: DataFrame, key: Sequence[str], ts: str = "ds", n: int = 14) -
 
 
 def _bands(w: R.Blocked, close: str, n: int, k: float) -> dict[str, Column]:
-    mid = R.rolling(w, F.col(close), n, F.avg)
-    dev = R.rolling(w, F.col(close), n, F.stddev_samp)
+    mid = R.rolling(w, close, n, "avg")
+    dev = R.rolling(w, close, n, "stddev_samp")
     return {"bollinger_upper": mid + dev * k, "bollinger_lower": mid - dev * k}
 
 
@@ -109,11 +109,11 @@ def panel(df: DataFrame, key: Sequence[str], ts: str = "ds", close: str = "y",
     for k in horizons:
         new |= {
             f"ret_past_{k}_h": R.past_return(w, close, k),
-            f"vol_{k}_h": R.rolling(w, F.col("volume"), k),
-            f"volBuy_{k}_h": R.rolling(w, F.col("taker_buy_base_asset_volume"), k),
-            f"volSell_{k}_h": R.rolling(w, F.col("sell_volume"), k),
-            f"trdCnt_{k}_h": R.rolling(w, F.col("num_of_trades"), k),
-            f"volatility_{k}_h": R.rolling(w, F.col("_ret"), k, F.stddev_samp),
+            f"vol_{k}_h": R.rolling(w, "volume", k),
+            f"volBuy_{k}_h": R.rolling(w, "taker_buy_base_asset_volume", k),
+            f"volSell_{k}_h": R.rolling(w, "sell_volume", k),
+            f"trdCnt_{k}_h": R.rolling(w, "num_of_trades", k),
+            f"volatility_{k}_h": R.rolling(w, "_ret", k, "stddev_samp"),
             f"ret_fwd_{k}_h": R.forward_return(w, close, k),
         }
     framed = w.add(**new).done()
@@ -180,7 +180,7 @@ def period_change(df: DataFrame, key: Sequence[str], ts: str = "ds", close: str
                   hours: int = 24) -> DataFrame:
     """Newest hour: price change vs ``hours`` ago, volume of the last and previous period."""
     w = R.Blocked(df, key, ts, back=2 * hours)
-    w.add(price_change=R.past_return(w, close, hours), volume_now=R.rolling(w, F.col("volume"), hours))
+    w.add(price_change=R.past_return(w, close, hours), volume_now=R.rolling(w, "volume", hours))
     w.add(volume_before=F.lag("volume_now", hours).over(w.window))
     w.add(volume_change=F.try_divide(F.col("volume_now"), F.col("volume_before")) - 1)
     cols = (*key, ts, close, "price_change", "volume_now", "volume_before", "volume_change")

@@ -7,7 +7,7 @@ gives the same numbers as one unbroken window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -27,6 +27,14 @@ class Blocked:
         self.df = (df.withColumn("_home", F.floor(s / F.lit(block)).cast("long"))
                    .withColumn("_block", F.explode(F.sequence(first, last))))
         self.window = Window.partitionBy(*key, "_block").orderBy(ts)
+        self._spec = f"PARTITION BY {', '.join(f'`{k}`' for k in [*key, '_block'])} ORDER BY `{ts}`"
+
+    def over(self, first: int | None = None, last: int | None = None) -> str:
+        """The window as SQL text, with rows ``first .. last`` around the current one as frame."""
+        if first is None:
+            return f"OVER ({self._spec})"
+        edge = lambda n: "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+        return f"OVER ({self._spec} ROWS BETWEEN {edge(first)} AND {edge(last)})"
 
     def frame(self, n: int) -> WindowSpec:
         return self.window.rowsBetween(-(n - 1), 0)
@@ -39,18 +47,17 @@ class Blocked:
         return self.df.where(F.col("_block") == F.col("_home")).drop("_block", "_home")
 
 
-def rolling(w: Blocked, c: Column, n: int, fn: Callable[[Column], Column] = F.sum,
-            min_periods: int | None = None) -> Column:
+def rolling(w: Blocked, col: str, n: int, fn: str = "sum", min_periods: int | None = None) -> Column:
     """``fn`` over the last n rows; null unless enough of them hold a value (default all)."""
-    f = w.frame(n)
+    f = w.over(1 - n, 0)
     need = n if min_periods is None else min_periods
-    return F.when(F.count(c).over(f) >= need, fn(c).over(f))
+    return F.expr(f"CASE WHEN count(`{col}`) {f} >= {need} THEN {fn}(`{col}`) {f} END")
 
 
 def lags(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], ks: Sequence[int],
          name: str = "{col}_lag_{k}hr", block: int = BLOCK_STEPS) -> DataFrame:
     w = Blocked(df, key, ts, back=max(max(ks), 0), ahead=max(-min(ks), 0), block=block)
-    w.add(**{name.format(col=c, k=k): F.lag(c, k).over(w.window) for c in cols for k in ks})
+    w.add(**{name.format(col=c, k=k): F.expr(f"lag(`{c}`, {k}) {w.over()}") for c in cols for k in ks})
     return w.done()
 
 
@@ -62,11 +69,11 @@ def diff(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str],
 
 
 def past_return(w: Blocked, col: str, k: int) -> Column:
-    return F.try_divide(F.col(col), F.lag(col, k).over(w.window)) - 1
+    return F.expr(f"try_divide(`{col}`, lag(`{col}`, {k}) {w.over()}) - 1")
 
 
 def forward_return(w: Blocked, col: str, k: int) -> Column:
-    return F.try_divide(F.lead(col, k).over(w.window), F.col(col)) - 1
+    return F.expr(f"try_divide(lead(`{col}`, {k}) {w.over()}, `{col}`) - 1")
 
 
 def returns(df: DataFrame, key: Sequence[str], ts: str, col: str, ks: Sequence[int],
@@ -89,14 +96,12 @@ def kernel_average(w: Blocked, ts: str, col: str, n: int = 120, rate: float = 0.
     """
     sign = 1.0 if kernel == "ref" else -1.0
     # Position inside the block keeps the exponents small.
-    at = (D.slot(ts) - F.col("_block") * F.lit(block)).cast("double") / F.lit(float(n))
-    grow = F.lit(rate)
-    f = w.frame(n)
-    framed = F.sum(F.col(col) * F.pow(grow, at * sign)).over(f)
+    at = f"({sign}D * (floor(unix_seconds(`{ts}`) / 3600) - _block * {block}) / {n}.0D)"
     top = 1.0 if kernel == "ref" else 1.0 / n
     total = sum(rate ** ((n - l) / n if kernel == "ref" else (l + 1) / n) for l in range(n))
-    scale = F.pow(grow, F.lit(top) - at * sign)
-    return F.when(F.count(col).over(f) == n, framed * scale / F.lit(total))
+    f = w.over(1 - n, 0)
+    return F.expr(f"CASE WHEN count(`{col}`) {f} = {n} THEN sum(`{col}` * pow({rate!r}D, {at})) {f} "
+                  f"* pow({rate!r}D, {top!r}D - {at}) / {total!r}D END")
 
 
 def time_weighted(df: DataFrame, key: Sequence[str], ts: str, cols: dict[str, str], n: int = 120,
@@ -115,76 +120,50 @@ def fill(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], how: s
     value: one row per block.
     """
     flat = _with_neighbours(df, key, ts, cols, block, times=False)
-    out = []
-    for c in df.columns:
-        if c in cols:
-            v = F.coalesce(F.col(c), F.col(f"_prev_{c}"))
-            out.append((F.coalesce(v, F.col(f"_next_{c}")) if how == "both" else v).alias(c))
-        else:
-            out.append(F.col(c))
-    return flat.select(*out)
+    later = ", `_next_{c}`" if how == "both" else ""
+    return flat.selectExpr(*[
+        f"coalesce(`{c}`, `_prev_{c}`{later.format(c=c)}) AS `{c}`" if c in cols else f"`{c}`" for c in df.columns])
 
 
 def interpolate(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str],
                 block: int = BLOCK_STEPS) -> DataFrame:
     """Linear in time between neighbours; the end holds the last value, the start stays null."""
     flat = _with_neighbours(df, key, ts, cols, block, times=True)
-    now = F.unix_micros(F.col(ts)).cast("double")
-    out = []
-    for c in df.columns:
-        if c not in cols:
-            out.append(F.col(c))
-            continue
-        pv, pt, nv, nt = (F.col(f"_{x}_{c}") for x in ("prev", "prevt", "next", "nextt"))
-        line = pv + (nv - pv) * (now - pt) / (nt - pt)
-        out.append(F.when(F.col(c).isNotNull(), F.col(c))
-                   .when(pv.isNotNull() & nv.isNotNull(), line)
-                   .otherwise(pv).alias(c))
-    return flat.select(*out)
+    line = ("CASE WHEN `{c}` IS NOT NULL THEN `{c}` WHEN `_prev_{c}` IS NOT NULL AND `_next_{c}` IS NOT NULL THEN "
+            "`_prev_{c}` + (`_next_{c}` - `_prev_{c}`) * (unix_micros(`{ts}`) - `_prevt_{c}`) / (`_nextt_{c}` - `_prevt_{c}`) "
+            "ELSE `_prev_{c}` END AS `{c}`")
+    return flat.selectExpr(*[line.format(c=c, ts=ts) if c in cols else f"`{c}`" for c in df.columns])
 
 
 def _with_neighbours(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], block: int,
                      times: bool) -> DataFrame:
     """Add the nearest non-null value before and after each row (and its time) per column."""
     base = df.withColumn("_block", F.floor(D.slot(ts) / F.lit(block)).cast("long"))
-    micros = F.unix_micros(F.col(ts)).cast("double")
-    value = {c: F.col(c).cast("double") for c in cols}
-    at = {c: F.when(F.col(c).isNotNull(), micros) for c in cols}
-
-    edge = []
-    for c in cols:
-        edge += [F.max_by(value[c], at[c]).alias(f"_lv_{c}"), F.max(at[c]).alias(f"_lt_{c}"),
-                 F.min_by(value[c], at[c]).alias(f"_fv_{c}"), F.min(at[c]).alias(f"_ft_{c}")]
-    blocks = base.groupBy(*key, "_block").agg(*edge)
-    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*key).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    reach = []
-    for c in cols:
-        reach += [F.last(f"_lv_{c}", True).over(before).alias(f"_bv_{c}"),
-                  F.last(f"_lt_{c}", True).over(before).alias(f"_bt_{c}"),
-                  F.first(f"_fv_{c}", True).over(after).alias(f"_av_{c}"),
-                  F.first(f"_ft_{c}", True).over(after).alias(f"_at_{c}")]
-    blocks = blocks.select(*key, "_block", *reach)
-
-    upto = Window.partitionBy(*key, "_block").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    from_here = Window.partitionBy(*key, "_block").orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    near = {}
-    for c in cols:
-        near[f"_prev_{c}"] = F.last(value[c], True).over(upto)
-        near[f"_next_{c}"] = F.first(value[c], True).over(from_here)
-        if times:
-            near[f"_prevt_{c}"] = F.last(at[c], True).over(upto)
-            near[f"_nextt_{c}"] = F.first(at[c], True).over(from_here)
-    local = base.withColumns(near)
-    flat = local.join(blocks, [*key, "_block"])
-    merged = {}
+    by = ", ".join(f"`{k}`" for k in key)
+    part = f"PARTITION BY {by} " if key else ""
+    value = {c: f"CAST(`{c}` AS DOUBLE)" for c in cols}
+    at = {c: f"CASE WHEN `{c}` IS NOT NULL THEN unix_micros(`{ts}`) END" for c in cols}
+
+    edge = [F.expr(e) for c in cols for e in (
+        f"max_by({value[c]}, {at[c]}) AS `_lv_{c}`", f"max({at[c]}) AS `_lt_{c}`",
+        f"min_by({value[c]}, {at[c]}) AS `_fv_{c}`", f"min({at[c]}) AS `_ft_{c}`")]
+    before = f"OVER ({part}ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = f"OVER ({part}ORDER BY _block ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    blocks = base.groupBy(*key, "_block").agg(*edge).selectExpr(*key, "_block", *[e for c in cols for e in (
+        f"last(`_lv_{c}`, true) {before} AS `_bv_{c}`", f"last(`_lt_{c}`, true) {before} AS `_bt_{c}`",
+        f"first(`_fv_{c}`, true) {after} AS `_av_{c}`", f"first(`_ft_{c}`, true) {after} AS `_at_{c}`")])
+
+    own = f"OVER (PARTITION BY {by + ', ' if key else ''}_block ORDER BY `{ts}` ROWS BETWEEN "
+    upto, onward = own + "UNBOUNDED PRECEDING AND CURRENT ROW)", own + "CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    near, merged = [], []
     for c in cols:
-        merged[f"_prev_{c}"] = F.coalesce(f"_prev_{c}", f"_bv_{c}")
-        merged[f"_next_{c}"] = F.coalesce(f"_next_{c}", f"_av_{c}")
+        near += [f"last({value[c]}, true) {upto} AS `_p_{c}`", f"first({value[c]}, true) {onward} AS `_n_{c}`"]
+        merged += [f"coalesce(`_p_{c}`, `_bv_{c}`) AS `_prev_{c}`", f"coalesce(`_n_{c}`, `_av_{c}`) AS `_next_{c}`"]
         if times:
-            merged[f"_prevt_{c}"] = F.coalesce(f"_prevt_{c}", f"_bt_{c}")
-            merged[f"_nextt_{c}"] = F.coalesce(f"_nextt_{c}", f"_at_{c}")
-    return flat.withColumns(merged)
+            near += [f"last({at[c]}, true) {upto} AS `_pt_{c}`", f"first({at[c]}, true) {onward} AS `_nt_{c}`"]
+            merged += [f"coalesce(`_pt_{c}`, `_bt_{c}`) AS `_prevt_{c}`", f"coalesce(`_nt_{c}`, `_at_{c}`) AS `_nextt_{c}`"]
+    flat = base.selectExpr("*", *near).join(blocks, [*key, "_block"])
+    return flat.selectExpr(*[f"`{c}`" for c in df.columns], *merged)
 
 
 def gradient(df: DataFrame, key: Sequence[str], ts: str, cols: dict[str, str],

@@ -145,11 +145,11 @@ def sentiment_features(dense: DataFrame, names: Sequence[str] = ("positive", "ne
     new: dict[str, Column] = {}
     for n in names:
         c = f"sentiment_{n}"
-        new[f"{c}_momentum"] = F.col(c) - F.lag(c).over(w.window)
-        new[f"{c}_volatility"] = R.rolling(w, F.col(c), volatility_hours, F.stddev_samp)
+        new[f"{c}_momentum"] = F.expr(f"{c} - lag({c}) {w.over()}")
+        new[f"{c}_volatility"] = R.rolling(w, c, volatility_hours, "stddev_samp")
         new[f"tw_avg_{n}"] = R.kernel_average(w, "ds", c, kernel_hours, kernel=kernel)
         for k in range(1, lag_hours + 1):
-            new[f"{c}_lag_{k}hr"] = F.lag(c, k).over(w.window)
+            new[f"{c}_lag_{k}hr"] = F.expr(f"lag({c}, {k}) {w.over()}")
     framed = w.add(**new).done()
     return R.fill(framed, [], "ds", [c for c in framed.columns if c != "ds"],
                   "both" if back_fill else "forward")

@@ -44,30 +44,20 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
     counts = counts.select(*by, "_g", "_m", F.coalesce(F.sum("_m").over(order), F.lit(0)).alias("_start"),
                            F.sum("_m").over(one).alias("_size"))
 
-    def position(p: float) -> Column:
-        return (F.col("_size") - 1) * F.lit(float(p))
-
-    def ends(p: float) -> tuple[Column, Column]:
-        return F.floor(position(p)), F.ceil(position(p))
-
-    wanted = F.lit(False)
-    for p in probs:
-        for k in ends(p):
-            wanted = wanted | ((k >= F.col("_start")) & (k < F.col("_start") + F.col("_m")))
+    position = {p: f"((_size - 1) * {float(p)!r}D)" for p in probs}
+    ends = {(p, tag): f"{fn}({position[p]})" for p in probs for tag, fn in (("lo", "floor"), ("hi", "ceil"))}
+    wanted = F.expr(" OR ".join(f"({k} >= _start AND {k} < _start + _m)" for k in ends.values()))
     hit = small_side(counts.where(wanted).drop("_m"))
     values = (tagged.join(hit, [*by, "_g"]).groupBy(*by, "_g", "_start", "_size", "_v")
               .agg(F.count(F.lit(1)).alias("_m")))
     inside = Window.partitionBy(*by, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = values.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_m").over(inside), F.lit(0)))
-    aggs = [F.first("_size").alias("_size")]
-    for p, n in zip(probs, names):
-        for tag, k in zip(("lo", "hi"), ends(p)):
-            here = (k >= F.col("_at")) & (k < F.col("_at") + F.col("_m"))
-            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{tag}_{n}"))
-    got = placed.groupBy(*by).agg(*aggs)
-    return got.select(*by, *[
-        (F.col(f"_lo_{n}") + (position(p) - F.floor(position(p))) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-        for p, n in zip(probs, names)])
+    got = placed.groupBy(*by).agg(F.first("_size").alias("_size"), *[
+        F.expr(f"max(CASE WHEN {ends[p, tag]} >= _at AND {ends[p, tag]} < _at + _m THEN _v END) AS _{tag}_{i}")
+        for i, p in enumerate(probs) for tag in ("lo", "hi")])
+    return got.selectExpr(*by, *[
+        f"_lo_{i} + ({position[p]} - floor({position[p]})) * (_hi_{i} - _lo_{i}) AS `{n}`"
+        for i, (p, n) in enumerate(zip(probs, names))])
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -138,15 +128,14 @@ def kde(df: DataFrame, col: str, points: int = 50, by: str | None = None) -> Dat
     stats = v.groupBy(*key).agg((F.stddev_samp("_v") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("_h"))
     rows = v.join(small_side(stats), key) if key else with_row(v, stats)
     rows = with_row(rows, v.agg(F.min("_v").alias("_lo"), (F.max("_v") - F.min("_v")).alias("_w")))
-    grid = lambda i: F.col("_lo") + F.col("_w") * F.lit(i / (points - 1))
-    z = lambda i: (F.col("_v") - grid(i)) / F.col("_h")
+    grid = [f"(_lo + _w * {i / (points - 1)!r}D)" for i in range(points)]
+    z = [f"((_v - {g}) / _h)" for g in grid]
     sums = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_h", "_lo", "_w")],
-        *[F.sum(F.exp(F.lit(-0.5) * z(i) * z(i))).alias(f"_k{i}") for i in range(points)])
-    norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), grid(i).alias("x"), (F.col(f"_k{i}") / norm).alias("density"))
-                                for i in range(points)]))
-    return sums.select(*key, cells.alias("_c")).select(*key, "_c.point", "_c.x", "_c.density")
+        *[F.expr(f"sum(exp(-0.5D * {z[i]} * {z[i]})) AS _k{i}") for i in range(points)])
+    norm = f"(_n * _h * {math.sqrt(2 * math.pi)!r}D)"
+    cells = ", ".join(f"struct({i} AS point, {grid[i]} AS x, _k{i} / {norm} AS density)" for i in range(points))
+    return sums.selectExpr(*key, f"inline(array({cells}))")
 
 
 def kde_2d(df: DataFrame, a: str, b: str, points: int = 12) -> DataFrame:
@@ -162,21 +151,15 @@ def kde_2d(df: DataFrame, a: str, b: str, points: int = 12) -> DataFrame:
     rows = with_row(v, s)
     last = float(points - 1)
     rows = rows.withColumn("ia", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    da = F.col("_a") - (F.col("_alo") + (F.col("_ahi") - F.col("_alo")) * (F.col("ia") / F.lit(last)))
-    rows = rows.withColumn("_da", da)
+    rows = rows.withColumn("_da", F.expr(f"_a - (_alo + (_ahi - _alo) * (ia / {last!r}D))"))
 
     def kernel(j: int) -> Column:
-        db = F.col("_b") - (F.col("_blo") + (F.col("_bhi") - F.col("_blo")) * F.lit(j / last))
-        form = (F.col("_vbb") * F.col("_da") * F.col("_da") - F.lit(2.0) * F.col("_vab") * F.col("_da") * db
-                + F.col("_vaa") * db * db) / F.col("_det")
-        return F.exp(F.lit(-0.5) * form)
-
-    sums = rows.groupBy("ia").agg(F.first("_n").alias("_n"), F.first("_det").alias("_det"),
-                                  *[F.sum(kernel(j)).alias(f"_k{j}") for j in range(points)])
-    norm = F.col("_n") * F.lit(2 * math.pi) * F.sqrt("_det")
-    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("ib"), (F.col(f"_k{j}") / norm).alias("density"))
-                                for j in range(points)]))
-    return sums.select("ia", cells.alias("_c")).select("ia", "_c.ib", "_c.density")
+        db = f"(_b - (_blo + (_bhi - _blo) * {j / last!r}D))"
+        return F.expr(f"sum(exp(-0.5D * (_vbb * _da * _da - 2D * _vab * _da * {db} + _vaa * {db} * {db}) / _det)) AS _k{j}")
+
+    sums = rows.groupBy("ia").agg(F.first("_n").alias("_n"), F.first("_det").alias("_det"), *[kernel(j) for j in range(points)])
+    cells = ", ".join(f"struct({j} AS ib, _k{j} / (_n * {2 * math.pi!r}D * sqrt(_det)) AS density)" for j in range(points))
+    return sums.selectExpr("ia", f"inline(array({cells}))")
 
 
 def author_stats(posts: DataFrame, by: str, count: str, means: Sequence[str], spread: Sequence[str] = ()) -> DataFrame:

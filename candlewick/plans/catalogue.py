@@ -170,7 +170,7 @@ def signal_label(spark, sf):
     f"round({O.framed('sum', 'volume', k)}, 4) AS vol_{k}_h" for k in I.HORIZONS) + " FROM dense")
 def rolling_volume(spark, sf):
     w = R.Blocked(T.dense_bars(spark, sf).select(*KEY, "ds", "volume"), KEY, "ds", back=240)
-    w.add(**{f"vol_{k}_h": R.rolling(w, F.col("volume"), k) for k in I.HORIZONS})
+    w.add(**{f"vol_{k}_h": R.rolling(w, "volume", k) for k in I.HORIZONS})
     return rounded(w.done().drop("volume"), [f"vol_{k}_h" for k in I.HORIZONS], 4)
 
 
@@ -178,7 +178,7 @@ def rolling_volume(spark, sf):
     f"round({O.framed('stddev_samp', 'y', k)}, 6) AS std_{k}_h" for k in (20, 72, 240)) + " FROM dense")
 def rolling_volatility(spark, sf):
     w = R.Blocked(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, "ds", back=240)
-    w.add(**{f"std_{k}_h": R.rolling(w, F.col("y"), k, F.stddev_samp) for k in (20, 72, 240)})
+    w.add(**{f"std_{k}_h": R.rolling(w, "y", k, "stddev_samp") for k in (20, 72, 240)})
     return rounded(w.done().drop("y"), [f"std_{k}_h" for k in (20, 72, 240)])
 
 
@@ -412,7 +412,7 @@ known AS (SELECT c.id, c.clean_text, m.is_relevant FROM cleaned c LEFT JOIN memo
 SELECT id, coalesce(is_relevant, {O.relevance('clean_text')}) AS is_relevant FROM known WHERE is_relevant IS DISTINCT FROM FALSE""")
 def keyword_relevance(spark, sf):
     posts = T.with_text(T.posts(spark, sf))
-    return DD.judge_relevance(posts, T.relevance_memo(spark, sf), "clean_text",
+    return DD.judge_relevance(posts, T.relevance_memo(spark, sf),
                               X.mentions_any("clean_text")).select("id", "is_relevant")
 
 
