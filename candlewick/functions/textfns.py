@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .scalars import bind
+
 # The topic words of the relevance rule. Matching ignores case and is by substring.
 RELEVANCE_WORDS = (
     "Bitcoin", "BTC", "Crypto", "Cryptocurrency", "Blockchain",
@@ -106,11 +108,6 @@ def tokens(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(_c(c)), r"\s+"), lambda t: t != "")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def softmax(scores: Column) -> Column:
     """Softmax of an array of doubles."""
     shifted = bind(scores, lambda s: bind(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))

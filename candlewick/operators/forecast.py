@@ -11,6 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timefns as D
+from ..functions.scalars import bind
 from ..session import staged
 from . import backtest as B, rolling as R, stats as S
 from .leastsq import dot, ridge
@@ -62,19 +63,27 @@ def fit_baseline(train: DataFrame, key: Sequence[str], ts: str = "ds", y: str =
                  start: str = "training_start", end: str = "training_end",
                  prior: float = CHANGEPOINT_PRIOR, season_prior: float = SEASONALITY_PRIOR,
                  reach: float = CHANGEPOINT_RANGE, yearly: bool = False) -> DataFrame:
-    """Coefficients per key: piecewise trend, then seasonality as a factor of the trend.
+    """Coefficients per key of ``trend + level * (weekly + daily)``.
 
-    ``start`` and ``end`` are columns with the bounds of each key's training span.
+    ``start`` and ``end`` are columns with the bounds of each key's training span. A first fit of
+    the piecewise trend gives the level that seasonality scales with; the second fits trend and
+    seasonality together, so that neither takes up the other's movement.
     """
     keep = [*key, start, end]
-    x = train.withColumns({"_u": _progress(ts, start, end), "_y": F.col(y).cast("double")}).where(F.col("_y").isNotNull())
-    x = x.withColumn("_t", trend_features(F.col("_u"), reach))
-    trend = ridge(x, keep, "_t", "_y", [("trend", trend_penalty(prior))]).select(*keep, F.col("beta").alias("trend_beta"))
-    seasonal = (x.join(trend, keep).withColumn("_trend", dot("_t", "trend_beta"))
-                .withColumn("_ratio", F.try_divide(F.col("_y"), F.col("_trend")) - 1).where(F.col("_ratio").isNotNull())
-                .withColumn("_f", season_features(ts, yearly)))
-    season = ridge(seasonal, keep, "_f", "_ratio", [("season", season_penalty(season_prior, yearly))])
-    return trend.join(season.select(*keep, F.col("beta").alias("season_beta"), F.col("sigma").alias("ratio_sigma")), keep)
+    x = _design(train.withColumn("_y", F.col(y).cast("double")).where(F.col("_y").isNotNull()), ts, start, end, reach, yearly)
+    level = ridge(x, keep, "_t", "_y", [("level", trend_penalty(prior))]).select(*keep, F.col("beta").alias("level_beta"))
+    both = x.join(level, keep).withColumn("_x", _joint(dot("_t", "level_beta")))
+    penalty = trend_penalty(prior) + season_penalty(season_prior, yearly)
+    full = ridge(both, keep, "_x", "_y", [("both", penalty)])
+    return level.join(full.select(*keep, "beta", "sigma"), keep)
+
+
+def _design(df: DataFrame, ts: str, start: str, end: str, reach: Column | float, yearly: bool) -> DataFrame:
+    return df.withColumns({"_t": trend_features(_progress(ts, start, end), reach), "_f": season_features(ts, yearly)})
+
+
+def _joint(level: Column) -> Column:
+    return F.concat(F.col("_t"), bind(level, lambda v: F.transform("_f", lambda f: f * v)))
 
 
 def _progress(ts: str, start: str, end: str) -> Column:
@@ -85,22 +94,21 @@ def _progress(ts: str, start: str, end: str) -> Column:
 def predict_baseline(rows: DataFrame, fit: DataFrame, key: Sequence[str], ts: str = "ds",
                      start: str = "training_start", end: str = "training_end",
                      reach: float = CHANGEPOINT_RANGE, yearly: bool = False) -> DataFrame:
-    """Add trend, weekly, daily, yhat and the 95 % bounds."""
-    keep = [*key, start, end]
+    """Add trend, weekly, daily (as shares of the level), yhat and the 95 % bounds."""
+    n_t = CHANGEPOINTS + 2
     parts = {"weekly": (0, 2 * WEEKLY_ORDER), "daily": (2 * WEEKLY_ORDER, 2 * DAILY_ORDER)}
     if yearly:
         parts["yearly"] = (2 * (WEEKLY_ORDER + DAILY_ORDER), 2 * YEARLY_ORDER)
-    out = rows.join(fit, keep).withColumns({
-        "_t": trend_features(_progress(ts, start, end), reach), "_f": season_features(ts, yearly)})
-    out = out.withColumn("trend", dot("_t", "trend_beta")).withColumns({
-        name: dot(F.slice("_f", lo + 1, n), F.slice("season_beta", lo + 1, n)) for name, (lo, n) in parts.items()})
-    factor = F.lit(1.0)
+    out = _design(rows.join(fit, [*key, start, end]), ts, start, end, reach, yearly)
+    out = out.withColumns({"trend": dot("_t", F.slice("beta", 1, n_t)), "_level": dot("_t", "level_beta")}).withColumns({
+        name: dot(F.slice("_f", lo + 1, n), F.slice("beta", n_t + lo + 1, n)) for name, (lo, n) in parts.items()})
+    season = F.lit(0.0)
     for name in parts:
-        factor = factor + F.col(name)
-    out = out.withColumn("yhat", F.col("trend") * factor)
-    half = F.lit(INTERVAL_Z) * F.col("ratio_sigma") * F.abs("trend")
+        season = season + F.col(name)
+    out = out.withColumn("yhat", F.col("trend") + F.col("_level") * season)
+    half = F.lit(INTERVAL_Z) * F.col("sigma")
     return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop(
-        "_t", "_f", "trend_beta", "season_beta", "ratio_sigma")
+        "_t", "_f", "_level", "level_beta", "beta", "sigma")
 
 
 def training_span(df: DataFrame, key: Sequence[str], ts: str = "ds") -> DataFrame:
@@ -149,22 +157,22 @@ def tune_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_
     rows = B.expand_cutoffs(df.select(*key, ts, y), key, ts, start, end, step_h, train_days, horizon)
     rows = rows.withColumn("reach", F.explode(F.array(*[F.lit(float(r)) for r in reaches])))
     group = [*key, "cutoff", "reach"]
-    rows = rows.withColumn("_u", _progress(ts, "training_start", "training_end"))
-    rows = rows.withColumns({"_t": trend_features(F.col("_u"), F.col("reach")), "_f": season_features(ts),
-                             "_y": F.col(y).cast("double")})
-    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    trend = ridge(train, group, "_t", "_y", [(repr(float(p)), trend_penalty(p)) for p in priors]).select(
-        *group, F.col("fit").alias("prior"), F.col("beta").alias("trend_beta"))
-    with_trend = (train.join(trend, group).withColumn("_r", F.try_divide(F.col("_y"), dot("_t", "trend_beta")) - 1)
-                  .where(F.col("_r").isNotNull()))
-    season = ridge(with_trend, [*group, "prior"], "_f", "_r", [(repr(float(p)), season_penalty(p)) for p in season_priors])
-    fits = trend.join(season.select(*group, "prior", F.col("fit").alias("season_prior"), F.col("beta").alias("season_beta")),
-                      [*group, "prior"])
-    yhat = dot("_t", "trend_beta") * (F.lit(1.0) + dot("_f", "season_beta"))
+    rows = _design(rows.withColumn("_y", F.col(y).cast("double")), ts, "training_start", "training_end", F.col("reach"), False)
+    train, test = rows.where(~F.col("is_test") & F.col("_y").isNotNull()), rows.where("is_test")
+    level = ridge(train, group, "_t", "_y", [(repr(float(p)), trend_penalty(p)) for p in priors]).select(
+        *group, F.col("fit").alias("prior"), F.col("beta").alias("level_beta"))
+    # The penalty of a trend prior only makes sense with its own level, so combinations are
+    # solved for every pair and the matching ones kept.
+    pairs = [(f"{float(p)!r}|{float(q)!r}", trend_penalty(p) + season_penalty(q)) for p in priors for q in season_priors]
+    both = train.join(level, group).withColumn("_x", _joint(dot("_t", "level_beta")))
+    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs)
+            .where(F.substring_index("fit", "|", 1) == F.col("prior"))
+            .select(*group, "prior", F.substring_index("fit", "|", -1).alias("season_prior"), "beta"))
+    scored = (test.join(level.join(fits, [*group, "prior"]), group)
+              .withColumn("yhat", dot(_joint(dot("_t", "level_beta")), "beta")))
     e = F.col("_y") - F.col("yhat")
-    return (test.join(fits, group).withColumn("yhat", yhat)
-            .groupBy(F.col("prior").cast("double").alias("prior"), F.col("season_prior").cast("double").alias("season_prior"), "reach")
-            .agg(F.sqrt(F.avg(e * e)).alias("rmse")))
+    return scored.groupBy(F.col("prior").cast("double").alias("prior"), F.col("season_prior").cast("double").alias("season_prior"),
+                          "reach").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def best_parameters(tuned: DataFrame) -> DataFrame:

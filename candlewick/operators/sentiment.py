@@ -35,7 +35,7 @@ class LexiconScorer:
             return F.array(*[
                 X.lexicon_logit(words, w) / size * F.lit(self.scale) + F.lit(float(self.bias.get(l, 0.0)))
                 for l, w in self.weights.items()])
-        return X.softmax(X.bind(X.tokens(text), logits))
+        return X.softmax(M.bind(X.tokens(text), logits))
 
 
 def score_text(df: DataFrame, text: str, scorer: LexiconScorer, prefix: str = "sentiment_") -> DataFrame:
