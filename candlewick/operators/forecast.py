@@ -63,11 +63,11 @@ def fit_baseline(train: DataFrame, key: Sequence[str], ts: str = "ds", y: str =
                  start: str = "training_start", end: str = "training_end",
                  prior: float = CHANGEPOINT_PRIOR, season_prior: float = SEASONALITY_PRIOR,
                  reach: float = CHANGEPOINT_RANGE, yearly: bool = False) -> DataFrame:
-    """Coefficients per key of ``trend + level * (weekly + daily)``.
+    """Coefficients per key of ``trend * (1 + weekly + daily)``.
 
     ``start`` and ``end`` are columns with the bounds of each key's training span. A first fit of
-    the piecewise trend gives the level that seasonality scales with; the second fits trend and
-    seasonality together, so that neither takes up the other's movement.
+    the piecewise trend gives the level that stands in for the trend as factor of the seasonality;
+    the second fits trend and seasonality together, so that neither takes up the other's movement.
     """
     keep = [*key, start, end]
     x = _design(train.withColumn("_y", F.col(y).cast("double")).where(F.col("_y").isNotNull()), ts, start, end, reach, yearly)
@@ -75,7 +75,7 @@ def fit_baseline(train: DataFrame, key: Sequence[str], ts: str = "ds", y: str =
     both = x.join(level, keep).withColumn("_x", _joint(dot("_t", "level_beta")))
     penalty = trend_penalty(prior) + season_penalty(season_prior, yearly)
     full = ridge(both, keep, "_x", "_y", [("both", penalty)])
-    return level.join(full.select(*keep, "beta", "sigma"), keep)
+    return full.select(*keep, "beta", "sigma")
 
 
 def _design(df: DataFrame, ts: str, start: str, end: str, reach: Column | float, yearly: bool) -> DataFrame:
@@ -94,21 +94,21 @@ def _progress(ts: str, start: str, end: str) -> Column:
 def predict_baseline(rows: DataFrame, fit: DataFrame, key: Sequence[str], ts: str = "ds",
                      start: str = "training_start", end: str = "training_end",
                      reach: float = CHANGEPOINT_RANGE, yearly: bool = False) -> DataFrame:
-    """Add trend, weekly, daily (as shares of the level), yhat and the 95 % bounds."""
+    """Add trend, weekly, daily (as shares of the trend), yhat and the 95 % bounds."""
     n_t = CHANGEPOINTS + 2
     parts = {"weekly": (0, 2 * WEEKLY_ORDER), "daily": (2 * WEEKLY_ORDER, 2 * DAILY_ORDER)}
     if yearly:
         parts["yearly"] = (2 * (WEEKLY_ORDER + DAILY_ORDER), 2 * YEARLY_ORDER)
     out = _design(rows.join(fit, [*key, start, end]), ts, start, end, reach, yearly)
-    out = out.withColumns({"trend": dot("_t", F.slice("beta", 1, n_t)), "_level": dot("_t", "level_beta")}).withColumns({
+    out = out.withColumn("trend", dot("_t", F.slice("beta", 1, n_t))).withColumns({
         name: dot(F.slice("_f", lo + 1, n), F.slice("beta", n_t + lo + 1, n)) for name, (lo, n) in parts.items()})
-    season = F.lit(0.0)
+    factor = F.lit(1.0)
     for name in parts:
-        season = season + F.col(name)
-    out = out.withColumn("yhat", F.col("trend") + F.col("_level") * season)
+        factor = factor + F.col(name)
+    out = out.withColumn("yhat", F.col("trend") * factor)
     half = F.lit(INTERVAL_Z) * F.col("sigma")
     return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop(
-        "_t", "_f", "_level", "level_beta", "beta", "sigma")
+        "_t", "_f", "beta", "sigma")
 
 
 def training_span(df: DataFrame, key: Sequence[str], ts: str = "ds") -> DataFrame:
@@ -168,8 +168,9 @@ def tune_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_
     fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs)
             .where(F.substring_index("fit", "|", 1) == F.col("prior"))
             .select(*group, "prior", F.substring_index("fit", "|", -1).alias("season_prior"), "beta"))
-    scored = (test.join(level.join(fits, [*group, "prior"]), group)
-              .withColumn("yhat", dot(_joint(dot("_t", "level_beta")), "beta")))
+    n_t, n_f = CHANGEPOINTS + 2, 2 * (WEEKLY_ORDER + DAILY_ORDER)
+    scored = test.join(fits, group).withColumn(
+        "yhat", dot("_t", F.slice("beta", 1, n_t)) * (F.lit(1.0) + dot("_f", F.slice("beta", n_t + 1, n_f))))
     e = F.col("_y") - F.col("yhat")
     return scored.groupBy(F.col("prior").cast("double").alias("prior"), F.col("season_prior").cast("double").alias("season_prior"),
                           "reach").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
