@@ -136,6 +136,16 @@ def baseline_forecast(df: DataFrame, key: Sequence[str], ts: str = "ds", y: str
     return out.withColumnsRenamed({c: prefix + c for c in out.columns if c not in (*key, ts)}) if prefix else out
 
 
+def attach_baseline(df: DataFrame, key: Sequence[str], ts: str = "ds", y: str = "y", prefix: str = "baseline_",
+                    **params) -> DataFrame:
+    """The training rows with the baseline's own fitted columns as further features."""
+    train = df.join(training_span(df, key, ts), list(key))
+    fit = fit_baseline(train, key, ts, y, **params)
+    shared = {k: v for k, v in params.items() if k in ("reach", "yearly")}
+    out = predict_baseline(train, fit, key, ts, **shared).drop("training_start", "training_end")
+    return out.withColumnsRenamed({c: prefix + c for c in out.columns if c not in df.columns})
+
+
 def backtest_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_h: int = 6,
                       train_days: int = 180, horizon: int = 120, ts: str = "ds", y: str = "y", **params) -> DataFrame:
     """Baseline refitted at every cut-off, all cut-offs in one job; one summary row per run."""
@@ -161,12 +171,9 @@ def tune_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_
     train, test = rows.where(~F.col("is_test") & F.col("_y").isNotNull()), rows.where("is_test")
     level = ridge(train, group, "_t", "_y", [(repr(float(p)), trend_penalty(p)) for p in priors]).select(
         *group, F.col("fit").alias("prior"), F.col("beta").alias("level_beta"))
-    # The penalty of a trend prior only makes sense with its own level, so combinations are
-    # solved for every pair and the matching ones kept.
     pairs = [(f"{float(p)!r}|{float(q)!r}", trend_penalty(p) + season_penalty(q)) for p in priors for q in season_priors]
     both = train.join(level, group).withColumn("_x", _joint(dot("_t", "level_beta")))
-    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs)
-            .where(F.substring_index("fit", "|", 1) == F.col("prior"))
+    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs, match="prior")
             .select(*group, "prior", F.substring_index("fit", "|", -1).alias("season_prior"), "beta"))
     n_t, n_f = CHANGEPOINTS + 2, 2 * (WEEKLY_ORDER + DAILY_ORDER)
     scored = test.join(fits, group).withColumn(

@@ -51,11 +51,13 @@ def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataF
 
 
 def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
-          penalties: Sequence[tuple[str, Sequence[float]]], subsets: Sequence[Sequence[int]] | None = None) -> DataFrame:
+          penalties: Sequence[tuple[str, Sequence[float]]], subsets: Sequence[Sequence[int]] | None = None,
+          match: str | None = None) -> DataFrame:
     """``key, fit, beta, sigma, n``: one solution per group and penalty vector.
 
     ``subsets`` (parallel to ``penalties``) restricts a fit to some feature positions; the other
-    coefficients are zero. All fits of a group share its one pass over the data.
+    coefficients are zero. All fits of a group share its one pass over the data. With ``match``
+    a group only runs the fits whose name up to ``|`` equals its value in that key column.
     """
     names = list(key)
     schema = T.StructType([*[df.schema[k] for k in key], T.StructField("fit", T.StringType()),
@@ -70,6 +72,8 @@ def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
         xx = np.sum(np.stack(pdf["xx"]), axis=0).reshape(d, d)
         out = []
         for name, pen, keep in plan:
+            if match and name.split("|")[0] != str(pdf[match].iloc[0]):
+                continue
             at = np.arange(d) if keep is None else np.asarray(keep)
             a = xx[np.ix_(at, at)] + np.diag(pen[at])
             beta = np.zeros(d)

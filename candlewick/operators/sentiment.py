@@ -107,6 +107,12 @@ def explode_scores(df: DataFrame, labels: str, scores: str, prefix: str) -> Data
             .select(*keep, F.col("_z.l").alias(f"{prefix}label"), F.col("_z.s").alias(f"{prefix}score")))
 
 
+def entries_to_columns(df: DataFrame, entries: str, known: Sequence[str], prefix: str) -> DataFrame:
+    """An array of (label, score) structs to one column per known label."""
+    pairs = F.map_from_entries(F.col(entries))
+    return df.withColumns({prefix + l: F.try_element_at(pairs, F.lit(l)) for l in known})
+
+
 def pivot_scores(df: DataFrame, id_col: str, label: str, score: str, known: Sequence[str],
                  prefix: str) -> DataFrame:
     """Exploded scores back to one column per label, first value per (id, label)."""
@@ -114,6 +120,11 @@ def pivot_scores(df: DataFrame, id_col: str, label: str, score: str, known: Sequ
     return wide.withColumnsRenamed({l: prefix + l for l in known})
 
 
+def attach_comments(posts: DataFrame, comments: DataFrame, link: str = "link_id", kind: str = "t3_") -> DataFrame:
+    """Comments next to their post: a comment names its post by type prefix and id."""
+    return posts.join(comments, F.concat(F.lit(kind), posts["id"]) == comments[link])
+
+
 def hourly_sentiment(posts: DataFrame, cols: Sequence[str], ts: str = "ds",
                      min_upvote: float = 0.7) -> DataFrame:
     """Mean score and post count per hour over posts with enough agreement."""
@@ -164,11 +175,15 @@ def sentiment_score(df: DataFrame) -> DataFrame:
     return df.withColumn("sentiment_score", M.composite_score(*need))
 
 
-def tag_posts(posts: DataFrame, ts: str = "created_at", newest: int = 500) -> DataFrame:
-    """The newest posts with their 6-hour group and strongest sentiment."""
-    top = posts.orderBy(F.col(ts).desc(), F.col("id").desc()).limit(newest)
+def newest_posts(posts: DataFrame, ts: str = "created_at", n: int = 500) -> DataFrame:
+    """The n newest posts. Take them before scoring, so that only these are scored."""
+    return posts.orderBy(F.col(ts).desc(), F.col("id").desc()).limit(n)
+
+
+def tag_posts(posts: DataFrame, ts: str = "created_at") -> DataFrame:
+    """Posts with their 6-hour group and strongest sentiment."""
     best = M.dominant([(l, F.col(f"sentiment_{l}")) for l in SENTIMENTS])
-    return top.withColumns({"time_group": D.floor_to(ts, 6 * 3600), "senti_most": best})
+    return posts.withColumns({"time_group": D.floor_to(ts, 6 * 3600), "senti_most": best})
 
 
 def representative_posts(tagged: DataFrame, prefer: str = "low") -> DataFrame:

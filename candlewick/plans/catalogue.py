@@ -622,7 +622,7 @@ tagged AS (
 @register("rep_posts", O._with(O.SCORED, TAGGED) + f"SELECT id, created_at, upvote_ratio, num_comments, time_group, senti_most, {O.r('sentiment_negative', 'sentiment_neutral', 'sentiment_positive')} FROM tagged")
 def rep_posts(spark, sf):
     cols = [f"sentiment_{l}" for l in S.SENTIMENTS]
-    p = T.sentiment_posts(spark, sf).select("id", "created_at", "upvote_ratio", "num_comments", *cols)
+    p = T.newest_scored(spark, sf).select("id", "created_at", "upvote_ratio", "num_comments", *cols)
     return rounded(S.tag_posts(p), cols)
 
 
@@ -632,7 +632,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY senti_most ORDER BY time_gr
 SELECT senti_most, 'low' AS prefer, id, upvote_ratio, time_group FROM ranked WHERE lo = 1
 UNION ALL SELECT senti_most, 'high', id, upvote_ratio, time_group FROM ranked WHERE hi = 1""")
 def representative_posts(spark, sf):
-    tagged = S.tag_posts(T.sentiment_posts(spark, sf))
+    tagged = S.tag_posts(T.newest_scored(spark, sf)).select("id", "upvote_ratio", "time_group", "senti_most")
     low = S.representative_posts(tagged, "low").withColumn("prefer", F.lit("low"))
     high = S.representative_posts(tagged, "high").withColumn("prefer", F.lit("high"))
     return low.unionByName(high).select("senti_most", "prefer", "id", "upvote_ratio", "time_group")
@@ -1227,3 +1227,60 @@ def stream_enriched(spark, sf):
     out = _run(spark, sf, "enriched", lambda e: e.select("event_id", "user_id"),
                lambda t: STR.append_delta(t, lambda d: DD.attach_memo(d, customers, ["user_id"], ["c_mktsegment"])), "append")
     return spark.read.parquet(out).drop("batch_id")
+
+
+# -- lookups, lists and scalar expressions ------------------------------------------------------------------------
+
+@register("comments_by_post", O._with(O.POSTS, "comments AS (SELECT event_id, 't3_' || CAST(user_id AS VARCHAR) AS link_id, value FROM events)") + """
+SELECT p.id, count(*) AS n_comments, round(sum(value), 6) AS total FROM posts p JOIN comments c ON 't3_' || p.id = c.link_id GROUP BY 1""")
+def comments_by_post(spark, sf):
+    comments = T.events(spark, sf).select("event_id", F.concat(F.lit("t3_"), F.col("user_id").cast("string")).alias("link_id"), "value")
+    # Summed per post first: one row per post meets the posts, however many comments one post has.
+    per_post = comments.groupBy("link_id").agg(F.count(F.lit(1)).alias("n_comments"), F.sum("value").alias("total"))
+    out = S.attach_comments(T.posts(spark, sf).select("id"), per_post).drop("link_id")
+    return rounded(out, ["total"])
+
+
+@register("author_list", O._with(O.POSTS) + "SELECT author, max(num_comments) AS top FROM posts GROUP BY 1 ORDER BY top DESC, author")
+def author_list(spark, sf):
+    return T.posts(spark, sf).groupBy("author").agg(F.max("num_comments").alias("top")).orderBy(F.col("top").desc(), "author")
+
+
+@register("common_days", O._with(O.BARS, O.POSTS) + """
+SELECT date_trunc('day', ds) AS ds FROM bars INTERSECT SELECT date_trunc('day', created_at) FROM posts WHERE upvote_ratio > 0.7""")
+def common_days(spark, sf):
+    a = T.bars(spark, sf).select(D.floor_day("ds").alias("ds"))
+    b = T.posts(spark, sf).where("upvote_ratio > 0.7").select(D.floor_day("created_at").alias("ds"))
+    return a.intersect(b)
+
+
+@register("classifier_relevance", O._with(O.SCORED) + """
+SELECT id, coalesce(emotion_fear > 0.5 OR emotion_joy > 0.5 OR emotion_neutral > 0.5, FALSE) AS is_relevant FROM scored""")
+def classifier_relevance(spark, sf):
+    return T.scored(spark, sf).select("id", S.any_label_above("emotion_scores").alias("is_relevant"))
+
+
+@register("entries_to_columns", O._with(O.SCORED) + f"SELECT id, {O.r('sentiment_negative', 'sentiment_neutral', 'sentiment_positive')} FROM scored")
+def entries_to_columns(spark, sf):
+    s = T.scored(spark, sf).select("id", F.arrays_zip(F.col("sentiment_labels").alias("l"), F.col("sentiment_scores").alias("s")).alias("e"))
+    out = S.entries_to_columns(s, "e", T.SENTIMENT.labels, "sentiment_").drop("e")
+    return rounded(out, [f"sentiment_{l}" for l in T.SENTIMENT.labels])
+
+
+@register("scalar_math", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT AS price_floor, round_even(l_discount * l_extendedprice * 1.37 * 100, 0) / 100 AS discount_2dp,
+       abs(l_quantity - 25) AS distance, round(ln(l_quantity + 1), 6) AS log_quantity, round(power(l_tax, 2), 6) AS tax_squared, round(sqrt(l_extendedprice), 6) AS root_price,
+       round(power(0.5, l_quantity / 24), 6) AS decay, trunc(l_extendedprice)::INTEGER AS price_int, greatest(coalesce(l_quantity - 30, 0), 0) AS above_30 FROM lineitem""")
+def scalar_math(spark, sf):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return T.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(p).alias("price_floor"),
+        (F.rint(F.col("l_discount") * p * 1.37 * 100) / 100).alias("discount_2dp"), F.abs(q - 25).alias("distance"),
+        F.round(F.log1p(q), 6).alias("log_quantity"), F.round(F.pow("l_tax", F.lit(2.0)), 6).alias("tax_squared"),
+        F.round(F.sqrt(p), 6).alias("root_price"), F.round(M.decay(q), 6).alias("decay"), p.cast("int").alias("price_int"),
+        M.floor_zero(q - 30).alias("above_30"))
+
+
+@register("baseline_features")
+def baseline_features(spark, sf):
+    return P.attach_baseline(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import textfns as X, timefns as D
-from ..operators import dedupe as DD, grid as G, sentiment as S
+from ..operators import grid as G, sentiment as S
 
 KEY = ["series_id"]
 
@@ -84,15 +84,25 @@ def with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("clean_text", X.clean_text(X.join_text("title", "body")))
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    p = with_text(posts(spark, sf))
+def score_posts(df: DataFrame) -> DataFrame:
+    p = with_text(df)
     return S.score_text(S.score_text(p, "clean_text", SENTIMENT), "clean_text", EMOTION, "emotion_")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    return S.scores_to_columns(df, "sentiment_labels", "sentiment_scores", SENTIMENT.labels, "sentiment_")
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return score_posts(posts(spark, sf))
+
+
 def scored_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = S.scores_to_columns(scored(spark, sf), "sentiment_labels", "sentiment_scores",
-                               SENTIMENT.labels, "sentiment_")
-    return wide
+    return widen(scored(spark, sf))
+
+
+def newest_scored(spark: SparkSession, sf: str, n: int = 500) -> DataFrame:
+    return widen(score_posts(S.newest_posts(posts(spark, sf), n=n)))
 
 
 def sentiment_posts(spark: SparkSession, sf: str) -> DataFrame:
