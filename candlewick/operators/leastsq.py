@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Groups whose sums a task holds before it hands them on.
 HELD_GROUPS = 512
+COMBINERS = 32
 
 
 def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
@@ -50,6 +51,20 @@ def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataF
     return rows.mapInPandas(run, schema)
 
 
+def _combined(parts: DataFrame, names: list[str]) -> DataFrame:
+    """With many tasks, sum a group's partial rows in ``COMBINERS`` places before the solver."""
+    spark = parts.sparkSession
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= COMBINERS:
+        return parts
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in names], pdf["n"].sum(), np.sum(np.stack(pdf["xx"]), axis=0),
+                              np.sum(np.stack(pdf["xy"]), axis=0), pdf["yy"].sum()]], columns=[*names, "n", "xx", "xy", "yy"])
+
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(COMBINERS)))
+    return salted.groupBy(*names, "_salt").applyInPandas(add, parts.schema)
+
+
 def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
           penalties: Sequence[tuple[str, Sequence[float]]], subsets: Sequence[Sequence[int]] | None = None,
           match: str | None = None) -> DataFrame:
@@ -82,8 +97,7 @@ def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
             out.append([*[pdf[k].iloc[0] for k in names], name, beta, float(np.sqrt(sse / max(n, 1))), n])
         return pd.DataFrame(out, columns=[*names, "fit", "beta", "sigma", "n"])
 
-    parts = normal_equations(df, key, x, y)
-    # One small row per task and group reaches each solver.
+    parts = _combined(normal_equations(df, key, x, y), names)
     return parts.groupBy(*key).applyInPandas(solve, schema)
 
 

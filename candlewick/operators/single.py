@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 
 def row_of(one: DataFrame) -> Column:
@@ -18,13 +18,22 @@ def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
 SMALL_ROWS = 20_000
 
 
+def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
+    """The rows of an aggregate, or None when it has more than ``limit``."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """An aggregate to join back to its input: broadcast only when it was counted as small.
 
     Up to ``limit`` rows are fetched once and sent to every task, so the large side is not
     shuffled. A larger table stays a plain join, which AQE plans and splits when skewed.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    rows = small_rows(df, limit)
+    return df if rows is None else sent(rows, df)
+
+
+def sent(rows: list[Row], like: DataFrame) -> DataFrame:
+    """Fetched rows as a table for every task."""
+    return F.broadcast(like.sparkSession.createDataFrame(rows, like.schema))

@@ -7,50 +7,43 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .single import row_of, small_side, with_row
+from .single import row_of, sent, small_rows, small_side, with_row
 
-RANGES = 32
+# Value ranges per cut, and the rows a range may hold before it is cut again.
+RANGES = 256
+RANGE_ROWS = 4_000_000
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, without gathering a group in one task.
 
-    Three light passes: a mergeable sketch cuts each group into value ranges, the ranges are counted, and only rows
-    of the ranges that hold a wanted position are ordered - after equal values were merged.
+    A mergeable sketch cuts each group into value ranges, the ranges are counted, and only rows
+    of the ranges that hold a wanted position go on. Ranges that are still large are cut again.
+    What is left is ordered, after equal values were merged.
     """
     by = list(by)
     names = list(names) if names else [f"q{round(p * 100)}" for p in probs]
-    v = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = v.groupBy(*by).agg(F.percentile_approx("_v", cuts, 2000).alias("_b"))
-    if by:
-        tagged = v.join(small_side(bounds), by)
-    else:
-        tagged = with_row(v, bounds)
-    # Binary search of the value among the cuts, one short projection per halving.
-    tagged = tagged.withColumn("_g", F.lit(0))
-    half = RANGES // 2
-    while half:
-        beyond = F.col("_v") > F.get(F.col("_b"), F.col("_g") + F.lit(half - 1))
-        tagged = tagged.withColumn("_g", F.col("_g") + F.when(beyond, half).otherwise(0))
-        half //= 2
-    tagged = tagged.select(*by, "_v", "_g")
-
-    counts = tagged.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_m"))
-    # At most RANGES rows per group.
-    one = Window.partitionBy(*(by or [F.lit(0)]))
-    order = one.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "_g", "_m", F.coalesce(F.sum("_m").over(order), F.lit(0)).alias("_start"),
-                           F.sum("_m").over(one).alias("_size"))
-
     position = {p: f"((_size - 1) * {float(p)!r}D)" for p in probs}
     ends = {(p, tag): f"{fn}({position[p]})" for p in probs for tag, fn in (("lo", "floor"), ("hi", "ceil"))}
     wanted = F.expr(" OR ".join(f"({k} >= _start AND {k} < _start + _m)" for k in ends.values()))
-    hit = small_side(counts.where(wanted).drop("_m"))
-    values = (tagged.join(hit, [*by, "_g"]).groupBy(*by, "_g", "_start", "_size", "_v")
-              .agg(F.count(F.lit(1)).alias("_m")))
-    inside = Window.partitionBy(*by, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+
+    rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
+    path: list[str] = []
+    largest = None
+    while True:
+        tagged, counts = _cut(rows, [*by, *path], f"_g{len(path)}", first=not path)
+        path.append(f"_g{len(path)}")
+        hit = counts.where(wanted)
+        few = small_rows(hit)
+        rows = tagged.join((hit if few is None else sent(few, hit)).drop("_m"), [*by, *path])
+        most = max((r["_m"] for r in few or []), default=0)
+        if most <= RANGE_ROWS or most == largest:
+            break
+        largest = most
+
+    values = rows.groupBy(*by, *path, "_start", "_size", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy(*by, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = values.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_m").over(inside), F.lit(0)))
     got = placed.groupBy(*by).agg(F.first("_size").alias("_size"), *[
         F.expr(f"max(CASE WHEN {ends[p, tag]} >= _at AND {ends[p, tag]} < _at + _m THEN _v END) AS _{tag}_{i}")
@@ -60,6 +53,30 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
         for i, (p, n) in enumerate(zip(probs, names))])
 
 
+def _cut(rows: DataFrame, keys: list[str], out: str, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Tag rows with their value range in ``out``; also the count and start position per range."""
+    cuts = F.expr("array(" + ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES)) + ")")
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4 * RANGES).alias("_b"))
+    tagged = rows.join(small_side(bounds), keys) if keys else with_row(rows, bounds)
+    # Binary search of the value among the cuts, one short projection per halving.
+    tagged = tagged.withColumn(out, F.lit(0))
+    half = RANGES // 2
+    while half:
+        tagged = tagged.withColumn(out, F.expr(f"{out} + CASE WHEN _v > get(_b, {out} + {half - 1}) THEN {half} ELSE 0 END"))
+        half //= 2
+    tagged = tagged.drop("_b")
+
+    held = [] if first else ["_start", "_size"]
+    counts = tagged.groupBy(*keys, out, *held).agg(F.count(F.lit(1)).alias("_m"))
+    # At most RANGES rows per key.
+    one = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_m").over(one.orderBy(out).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(
+        *keys, out, "_m", (before if first else F.col("_start") + before).alias("_start"),
+        (F.sum("_m").over(one) if first else F.col("_size")).alias("_size"))
+    return tagged.drop(*held), counts
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
     long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "field", "value")

@@ -12,7 +12,7 @@ from ..operators import (
     backtest as B, dedupe as DD, forecast as P, grid as G, indicators as I, lookback as L, metrics as ME,
     rolling as R, selection as SE, sentiment as S, serve as V, stats as ST)
 from ..operators.ewm import ewm_stds
-from ..session import work_dir
+from ..session import staged, work_dir
 from ..sources import readers, schemas as SC
 from ..streaming import streams as STR
 from . import oracle as O, tables as T
@@ -918,29 +918,29 @@ VIF_COLS = ["volume", "num_of_trades", "RSI", "MFI"]
 
 @register("vif")
 def vif(spark, sf):
-    return rounded(SE.vif(_features(spark, sf), VIF_COLS), ["vif"])
+    return rounded(SE.vif(staged(_features(spark, sf), "features"), VIF_COLS), ["vif"])
 
 
 
 @register("vif_pair", _FEATS + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(1 / (1 - power(corr(volume, num_of_trades), 2)), 6) AS vif FROM feats" for c in ("volume", "num_of_trades")))
 def vif_pair(spark, sf):
-    return rounded(SE.vif(_features(spark, sf), ["volume", "num_of_trades"]), ["vif"])
+    return rounded(SE.vif(staged(_features(spark, sf), "features"), ["volume", "num_of_trades"]), ["vif"])
 
 
 @register("rf_importance")
 def rf_importance(spark, sf):
-    return rounded(SE.select_by_forest(_features(spark, sf), SELECTED, "y"), ["importance"])
+    return rounded(SE.select_by_forest(staged(_features(spark, sf), "features"), SELECTED, "y"), ["importance"])
 
 
 @register("rfe")
 def rfe(spark, sf):
-    return SE.rfe(_features(spark, sf), SELECTED, "y", 6)
+    return SE.rfe(staged(_features(spark, sf), "features"), SELECTED, "y", 6)
 
 
 @register("ols_pvalues")
 def ols_pvalues(spark, sf):
-    return rounded(SE.ols_pvalues(_features(spark, sf), ["RSI", "MFI", "volume", "num_of_trades", "MACD"], "y"), ["coefficient", "p_value"])
+    return rounded(SE.ols_pvalues(staged(_features(spark, sf), "features"), ["RSI", "MFI", "volume", "num_of_trades", "MACD"], "y"), ["coefficient", "p_value"])
 
 
 @register("select_features")

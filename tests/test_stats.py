@@ -22,6 +22,21 @@ def test_quantiles_with_one_value_holding_most_rows(spark):
         np.testing.assert_allclose(got.loc[k].astype(float), np.quantile(v[g == k], probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [1, 40, 500])
+def test_large_ranges_are_cut_again(spark, monkeypatch, limit):
+    monkeypatch.setattr(ST, "RANGES", 8)
+    monkeypatch.setattr(ST, "RANGE_ROWS", limit)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(v)) % 2, "v": v}))
+    probs = (0.1, 0.5, 0.77)
+    got = ST.exact_quantiles(df, ["g"], "v", probs).toPandas().set_index("g")
+    for k in (0, 1):
+        np.testing.assert_allclose(got.loc[k].astype(float), np.quantile(v[np.arange(len(v)) % 2 == k], probs), rtol=1e-12)
+    got = ST.exact_quantiles(df, [], "v", probs).toPandas().iloc[0]
+    np.testing.assert_allclose(got.astype(float), np.quantile(v, probs), rtol=1e-12)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5), min_size=2, max_size=60))
 def test_median_property(spark, values):
@@ -34,6 +49,7 @@ def test_group_table_above_the_limit_is_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i % 7, float(i)) for i in range(200)], "g int, v double")
     want = ST.exact_quantiles(df, ["g"], "v", (0.3,), ("q",)).orderBy("g").collect()
     monkeypatch.setattr(single.small_side, "__defaults__", (3,))
+    monkeypatch.setattr(single.small_rows, "__defaults__", (3,))
     assert ST.exact_quantiles(df, ["g"], "v", (0.3,), ("q",)).orderBy("g").collect() == want
 
 
@@ -99,7 +115,9 @@ def test_p_values(frame):
     assert p["a"] < 1e-6 and p["b"] < 1e-6 and p["d"] > 0.01
 
 
-def test_ridge_per_group_over_many_partitions(frame, spark):
+@pytest.mark.parametrize("combiners", [1, 32])
+def test_ridge_per_group_over_many_partitions(frame, spark, monkeypatch, combiners):
+    monkeypatch.setattr(LS, "COMBINERS", combiners)
     pdf, _ = frame
     pdf = pdf.assign(g=np.arange(500) % 3)
     df = spark.createDataFrame(pdf).repartition(9).withColumn("x", F.array(*"abc"))
