@@ -860,7 +860,8 @@ def cross_corr_spearman(spark, sf):
 @register("cross_corr_kendall", O._with(O.BARS, O.SCORED, XCORR, """
 num AS (SELECT series_id, lag, row_number() OVER (PARTITION BY series_id, lag) AS i, x, y FROM pairs),
 signs AS (SELECT a.series_id, a.lag, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM num a JOIN num b ON a.series_id = b.series_id AND a.lag = b.lag AND a.i < b.i)""")
-    + "SELECT series_id, lag, round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 6) AS r FROM signs GROUP BY 1, 2")
+    + """SELECT series_id, lag, round(sum(sx * sy) / nullif(sqrt(sum(abs(sx)) * sum(abs(sy))), 0), 6) AS r
+FROM (SELECT DISTINCT series_id, lag FROM pairs) LEFT JOIN signs USING (series_id, lag) GROUP BY 1, 2""")
 def cross_corr_kendall(spark, sf):
     a, b = _daily_pair(spark, sf)
     return rounded(ST.cross_corr(a, b, KEY, "ds", "x", "y", method="kendall"), ["r"])

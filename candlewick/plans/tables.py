@@ -10,16 +10,17 @@ from ..operators import grid as G, sentiment as S
 KEY = ["series_id"]
 
 # Stand-in word weights for the invented prose of the test documents, which holds no real
-# sentiment words: frequent function words of its four languages.
+# sentiment words: frequent function words of its four languages. All are multiples of 1/8, so
+# their sums are exact in any order and equal scores stay equal.
 SENTIMENT_WORDS = {
-    "negative": {"of": 1.0, "der": 1.5, "que": 1.0, "was": 2.0, "les": 1.2, "from": 1.5},
-    "neutral": {"to": 1.0, "in": 0.8, "en": 0.9, "und": 1.3, "is": 0.7},
-    "positive": {"the": 0.6, "and": 0.9, "la": 1.1, "die": 1.4, "le": 1.3, "with": 1.7},
+    "negative": {"of": 1.0, "der": 1.5, "que": 1.0, "was": 2.0, "les": 1.25, "from": 1.5},
+    "neutral": {"to": 1.0, "in": 0.75, "en": 0.875, "und": 1.25, "is": 0.75},
+    "positive": {"the": 0.625, "and": 0.875, "la": 1.125, "die": 1.375, "le": 1.25, "with": 1.75},
 }
 EMOTION_WORDS = {
-    "fear": {"of": 0.8, "der": 0.9, "by": 1.1},
-    "joy": {"the": 0.4, "la": 0.9, "und": 1.0},
-    "neutral": {"to": 0.7, "in": 0.6, "de": 0.5},
+    "fear": {"of": 0.75, "der": 0.875, "by": 1.125},
+    "joy": {"the": 0.375, "la": 0.875, "und": 1.0},
+    "neutral": {"to": 0.75, "in": 0.625, "de": 0.5},
 }
 SENTIMENT = S.LexiconScorer(SENTIMENT_WORDS, {"neutral": 0.1})
 EMOTION = S.LexiconScorer(EMOTION_WORDS, {"neutral": 0.2})
