@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo, langid, simhash
+from . import cuckoo, langid, mixing, pii, secrets, simhash, spm
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -13,6 +13,11 @@ def query(f):
     return f
 
 
+@query
+def op3_private(spark, sf):
+    return pii.scan_private(table(spark, sf, "documents"))
+
+
 @query
 def op4_simhash(spark, sf):
     return simhash.near_dedup(table(spark, sf, "documents"))
@@ -23,6 +28,21 @@ def op6_language(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
 
 
+@query
+def op7_secrets(spark, sf):
+    return secrets.scan_secrets(table(spark, sf, "documents"))
+
+
+@query
+def op8_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@query
+def op9_sentencepiece(spark, sf):
+    return spm.encode(table(spark, sf, "documents"))
+
+
 @query
 def op10_exact_dedup(spark, sf):
     return cuckoo.exact_dedup(table(spark, sf, "documents"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import cuckoo, langid, simhash
+from candlewick.llm import cuckoo, langid, mixing, simhash, spm
 from candlewick.llm.common import staged
 
 
@@ -28,10 +28,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.kept_rows(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip of every document of the mix."""
+    return spm.encode(docs)
+
+
 STAGES = [
     ("language", languages),
     ("exact_dedup", exact_copies),
     ("near_dedup", near_copies),
+    ("mixing", mixed),
+    ("sentencepiece", token_ids),
 ]
 
 #: Compression and fingerprints have no SQL form; the tests hold the stages against brute force.
