@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo, langid, mixing, pii, secrets, simhash, spm
+from . import cuckoo, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -13,6 +13,16 @@ def query(f):
     return f
 
 
+@query
+def op1_topk(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+@query
+def op2_warc(spark, sf):
+    return warc.archive(table(spark, sf, "pages"))
+
+
 @query
 def op3_private(spark, sf):
     return pii.scan_private(table(spark, sf, "documents"))
@@ -23,6 +33,11 @@ def op4_simhash(spark, sf):
     return simhash.near_dedup(table(spark, sf, "documents"))
 
 
+@query
+def op5_token_counts(spark, sf):
+    return tokencount.token_counts(table(spark, sf, "documents"))
+
+
 @query
 def op6_language(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
@@ -56,3 +71,22 @@ b AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY poin
              count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND points = keep_points AS kept, text_sha256 FROM b
 """
+
+SQL["op1_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM g
+"""
