@@ -122,7 +122,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passes for nearly all documents. Repeated rows share their takes evenly."""
     sizes = staged(sized(docs, id_col, text_col, source_col), "sizes")
     per = _taken(sizes, block, most, weights).groupBy("doc_id", "source", "h", "th").agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0").select(
+        F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_times")).where("_times > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), "_times")
     n, k = fresh(docs, "_n"), fresh(docs, "_k")
     on = (F.xxhash64(text_of(text_col)) == F.col("_th")) & id_of(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
