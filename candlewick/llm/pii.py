@@ -66,7 +66,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kinds = rows.select("doc_id", "text", *[F.expr(_with_words(sql, f"'{k}'", i)).alias(k) for i, (k, sql) in enumerate(_base().items())])
     every = "concat(" + ", ".join(KINDS) + ")"
-    free = f"filter({S.found('text', TOKEN, "text rlike '[0-9]'")}, x -> NOT exists({every}, b -> b.from < x.to AND x.from < b.to))"
+    free = S.outside(S.found("text", TOKEN, "text rlike '[0-9]'"), every)
     return kinds.select("doc_id", *KINDS, F.expr(_with_words(free, "CAST(NULL AS STRING)", 9)).alias("token"))
 
 

@@ -51,14 +51,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     short = "transform({}, s -> named_struct('from', s.from, 'place', {}, 'to', s.to, 'kind', '{}', 'value', s.value))"
     kinds = rows.select("doc_id", "text", *[F.expr(short.format(sql, i, k)).alias(k) for i, (k, sql) in enumerate(_base().items())])
-    free = f"filter({S.found('text', RUN)}, x -> NOT exists(concat(assign, access, hex), b -> b.from < x.to AND x.from < b.to))"
+    free = S.outside(S.found("text", RUN), "concat(assign, access, hex)")
     return kinds.select("doc_id", *KINDS, F.expr(short.format(free, 9, "random")).alias("run"))
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of the character pairs of ``s`` within the alphabet."""
-    at = "transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))"
-    pair = strings.where("length(s) > 1").select(F.explode(F.expr(at)).alias("pair"))
+    chars = strings.where("length(s) > 1").select(F.split("s", "").alias("c"))
+    at = "zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> a || b)"
+    pair = chars.select(F.explode(F.expr(at)).alias("pair"))
     return pair.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").count()
 
 
@@ -96,8 +97,9 @@ def train(random: DataFrame, words: DataFrame) -> list[float] | None:
 def ratio(value: str, model: list[float]) -> str:
     """SQL of the summed log-likelihood ratio of the character pairs of ``value``."""
     numbers = f"CAST(split('{','.join(f'{x:.5f}' for x in model)}', ',') AS array<double>)"
-    place = f"(instr('{ALPHABET}', substring({value}, i, 1)) - 1) * {len(ALPHABET)} + instr('{ALPHABET}', substring({value}, i + 1, 1)) - 1"
-    return f"aggregate(sequence(1, length({value}) - 1), 0D, (a, i) -> a + {numbers}[{place}])"
+    places = f"transform(split({value}, ''), c -> instr('{ALPHABET}', c) - 1)"  # once per character, however long the run
+    return (f"aggregate({places}, named_struct('last', -1, 'sum', 0D), (a, x) -> named_struct('last', x, 'sum', "
+            f"a.sum + IF(a.last < 0 OR x < 0, 0D, {numbers}[a.last * {len(ALPHABET)} + x])), a -> a.sum)")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
