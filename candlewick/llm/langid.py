@@ -26,6 +26,7 @@ FOLDS = 5  # documents of fold 0 are held out
 DOCS = 400  # labelled texts per language
 BLOCK = 2048  # characters compressed together, and of a piece of a dictionary
 BLOCKS = 64  # pieces of a dictionary
+PARTS = 64  # of a language, when its sample is chosen
 LEVEL = 3
 MARGIN = 0.002  # narrower relative margins are rejected
 
@@ -35,21 +36,31 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(fold == 0, F.lit(False))
 
 
+def _smallest(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The ``most`` rows of each language with the smallest hash of ``name``.
+
+    Salted parts of a language choose first, so that a language with most rows is not one task's work.
+    """
+    part, n = F.pmod(F.xxhash64(name), F.lit(PARTS)), F.col("_n")
+    order = [F.xxhash64(name), F.col(name)]
+    for key in (["lang", part], ["lang"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(n <= most).drop("_n")
+    return rows
+
+
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  docs: int = DOCS, blocks: int = BLOCKS) -> dict[str, bytes]:
     """Raw dictionary content per language, from a sample bounded by ``docs`` and ``blocks``."""
     rows = labelled.select(id_of(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs).select("lang", "doc_id").distinct()
+    chosen = _smallest(rows.select("lang", "doc_id"), "doc_id", docs).distinct()
     texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most ``docs`` ids per language
     places = F.sequence(F.lit(0), F.expr(f"int((char_length(text) - 1) div {BLOCK})"))
     pieces = texts.where("text <> ''").select("lang", F.explode(places).alias("i"), "text").select(
         "lang", F.expr(f"substring(text, i * {BLOCK} + 1, {BLOCK})").alias("piece")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece"))
-    best = pieces.withColumn("n", rank).where(F.col("n") <= blocks)
+    best = _smallest(pieces, "piece", blocks)
     found: dict[str, list[str]] = {}
-    for r in best.orderBy("lang", "n").collect():
+    for r in best.orderBy("lang", F.xxhash64("piece"), "piece").collect():
         found.setdefault(r["lang"], []).append(r["piece"])
     return {k: "\n".join(found[k]).encode() for k in sorted(found)}
 
