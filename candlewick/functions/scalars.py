@@ -16,11 +16,6 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """Null instead of an error or infinity when the divisor is zero."""
-    return F.try_divide(a, b)
-
-
 def floor_zero(c: str | Column) -> Column:
     """Null becomes 0, negative values become 0."""
     return F.greatest(F.coalesce(_c(c).cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -77,9 +77,3 @@ def hours_between(later: str | Column, earlier: str | Column) -> Column:
 
 def stamp_text(ts: str | Column) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
-
-
-def date_grid(spark: SparkSession, lo: str, hi: str, step: str = "1 hour") -> DataFrame:
-    """All instants from ``lo`` to ``hi`` (both included) in one column ``ds``."""
-    return spark.range(1).select(F.explode(F.expr(
-        f"sequence(TIMESTAMP '{lo}', TIMESTAMP '{hi}', INTERVAL {step})")).alias("ds"))

@@ -74,7 +74,7 @@ def fit_baseline(train: DataFrame, key: Sequence[str], ts: str = "ds", y: str =
     level = ridge(x, keep, "_t", "_y", [("level", trend_penalty(prior))]).select(*keep, F.col("beta").alias("level_beta"))
     both = x.join(level, keep).withColumn("_x", _joint(dot("_t", "level_beta")))
     penalty = trend_penalty(prior) + season_penalty(season_prior, yearly)
-    full = ridge(both, keep, "_x", "_y", [("both", penalty)])
+    full = ridge(both, keep, "_x", "_y", [("both", penalty)], shares=range(CHANGEPOINTS + 2, len(penalty)))
     return full.select(*keep, "beta", "sigma")
 
 
@@ -94,7 +94,11 @@ def _progress(ts: str, start: str, end: str) -> Column:
 def predict_baseline(rows: DataFrame, fit: DataFrame, key: Sequence[str], ts: str = "ds",
                      start: str = "training_start", end: str = "training_end",
                      reach: float = CHANGEPOINT_RANGE, yearly: bool = False) -> DataFrame:
-    """Add trend, weekly, daily (as shares of the trend), yhat and the 95 % bounds."""
+    """Add trend, weekly, daily (as shares of the trend), yhat and the 95 % bounds.
+
+    Behind the training span the bounds widen: the trend may go on changing as often, and with the
+    mean size, as it did inside, so its variance grows with the third power of the time ahead.
+    """
     n_t = CHANGEPOINTS + 2
     parts = {"weekly": (0, 2 * WEEKLY_ORDER), "daily": (2 * WEEKLY_ORDER, 2 * DAILY_ORDER)}
     if yearly:
@@ -106,7 +110,10 @@ def predict_baseline(rows: DataFrame, fit: DataFrame, key: Sequence[str], ts: st
     for name in parts:
         factor = factor + F.col(name)
     out = out.withColumn("yhat", F.col("trend") * factor)
-    half = F.lit(INTERVAL_Z) * F.col("sigma")
+    change = F.aggregate(F.slice("beta", 3, CHANGEPOINTS), F.lit(0.0), lambda s, v: s + F.abs(v)) / CHANGEPOINTS
+    ahead = F.greatest(_progress(ts, start, end) - 1.0, F.lit(0.0))
+    drift = F.lit(2.0 * CHANGEPOINTS / 3.0 / reach) * F.pow(change * factor, 2.0) * F.pow(ahead, 3.0)
+    half = F.lit(INTERVAL_Z) * F.sqrt(F.pow("sigma", F.lit(2.0)) + drift)
     return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop(
         "_t", "_f", "beta", "sigma")
 
@@ -173,7 +180,7 @@ def tune_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_
         *group, F.col("fit").alias("prior"), F.col("beta").alias("level_beta"))
     pairs = [(f"{float(p)!r}|{float(q)!r}", trend_penalty(p) + season_penalty(q)) for p in priors for q in season_priors]
     both = train.join(level, group).withColumn("_x", _joint(dot("_t", "level_beta")))
-    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs, match="prior")
+    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs, match="prior", shares=range(CHANGEPOINTS + 2, len(pairs[0][1])))
             .select(*group, "prior", F.substring_index("fit", "|", -1).alias("season_prior"), "beta"))
     n_t, n_f = CHANGEPOINTS + 2, 2 * (WEEKLY_ORDER + DAILY_ORDER)
     scored = test.join(fits, group).withColumn(

@@ -18,19 +18,20 @@ COMBINERS = 32
 
 
 def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
-    """Partial sums per group: ``n``, flattened ``xx``, ``xy`` and ``yy``; may repeat a group."""
+    """Partial sums per group: ``n``, flattened ``xx``, ``xy``, ``yy`` and the largest ``|y|``; may repeat a group."""
     rows = df.select(*key, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
     arr = T.ArrayType(T.DoubleType())
     schema = T.StructType([*[df.schema[k] for k in key], T.StructField("n", T.LongType()),
-                           T.StructField("xx", arr), T.StructField("xy", arr), T.StructField("yy", T.DoubleType())])
+                           T.StructField("xx", arr), T.StructField("xy", arr), T.StructField("yy", T.DoubleType()),
+                           T.StructField("top", T.DoubleType())])
     names = list(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([[*k, n, xx.ravel(), xy, yy] for k, (n, xx, xy, yy) in held.items()],
-                               columns=[*names, "n", "xx", "xy", "yy"])
+            out = pd.DataFrame([[*k, n, xx.ravel(), xy, yy, top] for k, (n, xx, xy, yy, top) in held.items()],
+                               columns=[*names, "n", "xx", "xy", "yy", "top"])
             held.clear()
             return out
 
@@ -40,9 +41,9 @@ def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataF
             for k, part in (b.groupby(names, sort=False) if names else [((), b)]):
                 m = np.stack(part["_x"].to_numpy())
                 v = part["_y"].to_numpy()
-                add = [len(part), m.T @ m, m.T @ v, float(v @ v)]
+                add = [len(part), m.T @ m, m.T @ v, float(v @ v), float(np.abs(v).max())]
                 k = k if isinstance(k, tuple) else (k,)
-                held[k] = [p + q for p, q in zip(held[k], add)] if k in held else add
+                held[k] = [*(p + q for p, q in zip(held[k][:4], add)), max(held[k][4], add[4])] if k in held else add
             if len(held) >= HELD_GROUPS:
                 yield flush()
         if held:
@@ -52,14 +53,11 @@ def normal_equations(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataF
 
 
 def _combined(parts: DataFrame, names: list[str]) -> DataFrame:
-    """With many tasks, sum a group's partial rows in ``COMBINERS`` places before the solver."""
-    spark = parts.sparkSession
-    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= COMBINERS:
-        return parts
-
+    """Sum a group's partial rows in ``COMBINERS`` places before the solver."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in names], pdf["n"].sum(), np.sum(np.stack(pdf["xx"]), axis=0),
-                              np.sum(np.stack(pdf["xy"]), axis=0), pdf["yy"].sum()]], columns=[*names, "n", "xx", "xy", "yy"])
+                              np.sum(np.stack(pdf["xy"]), axis=0), pdf["yy"].sum(), pdf["top"].max()]],
+                            columns=[*names, "n", "xx", "xy", "yy", "top"])
 
     salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(COMBINERS)))
     return salted.groupBy(*names, "_salt").applyInPandas(add, parts.schema)
@@ -67,12 +65,16 @@ def _combined(parts: DataFrame, names: list[str]) -> DataFrame:
 
 def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
           penalties: Sequence[tuple[str, Sequence[float]]], subsets: Sequence[Sequence[int]] | None = None,
-          match: str | None = None) -> DataFrame:
+          match: str | None = None, shares: Sequence[int] = ()) -> DataFrame:
     """``key, fit, beta, sigma, n``: one solution per group and penalty vector.
 
     ``subsets`` (parallel to ``penalties``) restricts a fit to some feature positions; the other
     coefficients are zero. All fits of a group share its one pass over the data. With ``match``
     a group only runs the fits whose name up to ``|`` equals its value in that key column.
+
+    ``shares`` are the positions whose features carry the unit of ``y``, so that their coefficients
+    are plain numbers: their penalties count in squares of the largest ``|y|`` of the group. The
+    solution for ``1000 y`` is then 1000 times (for shares: equal to) the one for ``y``.
     """
     names = list(key)
     schema = T.StructType([*[df.schema[k] for k in key], T.StructField("fit", T.StringType()),
@@ -85,14 +87,19 @@ def ridge(df: DataFrame, key: Sequence[str], x: str, y: str,
         n, xy, yy = int(pdf["n"].sum()), np.sum(np.stack(pdf["xy"]), axis=0), float(pdf["yy"].sum())
         d = len(xy)
         xx = np.sum(np.stack(pdf["xx"]), axis=0).reshape(d, d)
+        unit = np.ones(d)
+        unit[list(shares)] = float(pdf["top"].max()) ** 2
         out = []
         for name, pen, keep in plan:
             if match and name.split("|")[0] != str(pdf[match].iloc[0]):
                 continue
             at = np.arange(d) if keep is None else np.asarray(keep)
-            a = xx[np.ix_(at, at)] + np.diag(pen[at])
+            a = xx[np.ix_(at, at)] + np.diag((pen * unit)[at])
+            # Columns of equal length: features may differ by many powers of ten.
+            size = np.sqrt(np.diag(a))
+            size[size == 0] = 1.0
             beta = np.zeros(d)
-            beta[at] = np.linalg.lstsq(a, xy[at], rcond=None)[0]
+            beta[at] = np.linalg.lstsq(a / np.outer(size, size), xy[at] / size, rcond=None)[0] / size
             sse = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
             out.append([*[pdf[k].iloc[0] for k in names], name, beta, float(np.sqrt(sse / max(n, 1))), n])
         return pd.DataFrame(out, columns=[*names, "fit", "beta", "sigma", "n"])

@@ -12,6 +12,7 @@ from .single import row_of, sent, small_rows, small_side, with_row
 # Value ranges per cut, and the rows a range may hold before it is cut again.
 RANGES = 256
 RANGE_ROWS = 4_000_000
+BOUND_ROWS = 500  # rows of RANGES numbers that are broadcast: a megabyte
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
@@ -37,7 +38,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[
         hit = counts.where(wanted)
         few = small_rows(hit)
         rows = tagged.join((hit if few is None else sent(few, hit)).drop("_m"), [*by, *path])
-        most = max((r["_m"] for r in few or []), default=0)
+        most = hit.agg(F.max("_m")).first()[0] or 0 if few is None else max((r["_m"] for r in few), default=0)
         if most <= RANGE_ROWS or most == largest:
             break
         largest = most
@@ -57,7 +58,7 @@ def _cut(rows: DataFrame, keys: list[str], out: str, first: bool) -> tuple[DataF
     """Tag rows with their value range in ``out``; also the count and start position per range."""
     cuts = F.expr("array(" + ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES)) + ")")
     bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4 * RANGES).alias("_b"))
-    tagged = rows.join(small_side(bounds), keys) if keys else with_row(rows, bounds)
+    tagged = rows.join(small_side(bounds, BOUND_ROWS), keys) if keys else with_row(rows, bounds)
     # Binary search of the value among the cuts, one short projection per halving.
     tagged = tagged.withColumn(out, F.lit(0))
     half = RANGES // 2

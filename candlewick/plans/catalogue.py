@@ -1190,7 +1190,7 @@ def snapshot_lines(spark, sf):
 
 def _run(spark, sf, name: str, shape, write_for, mode: str) -> str:
     root = f"{work_dir(spark)}/{name}-{uuid4().hex}"
-    src = STR.stream_files(spark, sf, SC.EVENTS, pattern="events.parquet")
+    src = STR.stream_files(spark, f"{sf}/events.parquet*", SC.EVENTS)  # a file, or a folder of them
     STR.run_stream(shape(src.withColumn("ts", F.col("ts").cast("timestamp"))), write_for(f"{root}/out"), f"{root}/log", mode).awaitTermination()
     return f"{root}/out"
 

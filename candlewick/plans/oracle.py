@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.textfns import minimal_words
+from ..functions.textfns import RELEVANCE_WORDS
 from ..operators.indicators import HORIZONS
 from .tables import EMOTION, SENTIMENT
 
@@ -222,12 +222,7 @@ sfeat AS (SELECT *, {_features()} FROM sgrid),""" + filled("sfeat", ALL_FEATURE_
 
 
 def relevance(col: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in minimal_words_cached()) + ")"
-
-
-def minimal_words_cached() -> list[str]:
-    from ..functions.textfns import RELEVANCE_WORDS
-    return minimal_words(RELEVANCE_WORDS)
+    return "(" + " OR ".join(f"contains(lower({col}), '{w.lower().replace("'", "''")}')" for w in RELEVANCE_WORDS) + ")"
 
 
 def panel_sql() -> str:

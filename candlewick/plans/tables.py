@@ -30,18 +30,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when an input arrives as fewer splits than there are cores.
-
-    Texts cost much per row, so one small file would otherwise keep one core busy. A large table
-    has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,11 +113,12 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 def relevance_memo(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents are remembered; a toxic one under an older text."""
-    docs = documents(spark, sf).select("doc_id", "text")
+    # Both variants are hashed before the join: no text is shuffled.
+    old = F.concat(F.col("text"), F.lit(" old"))
+    docs = documents(spark, sf).select("doc_id", X.fingerprint(F.col("text")).alias("_now"), X.fingerprint(old).alias("_old"))
     lab = table(spark, sf, "labels")
-    text = F.when(F.col("toxic") == 1, F.concat(F.col("text"), F.lit(" old"))).otherwise(F.col("text"))
     return docs.join(lab, "doc_id").select(
-        F.col("doc_id").cast("string").alias("id"), X.fingerprint(text).alias("self_text_md5"),
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, F.col("_old")).otherwise(F.col("_now")).alias("self_text_md5"),
         (F.col("quality") == 1).alias("is_relevant"),
         D.from_seconds(F.lit(1704067200.5) + F.col("doc_id") * 900).alias("fetch_datetime"))
 

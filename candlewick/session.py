@@ -39,12 +39,14 @@ def build_session(app: str = "candlewick", master: str | None = None,
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset (tests on one
-    machine) a fresh local folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset and the master is
+    local (tests on one machine) a fresh local folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="candlewick-")

@@ -39,11 +39,28 @@ def test_backtest_fits_every_cutoff_alone(seasonal):
 
 def test_tuning_prefers_a_weak_season_penalty(seasonal):
     _, df = seasonal
-    tuned = P.tune_baseline(df, KEY, "2024-02-15 00:00:00", "2024-02-15 00:00:00", priors=(0.1, 0.6), season_priors=(0.0001, 10.0), reaches=(0.7, 0.8))
+    tuned = P.tune_baseline(df, KEY, "2024-02-15 00:00:00", "2024-02-15 00:00:00", priors=(0.1, 0.6), season_priors=(0.001, 10.0), reaches=(0.7, 0.8))
     assert tuned.count() == 8
     assert P.best_parameters(tuned).first()["season_prior"] == 10.0
 
 
+def test_fit_does_not_depend_on_the_unit(seasonal):
+    _, df = seasonal
+    got = {}
+    for f in (0.001, 1.0, 1000.0):
+        fit = P.baseline_forecast(df.withColumn("y", F.col("y") * f), KEY).orderBy("ds").toPandas()
+        got[f] = fit[["yhat", "yhat_lower", "yhat_upper"]].to_numpy() / f
+    np.testing.assert_allclose(got[0.001], got[1.0], rtol=1e-9)
+    np.testing.assert_allclose(got[1000.0], got[1.0], rtol=1e-9)
+
+
+def test_bounds_widen_with_the_horizon(seasonal):
+    _, df = seasonal
+    out = P.baseline_forecast(df, KEY).orderBy("ds").toPandas()
+    wide = (out.yhat_upper - out.yhat_lower).to_numpy()
+    assert wide[-1] > wide[0] and (wide >= wide[0] * 0.99).all()
+
+
 def test_regressor_subsets_are_all_scored(seasonal):
     _, df = seasonal
     with_r = df.withColumns({"r1": F.rand(1), "r2": F.rand(2)})
