@@ -26,7 +26,7 @@ FOLDS = 5  # documents of fold 0 are held out
 DOCS = 400  # labelled texts per language
 BLOCK = 2048  # characters compressed together, and of a piece of a dictionary
 BLOCKS = 64  # pieces of a dictionary
-PARTS = 64  # of a language, when its sample is chosen
+PARTS = 16  # of a language, when its sample is chosen
 LEVEL = 3
 MARGIN = 0.002  # narrower relative margins are rejected
 
