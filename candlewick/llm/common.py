@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "table", "text_of", "id_of", "fresh", "WHITE", "components"]
+__all__ = ["staged", "work_dir", "table", "text_of", "id_of", "fresh", "tasks_for", "WHITE", "components"]
 
 #: ASCII white space, as the contracts of the queries name it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -33,6 +33,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tasks_for(spark: SparkSession, size: int, each: int) -> int:
+    """Tasks for ``size`` bytes that files hold, ``each`` or less in a task; at least one per core.
+
+    For ``repartition(n, ...)`` of rows that only name what a task will read: AQE measures the rows,
+    and would join them, but keeps a given number.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the undirected edges ``(u, v)``: root is the smallest
     node of its component.

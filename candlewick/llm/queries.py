@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, warc
+from . import cuckoo, huffman, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -63,6 +63,11 @@ def op10_exact_dedup(spark, sf):
     return cuckoo.exact_dedup(table(spark, sf, "documents"))
 
 
+@query
+def op13_token_files(spark, sf):
+    return huffman.token_files(table(spark, sf, "documents"))
+
+
 SQL["op10_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
