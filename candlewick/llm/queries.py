@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo, huffman, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, warc
+from . import cuckoo, huffman, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, vectorcodes, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -63,6 +63,11 @@ def op10_exact_dedup(spark, sf):
     return cuckoo.exact_dedup(table(spark, sf, "documents"))
 
 
+@query
+def op12_vector_codes(spark, sf):
+    return vectorcodes.compress(table(spark, sf, "embeddings"))
+
+
 @query
 def op13_token_files(spark, sf):
     return huffman.token_files(table(spark, sf, "documents"))
@@ -95,3 +100,27 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM g
 """
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One pair of tables per round: the nearest entries, then the floored means."""
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, x -> floor(4096 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, i // (len(e) // {parts}) AS part, i % (len(e) // {parts}) AS d, e[i + 1] AS a
+  FROM (SELECT vec_id, e, unnest(range(len(e))) AS i FROM v)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT part, entry, d, a FROM x JOIN f USING (vec_id))"""]
+    near = """n{r} AS (SELECT vec_id, part, entry, s FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY s, entry) AS k
+  FROM (SELECT x.vec_id, x.part, c.entry, sum((x.a - c.a) * (x.a - c.a)) AS s FROM x JOIN c{r} c ON x.part = c.part AND x.d = c.d GROUP BY ALL)) WHERE k = 1)"""
+    for r in range(rounds):
+        steps += [near.format(r=r), f"""c{r + 1} AS (SELECT c.part, c.entry, c.d, coalesce(m.a, c.a) AS a FROM c{r} c LEFT JOIN
+  (SELECT n.part, n.entry, x.d, floor(sum(x.a) / count(*)) AS a FROM n{r} n JOIN x ON n.vec_id = x.vec_id AND n.part = x.part GROUP BY ALL) m
+  ON c.part = m.part AND c.entry = m.entry AND c.d = m.d)"""]
+    steps += [near.format(r=rounds), f"""k AS (SELECT sha256(string_agg(a::BIGINT::VARCHAR, ',' ORDER BY part, entry, d)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT vec_id, string_agg(substr('0123456789abcdef', 1 + (entry // 16)::INT, 1) || substr('0123456789abcdef', 1 + (entry % 16)::INT, 1), '' ORDER BY part) AS code,
+  sum(s)::BIGINT AS error FROM n{rounds} GROUP BY vec_id)"""]
+    return "WITH " + ",\n".join(steps) + """
+SELECT o.vec_id, code, error, sum(error) OVER (PARTITION BY v.label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id) CROSS JOIN k"""
+
+
+SQL["op12_vector_codes"] = vector_codes_sql()
