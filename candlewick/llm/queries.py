@@ -104,8 +104,8 @@ FROM g
 
 def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """One pair of tables per round: the nearest entries, then the floored means."""
-    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, x -> floor(4096 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 x AS (SELECT vec_id, i // (len(e) // {parts}) AS part, i % (len(e) // {parts}) AS d, e[i + 1] AS a
   FROM (SELECT vec_id, e, unnest(range(len(e))) AS i FROM v)),
 f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
