@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cuckoo, huffman, langid, mixing, pii, secrets, simhash, spm, tokencount, topk, vectorcodes, warc
+from . import cuckoo, huffman, langid, mixing, negatives, pii, secrets, simhash, spm, tokencount, topk, vectorcodes, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -63,6 +63,11 @@ def op10_exact_dedup(spark, sf):
     return cuckoo.exact_dedup(table(spark, sf, "documents"))
 
 
+@query
+def op11_hard_negatives(spark, sf):
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
+
+
 @query
 def op12_vector_codes(spark, sf):
     return vectorcodes.compress(table(spark, sf, "embeddings"))
@@ -124,3 +129,16 @@ SELECT o.vec_id, code, error, sum(error) OVER (PARTITION BY v.label)::BIGINT AS
 
 
 SQL["op12_vector_codes"] = vector_codes_sql()
+
+SQL["op11_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.r AS other, c.vec_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+      FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id,
+             p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.r = s.r AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
