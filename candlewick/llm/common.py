@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "table", "text_of", "id_of", "fresh", "tasks_for", "WHITE", "components"]
+__all__ = ["staged", "work_dir", "table", "text_of", "id_of", "fresh", "row_key", "elected", "tasks_for", "WHITE", "components"]
 
 #: ASCII white space, as the contracts of the queries name it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -33,6 +33,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """32 bytes that tell rows apart which differ in id or text."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(id_of(id_col).cast("string"), F.lit("null")), text_of(text_col)), 256))
+
+
+def elected(docs: DataFrame, key: Column, winners: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``key`` is among the distinct ``winners`` (one column):
+    one row per key, the first by ``order``, then by a hash of the row.
+
+    Join and window share their key, so rows are shuffled once.
+    """
+    k, w, n, h = (fresh(docs, x) for x in ("_elect_key", "_elect_winner", "_elect_nth", "_elect_hash"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    tagged = docs.select("*", key.alias(k), F.xxhash64(*plain).alias(h))
+    wanted = winners.select(winners[winners.columns[0]].alias(w))
+    kept = tagged.join(wanted, tagged[k] == wanted[w], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(*order, h))
+    return kept.withColumn(n, nth).where(F.col(n) == 1).drop(k, n, h)
+
+
 def tasks_for(spark: SparkSession, size: int, each: int) -> int:
     """Tasks for ``size`` bytes that files hold, ``each`` or less in a task; at least one per core.
 

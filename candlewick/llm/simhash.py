@@ -5,7 +5,8 @@ agree in at least three blocks, so every choice of three blocks is a join key; j
 verified by their Hamming distance. A bucket of more than ``BUCKET`` fingerprints is not paired:
 its fingerprints are filed under every value at most one bit away. Two of them are within two
 bits exactly when they share such a value, no value has more than 65 of them, and the work is
-linear however large the bucket is. Equal fingerprints are one node before any of this.
+linear however large the bucket is. Equal fingerprints are one node before any of this. Links take one
+or two bits; more are refused, as the filing of large buckets is exact up to two.
 
 Defined results: null text is empty text; a text without words has fingerprint zero and links
 like any other; a null id never names a component while another id is there; repeated rows are
@@ -18,9 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import components, fresh, id_of, staged, text_of
+from .common import components, elected, id_of, row_key, staged, text_of
 
 WORDS = 3  # of a shingle
 BITS = 2  # largest distance of a link
@@ -45,12 +46,13 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)``; fp holds the 64 bits as a signed long."""
+    """``(doc_id, key, fp)``; fp holds the 64 bits as a signed long, key tells id and text."""
     def run(batches):
         for b in batches:
             f = [fingerprint(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(f, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
-    return docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.array(f, dtype=np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
+    rows = docs.select(id_of(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, fp long")
 
 
 def block_masks(bits: int = BITS) -> list[int]:
@@ -96,15 +98,21 @@ def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     return pairs.union(star).distinct()
 
 
+def rooted(found: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """``(fp, root)``: the smallest fingerprint that each one reaches."""
+    nodes = staged(found.select("fp").distinct(), "nodes")
+    tree = staged(components(links(nodes, bits, bucket)), "roots")
+    return nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS,
                     bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), component_id (the smallest id reachable)."""
-    found = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    tree = staged(components(links(nodes.select("fp"), bits, bucket)), "roots")
-    rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = staged(fingerprints(docs, id_col, text_col, words).select("doc_id", "fp"), "fingerprints")
+    roots = rooted(found, bits, bucket)
+    first = found.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots, "fp")
+    lowest = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return found.join(first.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -112,11 +120,10 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     return near_components(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: the smallest id of each component;
-    of several rows with that id the one with the smallest text."""
-    keep = near_components(docs, id_col, text_col, **options).groupBy("component_id").agg(F.min("component_id").alias("_keep"))
-    n = fresh(docs, "_nth")
-    first = F.row_number().over(Window.partitionBy(id_of(id_col)).orderBy(text_of(text_col)))
-    on = id_of(id_col).eqNullSafe(F.col("_keep"))
-    return docs.join(keep.select("_keep"), on, "left_semi").withColumn(n, first).where(F.col(n) == 1).drop(n)
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component, that with the
+    smallest id (null last); of several with that id the one whose id and text have the smallest hash."""
+    found = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    best = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    winners = best.join(rooted(found, bits, bucket), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.key")
+    return elected(docs, row_key(id_col, text_col), winners, [])
