@@ -17,15 +17,16 @@ from array import array
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WHITE, fresh, id_of, staged, text_of
+from .common import WHITE, elected, id_of, staged, text_of
 
 SLOTS = 4  # per filter bucket
 KICKS = 200  # moves before the filter counts as full
 CONTENT = 64  # content buckets of a shard
 SHARD_KEYS = 100_000  # rows a shard is planned for
 LEAST_SHARDS = 512
+STALE = -1  # points of an entry whose best row was deleted
 
 KEYS = "shard int, digest binary, copies long, points long, keep_id long, log2 int, slots binary"
 
@@ -89,7 +90,7 @@ class CuckooIndex:
         """Add copies of a digest; True when it is new. The entry keeps the best row."""
         if (entry := self.stored(digest)) is not None:
             entry[0] += copies
-            if better((points, doc_id), (entry[1], entry[2])):
+            if entry[1] != STALE and better((points, doc_id), (entry[1], entry[2])):
                 entry[1:] = points, doc_id
             return False
         self.content[digest[24] % CONTENT][digest] = [copies, points, doc_id]
@@ -98,12 +99,16 @@ class CuckooIndex:
             self.resize()
         return True
 
-    def delete(self, digest: bytes, copies: int) -> bool:
-        """Take copies away; the digest goes, from filter and content, with its last copy."""
+    def delete(self, digest: bytes, copies: int, points: int, doc_id: int | None) -> bool:
+        """Take copies away, ``points`` and ``doc_id`` being the best of them; the digest goes, from
+        filter and content, with its last copy. When the row that stays goes, the entry is stale
+        until another is elected."""
         entry = self.stored(digest)
         if entry is None:
             return False
         entry[0] -= copies
+        if entry[1] == STALE or not better((entry[1], entry[2]), (points, doc_id)):
+            entry[1:] = STALE, None
         if entry[0] <= 0:
             del self.content[digest[24] % CONTENT][digest]
             self.live -= 1
@@ -173,8 +178,9 @@ def shards_for(rows: int) -> int:
 def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | None = None, shards: int = LEAST_SHARDS) -> DataFrame:
     """The index (``KEYS`` rows) after inserting and then deleting rows of ``digests``.
 
-    Deleting takes live copies away; a digest keeps its entry until its last copy goes. The
-    number of shards belongs to an index and must stay the same for it.
+    Deleting takes live copies away; a digest keeps its entry until its last copy goes. An entry
+    whose best row goes is stale (points ``STALE``) until ``reelected``. The number of shards belongs
+    to an index and must stay the same for it.
     """
     changes = _changes(inserts, shards).withColumn("gone", F.lit(False))
     if deletes is not None:
@@ -185,7 +191,7 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
             part = pdf[pdf["gone"] == gone]
             for d, n, p, i in zip(part["digest"], part["copies"], part["points"], part["doc_id"].astype(object)):
                 if gone:
-                    store.delete(d, n)
+                    store.delete(d, n, p, none_or_int(i))
                 else:
                     store.insert(d, n, p, none_or_int(i))
         return store
@@ -200,6 +206,20 @@ def apply_changes(index: DataFrame | None, inserts: DataFrame, deletes: DataFram
     return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(onto, KEYS)
 
 
+def reelected(index: DataFrame, live: DataFrame) -> DataFrame:
+    """The index with the best row of every stale entry, from the ``digests`` rows that are live now.
+
+    Rows of stale digests alone are aggregated, combined before the shuffle.
+    """
+    stale = index.where(F.col("points") == STALE).select(F.col("digest").alias("d"))
+    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("minus")))
+    again = live.join(stale, live["digest"] == stale["d"], "left_semi").groupBy("digest").agg(best.alias("b")).select(
+        F.col("digest").alias("d"), F.col("b.points").alias("p"), (-F.col("b.minus")).alias("i"))
+    joined = index.join(again, index["digest"] == again["d"], "left")
+    return joined.select("shard", "digest", "copies", F.coalesce("p", "points").alias("points"),
+                         F.when(F.col("d").isNotNull(), F.col("i")).otherwise(F.col("keep_id")).alias("keep_id"), "log2", "slots")
+
+
 def _winners(found: DataFrame) -> DataFrame:
     live = apply_changes(None, found, shards=shards_for(found.count())).where("digest IS NOT NULL")
     return live.select("digest", "copies", F.col("points").alias("keep_points"), "keep_id")
@@ -219,19 +239,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: exactly one of each group."""
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group. Of repeated
+    rows with the id and length that stay, the one with the smallest text does."""
     found = staged(digests(docs, id_col, text_col), "digests")
-    d, p, n = (fresh(docs, x) for x in ("_digest", "_points", "_nth"))
+
+    def key(digest: Column, points: Column, doc: Column) -> Column:
+        return F.unhex(F.sha2(F.concat_ws(":", F.hex(digest), points.cast("string"), F.coalesce(doc.cast("string"), F.lit("null"))), 256))
     t = text_of(text_col)
-    tagged = docs.select("*", F.unhex(F.sha2(F.regexp_replace(t, f"{WHITE}+", ""), 256)).alias(d), F.length(t).cast("long").alias(p))
-    best = _winners(found).select(F.col("digest").alias("_w_digest"), F.col("keep_points").alias("_w_points"), F.col("keep_id").alias("_w_id"))
-    on = (F.col(d) == F.col("_w_digest")) & (F.col(p) == F.col("_w_points")) & id_of(id_col).eqNullSafe(F.col("_w_id"))
-    # Repeated rows with one id: the smallest text stays. Same keys as the join, so no further shuffle.
-    first = F.row_number().over(_window(d, p, id_of(id_col), t))
-    return tagged.join(best, on, "left_semi").withColumn(n, first).where(F.col(n) == 1).drop(d, p, n)
-
-
-def _window(*keys):
-    from pyspark.sql import Window
-    *by, order = keys
-    return Window.partitionBy(*by).orderBy(order)
+    own = key(F.unhex(F.sha2(F.regexp_replace(t, f"{WHITE}+", ""), 256)), F.length(t), id_of(id_col))
+    winners = _winners(found).select(key(F.col("digest"), F.col("keep_points"), F.col("keep_id")).alias("key"))
+    return elected(docs, own, winners, [t])
