@@ -121,11 +121,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size, rounded. The end of a source's last pass cuts at most one block, so this is whole
     passes for nearly all documents. Repeated rows share their takes evenly."""
     sizes = staged(sized(docs, id_col, text_col, source_col), "sizes")
-    per = _taken(sizes, block, most, weights).groupBy("doc_id", "source", "h", "th").agg(
-        F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_times")).where("_times > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), "_times")
-    n, k = fresh(docs, "_n"), fresh(docs, "_k")
-    on = (F.xxhash64(text_of(text_col)) == F.col("_th")) & id_of(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    left = docs.select(*docs.columns)
-    joined = left.join(per.withColumnRenamed("_times", n), on).select(*[left[c] for c in docs.columns], n)
+    i, f, t, n, k = (fresh(docs, x) for x in ("_mix_id", "_mix_source", "_mix_text", "_mix_times", "_mix_nth"))
+    times = F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int")
+    per = _taken(sizes, block, most, weights).groupBy("doc_id", "source", "h", "th").agg(times.alias("times")).where("times > 0").select(
+        F.col("doc_id").alias(i), F.col("source").alias(f), F.col("th").alias(t), F.col("times").alias(n))
+    on = (F.xxhash64(text_of(text_col)) == per[t]) & id_of(id_col).eqNullSafe(per[i]) & F.col(source_col).cast("string").eqNullSafe(per[f])
+    joined = docs.join(per, on).drop(i, f, t)
     return joined.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, k)
