@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import files
-from .common import staged, work_dir
+from .common import staged, tasks_for, work_dir
 
 FRAME = 256 << 10  # plain bytes after which a frame ends
 BUNDLE = 64 << 20  # compressed bytes after which a bundle ends
+STRETCH = 64  # frames that are read back together
 LEAST = 0  # payloads shorter than this are never revisited
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
@@ -183,15 +184,21 @@ def write_bundles(pages: DataFrame, folder: str | None = None, frame: int = FRAM
     return staged(roles(pages, **columns).mapInArrow(run, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
-    """``RECORD`` rows of every record of the bundles that an index names."""
+def read_bundles(index: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """``RECORD`` rows of every record of the bundles that an index names, by stretches of frames."""
     def run(batches):
+        reader, path = None, None
         for b in batches:
-            for path in b.column("path").to_pylist():
-                r = Reader(path)
-                for k in range(len(r.entries)):
-                    yield pa.RecordBatch.from_pylist([{c: x[c] for c in FIELDS.names} for x in parse(r.frame(k))], FIELDS)
-    return index.select("path").distinct().mapInArrow(run, RECORD)
+            for name, part in zip(b.column("path").to_pylist(), b.column("part").to_pylist()):
+                if name != path:
+                    reader, path = Reader(name), name
+                for k in range(part * stretch, min((part + 1) * stretch, len(reader.entries))):
+                    yield pa.RecordBatch.from_pylist([{c: x[c] for c in FIELDS.names} for x in parse(reader.frame(k))], FIELDS)
+    parts = index.groupBy("path", F.expr(f"frame div {stretch}").alias("part")).agg(F.sum("length").alias("size"))
+    plain = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # A row is a few bytes here and megabytes in a task: the number of tasks is given.
+    dealt = parts.repartitionByRange(tasks_for(index.sparkSession, plain, stretch * FRAME), "path", "part").sortWithinPartitions("path", "part")
+    return dealt.select("path", "part").mapInArrow(run, RECORD)
 
 
 FIELDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
