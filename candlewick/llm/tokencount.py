@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import files
-from .common import id_of, staged, text_of, work_dir
+from .common import id_of, staged, tasks_for, text_of, work_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50256  # an identifier that the vocabulary leaves free
@@ -94,9 +94,11 @@ def blocks(paths: DataFrame, block: int = BLOCK) -> DataFrame:
                 some = len(at) > 0
                 yield pa.RecordBatch.from_pylist([{"path": path, "b": b, "size": len(tokens), "first": int(at[0]) if some else None,
                                                    "last": int(at[-1]) if some else None, "inner": (np.diff(at) - 1).tolist()}], SCANNED)
-    cuts = paths.select("path").distinct().mapInArrow(cut, "path string, b long")
-    # Each block is a few bytes here and a whole read in a task: dealt out evenly.
-    return cuts.repartition("path", "b").mapInArrow(scan, "path string, b long, size long, first long, last long, inner array<long>")
+    spark = paths.sparkSession
+    names = staged(paths.select("path").distinct(), "paths")
+    # A name is a few bytes here, and files or a whole block in a task: the numbers of tasks are given.
+    cuts = staged(names.repartitionByRange(max(1, min(names.count(), spark.sparkContext.defaultParallelism)), "path").mapInArrow(cut, "path string, b long"), "cuts")
+    return cuts.repartitionByRange(tasks_for(spark, cuts.count() * step, 4 * step), "path", "b").mapInArrow(scan, "path string, b long, size long, first long, last long, inner array<long>")
 
 
 SCANNED = pa.schema([("path", pa.string()), ("b", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("inner", pa.list_(pa.int64()))])
