@@ -31,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 600_000  # units a worker remembers
 BATCH = 1 << 15  # units that advance together
+LONG = 1024  # characters of a unit that is encoded in stretches
+OVERLAP = 128  # characters that stretches share
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1 << 40)
 
@@ -61,9 +63,12 @@ class Vocabulary:
         known = [p for p in ids if MARK not in p[1:]]
         self.lines = not any("\n" in p for p in known)  # then a line break is never part of a merge
         self.longest = max(map(len, known))
+        if any(score[p] != int(score[p]) for p in known):
+            raise ValueError("only BPE models are encoded here: their scores are ranks")
         rank = {p: int(-score[p]) for p in known}
         order = {p: k for k, p in enumerate(known)}
         self.ids = np.array([ids[p] for p in known] + [self.unknown_id])  # the last entry: a character outside
+        self.width = np.array([len(p) for p in known])
         self.outside = len(known)
         self.rank = np.array([rank[p] if len(p) > 1 else -1 for p in known] + [-1], dtype=np.int64)
         self.left = np.zeros(len(known) + 1, dtype=np.int64)
@@ -182,7 +187,7 @@ class Coder:
         hit[hit] = (spelt[at[hit]] == codes[rows[maybe[hit]], end - n:end]).all(axis=1)
         return maybe[hit], pieces[at[hit]]
 
-    def _units(self, words: list[str], n: int) -> list[bytes]:
+    def _units(self, words: list[str], n: int, paths: bool = False) -> list[bytes] | list[np.ndarray]:
         v, rows = self.v, len(words)
         codes = codes_of(words, n)
         h = np.ascontiguousarray(hashes(codes).T)
@@ -211,6 +216,8 @@ class Coder:
             steps.append(piece)
             ends = ends - np.where(live, back[ends, every], 0)
         path = np.stack(steps[::-1], axis=1)
+        if paths:
+            return [row[row >= 0] for row in path]
         odd = (path == v.outside).any(axis=1)
         flat = v.ids[np.where(path < 0, 0, path)].astype(self.kind)
         width = flat.shape[1]
@@ -221,6 +228,42 @@ class Coder:
             out[r] = self._with_bytes(words[r], path[r][skip[r]:])
         return out
 
+    def _long(self, unit: str, size: int = LONG, overlap: int = OVERLAP) -> bytes:
+        """A unit without blanks: stretches that overlap advance together and are joined where their
+        pieces meet.
+
+        Where all neighbours could stand side by side, pieces are those of the merges. So two stretches
+        join at any border they share if the pieces beside it agree; without such a border they are
+        encoded as one longer stretch.
+        """
+        cuts = [*range(0, max(1, len(unit) - overlap), size), len(unit)]
+        starts, ends = [max(0, c - overlap) for c in cuts[:-1]], cuts[1:]
+        if len(ends) > 1:  # the last stretch is as long as the others
+            starts[-1] = max(0, min(starts[-1], ends[-1] - size - overlap))
+        rows: dict[int, list[int]] = {}
+        for k, (a, b) in enumerate(zip(starts, ends)):
+            rows.setdefault(b - a, []).append(k)
+        found: list = [None] * len(ends)
+        for n, some in rows.items():
+            step = max(1, BATCH * 8 // n)
+            for i in range(0, len(some), step):
+                for k, path in zip(some[i:i + step], self._units([unit[starts[k]:ends[k]] for k in some[i:i + step]], n, True)):
+                    found[k] = path
+        width = np.append(self.v.width, 1)  # characters of a piece; one outside the vocabulary
+        done, path, border = [], found[0], np.cumsum(width[found[0]])  # border: where its pieces end
+        for k in range(1, len(ends)):
+            sizes = width[found[k]]
+            begin = starts[k] + np.cumsum(sizes) - sizes
+            _, left, right = np.intersect1d(border, begin, return_indices=True)
+            ok = np.flatnonzero(self.agree(path[left], found[k][right])) if len(left) else left
+            if not len(ok):
+                return self._long(unit, 2 * size, 2 * overlap) if 2 * size < len(unit) else self._units([unit], len(unit))[0]
+            i, j = left[ok[len(ok) // 2]] + 1, right[ok[len(ok) // 2]]
+            done.append(path[:i])
+            path, border = found[k][j:], (begin + sizes)[j:]
+        path = np.concatenate([*done, path])
+        return self._with_bytes(unit, path) if (path == self.v.outside).any() else self.v.ids[path].astype(self.kind).tobytes()
+
     def _with_bytes(self, word: str, path: np.ndarray) -> bytes:
         ids, at = [], 0
         for p in path.tolist():
@@ -236,7 +279,10 @@ class Coder:
     def _learn(self, words: set[str], memory: dict[str, bytes], prefix: str) -> None:
         by_size: dict[int, list[str]] = {}
         for w in words:
-            by_size.setdefault(len(w), []).append(w)
+            if len(w) <= LONG:
+                by_size.setdefault(len(w), []).append(w)
+            else:
+                memory[w] = self._long(prefix + w)
         for n, group in by_size.items():
             step = max(1, BATCH * 8 // (n + len(prefix)))
             for k in range(0, len(group), step):
@@ -313,7 +359,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 ids = coder.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)])
                 values = np.concatenate([np.zeros(0, dtype=np.int32), *ids]).astype(np.int32)
-                same = [coder.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                same = [coder.decode(i.tolist()) == t for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
                     pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
