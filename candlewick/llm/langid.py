@@ -106,7 +106,8 @@ def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
 
 
 def kept_rows(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not rejected."""
+    """The rows of ``docs``, all columns, whose text is not rejected. With no language learned there
+    is nothing to reject by: every text with a letter stays."""
     sent = docs.sparkSession.sparkContext.broadcast(content)
     sizes: list[Sizes] = []
 
@@ -114,6 +115,8 @@ def kept_rows(docs: DataFrame, content: dict[str, bytes], text_col: str = "text"
     def accepted(text):
         if not sizes:
             sizes.append(Sizes(sent.value))
+        if not sizes[0].langs:
+            return text.map(lambda t: bool(t) and any(map(str.isalpha, t)))
         return text.map(lambda t: (lambda k, s: k != "und" and s >= margin)(*sizes[0].best(t)))
 
     keep = fresh(docs, "_keep")
