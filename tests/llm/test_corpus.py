@@ -219,5 +219,43 @@ def test_pipeline_stages(spark):
     assert last.count() == counts[-1] and last.where("NOT round_trip").count() == 0
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_long_units_without_blanks():
+    import random
+    import time
+
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    rng = random.Random(9)
+    coder = spm.Coder(spm.load())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/é漢"
+    texts = ["".join(rng.choices(letters, k=n)) for n in (1023, 1024, 1025, 2500, 7001)] + ["a" * 6000, "ab" * 4000, "http" * 900 + "-" * 3000, "=" * 5000, "thequickbrownfox" * 400,
+                                                                                     "x " + "é" * 2000 + "\n" + "0" * 3000 + " y"]
+    for t, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == library.encode(t), t[:20]
+    long = "".join(rng.choices(letters, k=1_000_000))
+    began = time.process_time()
+    ids = coder.encode([long])[0]
+    assert time.process_time() - began < 30 and coder.decode(ids.tolist()) == long
+
+
+def test_round_trip_is_told_of_the_text_itself(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a▁b"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in spm.encode(df).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_scan_and_read_back_are_dealt_to_many_tasks(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        p = tmp_path / f"{i}.tokens"
+        np.full(64_000, 7, dtype="<u2").tofile(p)
+        paths.append((str(p),))
+    scanned = tokencount.blocks(spark.createDataFrame(paths, "path string"), 1000)
+    assert scanned.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and scanned.count() == 3 * 128
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "repeat(concat('p', id), 600) AS html").repartition(1)
+    read = warc.read_bundles(warc.write_bundles(pages, frame=4000), stretch=5)
+    met = read.selectExpr("spark_partition_id() AS p", "page_id").collect()
+    assert len({r["p"] for r in met}) >= spark.sparkContext.defaultParallelism and sorted(r["page_id"] for r in met) == list(range(400))

@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
-from candlewick.llm import common, cuckoo, simhash
+from candlewick.llm import common, cuckoo, langid, mixing, simhash
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
@@ -19,8 +20,8 @@ def test_cuckoo_index_inserts_deletes_and_grows():
         live[k] = live.get(k, 0) + 1
     assert index.log2 > 1 and index.live == len(live)
     for k in rng.sample(keys, 1500):
-        assert index.delete(k, live.pop(k))
-        assert index.stored(k) is None and not index.delete(k, 1)
+        assert index.delete(k, live.pop(k), 5, 9)
+        assert index.stored(k) is None and not index.delete(k, 1, 5, 9)
     assert all(index.stored(k)[0] == n for k, n in live.items())
     again = cuckoo.CuckooIndex.of_rows(index.rows(3))
     assert again.live == len(live) and all(again.stored(k)[0] == n for k, n in live.items())
@@ -113,7 +114,64 @@ def test_long_chain_settles(spark):
 
 
 def test_near_rows_kept_once(hostile):
-    kept = simhash.kept_rows(hostile.where("doc_id IS NOT NULL"))
+    rows = hostile.collect()
+    kept = simhash.kept_rows(hostile)
     assert kept.columns == hostile.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 1 in ids and not {2, 3, 11} & set(ids) and len(ids) == len(set(ids))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    groups = defaultdict(list)
+    fps = [brute.fingerprint(r["text"]) for r in rows]
+    roots = brute.component_ids(dict(enumerate(fps)))
+    for k, r in enumerate(rows):
+        groups[roots[k]].append((r["doc_id"], r["text"]))
+    assert len(got) == len(groups)
+    for g in groups.values():  # exactly one of each, with the smallest id
+        mine = [x for x in got if x in g]
+        assert len(mine) == 1 and mine[0][0] == min((i for i, _ in g if i is not None), default=None)
+
+
+def test_distinct_texts_with_one_id_or_none_stay(spark):
+    far = ["alpha beta gamma delta epsilon", "one two three four five six seven", "red green blue black white"]
+    df = spark.createDataFrame([(None, far[0]), (None, far[1]), (5, far[0]), (5, far[2]), (6, far[0]), (6, far[0])], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.kept_rows(df).collect()), key=str) == [(5, far[0]), (5, far[2]), (None, far[1])]
+    assert sorted(map(tuple, cuckoo.kept_rows(df).collect()), key=str) == [(5, far[0]), (5, far[2]), (None, far[1])]
+
+
+HELPERS = """_keep _nth _digest _points _w_digest _w_points _w_id _id _source _th _times _n _k _elect_key _elect_winner _elect_nth _elect_hash _mix_id _mix_source _mix_text
+_mix_times _mix_nth key fp h th doc times root best none node u v s b target digest points keep_id copies""".split()
+
+
+@pytest.mark.parametrize("kept", [simhash.kept_rows, cuckoo.kept_rows, mixing.mixed_rows, lambda d: langid.kept_rows(d, {"en": b"the cat sat on the mat", "de": b"der die das"})])
+def test_columns_named_like_helpers(hostile, kept):
+    plain = hostile.select("doc_id", "text", "lang", "source", "n_chars")
+    named = plain.withColumns({c: F.lit(i) for i, c in enumerate(HELPERS)}).select(*[c for h in (HELPERS[:20], plain.columns, HELPERS[20:]) for c in h])
+    out = kept(named)
+    assert out.columns == named.columns
+    some = sorted(map(str, out.select(*plain.columns).collect()))
+    assert some == sorted(map(str, kept(plain).collect())) and out.where(F.col("_nth") != HELPERS.index("_nth")).count() == 0
+
+
+def test_deleting_the_row_that_stays_elects_another(spark, hostile):
+    rows = [(1, "a  b", 9), (2, "a b", 7), (3, "ab", 7), (4, "cc", 1), (5, "c c", 1)]
+    found = cuckoo.digests(spark.createDataFrame(rows, "doc_id long, text string, x int"))
+    index = common.staged(cuckoo.apply_changes(None, found, shards=4), "index")
+    gone, live = found.where("doc_id IN (1, 5)"), found.where("doc_id NOT IN (1, 5)")
+    after = cuckoo.apply_changes(index, found.limit(0), gone, shards=4)
+    stale = {r["points"] for r in after.where("digest IS NOT NULL").collect()}
+    assert stale == {cuckoo.STALE}
+    again = cuckoo.reelected(common.staged(after, "index"), live)
+    assert again.columns == index.columns
+    assert {(r["copies"], r["points"], r["keep_id"]) for r in again.where("digest IS NOT NULL").collect()} == {(2, 3, 2), (1, 2, 4)}
+    assert again.where("digest IS NULL").count() == index.where("digest IS NULL").count()
+
+
+def test_pipeline_of_hostile_and_empty_tables(spark, hostile, nothing, tmp_path):
+    import corpus_pipeline
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, df in (("hostile", hostile.select(*plain)), ("nothing", nothing.select(*plain))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+        if name == "nothing":
+            assert not got
+        else:
+            assert {7, 8} & {r["doc_id"] for r in got} and not {4, 5, 6} & {r["doc_id"] for r in got}
