@@ -303,7 +303,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, TYPES[t]) for c, (_, t) in zip(zip(*rows), fields)], [c for c, _ in fields])
 
 
-def ask_windows(positives: DataFrame, asked: DataFrame, sample: Sample, low: int, high: int, k: int, folder: str) -> DataFrame:
+def ask_windows(positives: DataFrame, asked: DataFrame, sample: Sample, low: int, high: int, k: int, folder: str, tasks: int) -> DataFrame:
     """Per query pack a file with the windows of its anchors and the least score each can need."""
     sent = positives.sparkSession.sparkContext.broadcast(sample)
     row = F.struct("q_at", "window", "positive_id", "positive_score")
@@ -333,7 +333,7 @@ def ask_windows(positives: DataFrame, asked: DataFrame, sample: Sample, low: int
                 yield pa.RecordBatch.from_pylist([{f"q_{c}": r[f"q_{c}"] for c in NAMES.names} | {"w_path": path, "w_start": name["start"], "w_head": name["head"]}], WINDOWS)
         if out is not None:
             out.close()
-    named = grouped.join(_named(asked), ["q_path", "q_start"])
+    named = grouped.join(_named(asked), ["q_path", "q_start"]).repartition(tasks)
     return staged(named.mapInArrow(run, ", ".join(f"q_{c}" for c in NAME.split(", ")) + ", w_path string, w_start long, w_head long"), "windows")
 
 
@@ -397,7 +397,7 @@ def mine(vectors: DataFrame, every: int = EVERY, positives: int = POSITIVES, neg
     asked = ask(packs, seed, tasks, every, positives, folder)
     met = tasks_for(spark, asked.count() * raw, 64 << 20)  # bytes that all pairs read
     found = find_positives(asked, packs, met, positives)
-    windows = ask_windows(found, asked, seed, low, high, negatives, folder)
+    windows = ask_windows(found, asked, seed, low, high, negatives, folder, tasks)
     return find_negatives(windows, packs, met, negatives).select(*[c.split()[0] for c in columns.split(", ")])
 
 
