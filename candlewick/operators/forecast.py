@@ -14,6 +14,7 @@ from ..functions import timefns as D
 from ..functions.scalars import bind
 from ..session import staged
 from . import backtest as B, rolling as R, stats as S
+from .lagfit import fit_lagged, predict_lagged
 from .leastsq import dot, ridge
 from .metrics import regression_metrics
 
@@ -30,6 +31,7 @@ RANGE_GRID = tuple(0.7 + 0.01 * i for i in range(11))
 CHANGEPOINTS = 25
 WEEKLY_ORDER, DAILY_ORDER, YEARLY_ORDER = 3, 4, 10
 NOISE = 0.05
+PAST = 360  # hours of a lag window
 
 
 def trend_features(u: Column, reach: Column | float, n: int = CHANGEPOINTS) -> Column:
@@ -228,17 +230,6 @@ def evaluate_regressors(df: DataFrame, key: Sequence[str], ts: str, y: str, regr
 
 # -- lag regression ------------------------------------------------------------------------------------
 
-def lagged_samples(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], target: str, n_past: int,
-                   horizon: int) -> DataFrame:
-    """Sequence samples with a leading 1 for the intercept."""
-    s = R.sequences(df, key, ts, cols, target, n_past, horizon)
-    return s.withColumn("x", F.concat(F.array(F.lit(1.0)), F.col("x")))
-
-
-def fit_lagged(samples: DataFrame, key: Sequence[str], n_features: int, penalty: float = 1.0) -> DataFrame:
-    return ridge(samples, key, "x", "target_y", [("lagged", [1e-9] + [penalty] * n_features)]).select(*key, "beta")
-
-
 def roll_forward(df: DataFrame, fit: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], n_past: int,
                  steps: int) -> DataFrame:
     """Recursive forecast from the newest ``n_past`` rows.
@@ -266,16 +257,15 @@ def roll_forward(df: DataFrame, fit: DataFrame, key: Sequence[str], ts: str, col
         *key, (F.col("_end") + F.make_dt_interval(hours=F.col("_i") + 1)).alias(ts), "yhat")
 
 
-def lagged_forecast(df: DataFrame, key: Sequence[str], ts: str = "ds", cols: Sequence[str] = ("y",), n_past: int = 48,
-                    horizon: int = 120, penalty: float = 1.0, scale_on_train: bool = True) -> DataFrame:
+def lagged_forecast(df: DataFrame, key: Sequence[str], ts: str = "ds", cols: Sequence[str] = ("y",), n_past: int = PAST,
+                    horizon: int = 120, penalty: float = 1.0) -> DataFrame:
     """Scale, fit on lag windows, roll forward and scale back; the target is the last column."""
     target = cols[-1]
     stats = df.groupBy(*key).agg(*[e for c in cols for e in (
         F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     z = df.join(stats, list(key)).select(*key, ts, *[
         F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)).alias(c) for c in cols])
-    samples = lagged_samples(z, key, ts, cols, target, n_past, 1)
-    fit = fit_lagged(samples, key, n_past * len(cols), penalty)
+    fit = fit_lagged(z, key, ts, cols, target, n_past, 1, penalty)
     out = roll_forward(z, fit, key, ts, cols, n_past, horizon)
     return out.join(stats, list(key)).select(
         *key, ts, (F.col("yhat") * F.col(f"_s_{target}") + F.col(f"_m_{target}")).alias("yhat"))
@@ -288,10 +278,11 @@ def direct_forecast_error(df: DataFrame, key: Sequence[str], ts: str, cols: Sequ
     n = D.slot("_b") - D.slot("_a") + 1
     cut = D.slot("_a") + F.floor(n * F.lit(train_share)).cast("long")
     tagged = df.join(span, list(key)).withColumn("part", F.when(D.slot(ts) < cut, "train").otherwise("test")).drop("_a", "_b")
-    samples = lagged_samples(tagged, [*key, "part"], ts, cols, target, n_past, horizon)
-    fit = fit_lagged(samples.where("part = 'train'"), key, n_past * len(cols), penalty)
-    scored = samples.join(fit, list(key)).withColumn("yhat", dot("x", "beta"))
-    e = F.col("target_y") - F.col("yhat")
+    parts = [*key, "part"]
+    fit = fit_lagged(tagged.where("part = 'train'"), key, ts, cols, target, n_past, horizon, penalty)
+    both = F.explode(F.array(F.lit("train"), F.lit("test"))).alias("part")
+    scored = predict_lagged(tagged, fit.select("*", both), parts, ts, cols, target, n_past, horizon)
+    e = F.col("y") - F.col("yhat")
     return scored.groupBy(*key).agg(
         F.sqrt(F.avg(F.when(F.col("part") == "train", e * e))).alias("rmse_train"),
         F.sqrt(F.avg(F.when(F.col("part") == "test", e * e))).alias("rmse_test"))
@@ -348,7 +339,7 @@ def naive_errors(df: DataFrame, key: Sequence[str], ts: str, close: str, horizon
 
 
 def ablation(df: DataFrame, key: Sequence[str], ts: str, target: str,
-             configs: Sequence[tuple[str, Sequence[str]]], n_past: int = 24, corr_threshold: float = 0.0) -> DataFrame:
+             configs: Sequence[tuple[str, Sequence[str]]], n_past: int = PAST, corr_threshold: float = 0.0) -> DataFrame:
     """Test errors of one model per feature family, each family cut by correlation to the target."""
     df = staged(df, "ablation")
     candidates = [c for c in S.numeric_columns(df) if c not in (ts, target) and "ret_fwd_" not in c]

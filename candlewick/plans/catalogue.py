@@ -1144,7 +1144,8 @@ def direction_holdout(spark, sf):
 @register("ablation")
 def ablation(spark, sf):
     p = I.panel(T.dense_bars(spark, sf), KEY, horizons=(1, 6, 24))
-    return P.ablation(p, KEY, "ds", "ret_fwd_24_h", [("returns", ["ret_past_"]), ("volumes", ["vol"]), ("trades", ["trdCnt"])], n_past=12)
+    return P.ablation(p, KEY, "ds", "ret_fwd_24_h", [("returns", ["ret_past_"]), ("volumes", ["vol"]), ("trades", ["trdCnt"]),
+                                                            ("returns and volumes", ["ret_past_", "vol"]), ("all", ["ret_past_", "vol", "trdCnt"])])
 
 
 # -- dashboard tables over bars -----------------------------------------------------------------------------
