@@ -273,15 +273,15 @@ def lagged_forecast(df: DataFrame, key: Sequence[str], ts: str = "ds", cols: Seq
 
 def direct_forecast_error(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], target: str, n_past: int,
                           horizon: int, train_share: float = 0.8, penalty: float = 1.0) -> DataFrame:
-    """Train and test RMSE of a direct ``horizon``-step lag regression; samples stay inside their part."""
+    """Train and test RMSE of a direct ``horizon``-step lag regression fitted on the first ``train_share`` of the hours.
+
+    A sample belongs to the part of the hour it predicts, so a test sample may look back on training hours."""
     span = df.groupBy(*key).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     n = D.slot("_b") - D.slot("_a") + 1
     cut = D.slot("_a") + F.floor(n * F.lit(train_share)).cast("long")
     tagged = df.join(span, list(key)).withColumn("part", F.when(D.slot(ts) < cut, "train").otherwise("test")).drop("_a", "_b")
-    parts = [*key, "part"]
     fit = fit_lagged(tagged.where("part = 'train'"), key, ts, cols, target, n_past, horizon, penalty)
-    both = F.explode(F.array(F.lit("train"), F.lit("test"))).alias("part")
-    scored = predict_lagged(tagged, fit.select("*", both), parts, ts, cols, target, n_past, horizon)
+    scored = predict_lagged(df, fit, key, ts, cols, target, n_past, horizon).join(tagged.select(*key, ts, "part"), [*key, ts])
     e = F.col("y") - F.col("yhat")
     return scored.groupBy(*key).agg(
         F.sqrt(F.avg(F.when(F.col("part") == "train", e * e))).alias("rmse_train"),

@@ -8,7 +8,10 @@ no sample and no ``d x d`` matrix (``d = n_past * m``) is ever made.
 
 The solver takes the Toeplitz part through the block Levinson recursion, whose first and last
 columns of the inverse give its products with any vector (Gohberg and Semencul), and meets the edges
-with conjugate gradients around it. Memory is that of ``n_past * m * m`` numbers and the edges.
+with conjugate gradients around it. Memory is that of ``n_past * m * m`` numbers and the edges. Where the
+edges outweigh the rest, so that the gradients don't settle, the equations are written out and solved
+as they are; a series with no more samples than coefficients is solved in its samples (its rows are
+then fewer numbers than the cross-products).
 
 A run is a stretch of hours without a gap; a sample lies in one run. Rows with a null or NaN in any
 column are left out and end a run.
@@ -27,7 +30,8 @@ from ..functions import timefns as D
 BLOCK_STEPS = 4096
 COMBINERS = 32
 TOLERANCE = 1e-12
-STEPS = 2000  # of the conjugate gradients; they raise when it is not enough
+STEPS = 300  # of the conjugate gradients
+GOOD = 1e-9  # a residual, relative to the right-hand side, that is taken after these steps
 
 
 # -- runs and blocks
@@ -85,7 +89,8 @@ def lag_moments(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str],
                 if to < n:
                     cy[a] += r.z[to - lag:n - lag].T @ r.y[to:]
             sums += np.append(r.z[own:].sum(axis=0), r.y[own:].sum())
-            at = own + np.flatnonzero((r.pos[own:] < reach) | (r.pos[own:] >= r.length - reach))
+            short = r.length - reach + 1 <= n_past * m  # then all rows, no more than cc holds
+            at = own + np.flatnonzero((r.pos[own:] < reach) | (r.pos[own:] >= r.length - reach) | short)
             edges.append(np.column_stack([np.full(len(at), run), r.pos[at], np.full(len(at), r.length), r.y[at], r.z[at]]).ravel())
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in names], cc.ravel(), cy.ravel(), sums, np.concatenate([np.zeros(0), *edges])]], columns=schema.names)
 
@@ -153,7 +158,7 @@ class Edges:
     def __init__(self, edges: np.ndarray, n_past: int, m: int, horizon: int):
         self.n, self.m, reach = n_past, m, n_past + horizon
         rows = edges.reshape(-1, 4 + m)
-        self.heads, self.tails, self.samples = [], [], 0
+        self.heads, self.tails, self.samples, self.whole = [], [], 0, []
         self.head_z, self.head_y, self.tail_z = [], [], []
         for run in np.unique(rows[:, 0]):
             own = rows[rows[:, 0] == run]
@@ -161,6 +166,7 @@ class Edges:
             length = int(own[0, 2])
             head, tail = own[own[:, 1] < reach], own[own[:, 1] >= length - reach]
             self.samples += length - reach + 1
+            self.whole.append((own[:, 4:], own[:, 3]) if len(own) == length else None)
             z0, z1 = head[:n_past - 1, 4:], tail[len(tail) - (reach - 1):, 4:]
             self.heads.append(np.concatenate([np.zeros((n_past - 1, m)), z0]))
             self.tails.append(np.concatenate([z1, np.zeros((n_past - 1, m))]))
@@ -198,33 +204,66 @@ def solve_lagged(cc: np.ndarray, cy: np.ndarray, sums: np.ndarray, edges: np.nda
     mean = (mean / e.samples).ravel()
     mean_y = (total_y - sum(y[:reach - 1].sum() for y in e.head_y)) / e.samples
     b = b.ravel() - e.samples * mean * mean_y
-    ridge = cc.copy()
-    ridge[0] += penalty * np.eye(m)
-    t = Toeplitz(ridge)
-
-    def times(v: np.ndarray) -> np.ndarray:
-        return t.times(v) - e.times(v) - e.samples * mean * (mean @ v)
-    w = conjugate_gradients(times, b, t.solve)
+    if e.samples <= n_past * m and None not in e.whole:
+        w = in_samples(e, mean, mean_y, reach, penalty)
+    else:
+        ridge = cc.copy()
+        ridge[0] += penalty * np.eye(m)
+        w = by_gradients(ridge, e, mean, b)
+        if w is None:
+            w = written_out(ridge, e, mean, b)
     return np.append(mean_y - mean @ w, w)
 
 
-def conjugate_gradients(times, b: np.ndarray, precondition, tolerance: float = TOLERANCE, steps: int = STEPS) -> np.ndarray:
+def in_samples(e: Edges, mean: np.ndarray, mean_y: float, reach: int, penalty: float) -> np.ndarray:
+    """The dual equations: one unknown per sample."""
+    x = np.concatenate([e._windows(z)[:len(z) - reach + 1] for z, _ in e.whole]) - mean
+    y = np.concatenate([y[reach - 1:] for _, y in e.whole]) - mean_y
+    return x.T @ np.linalg.solve(x @ x.T + penalty * np.eye(len(x)), y)
+
+
+def by_gradients(ridge: np.ndarray, e: Edges, mean: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Conjugate gradients, the Toeplitz part's inverse before them; None when they don't settle."""
+    try:
+        t = Toeplitz(ridge)
+    except np.linalg.LinAlgError:
+        return None
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return t.times(v) - e.times(v) - e.samples * mean * (mean @ v)
     x, r = np.zeros_like(b), b.copy()
-    goal = tolerance * np.linalg.norm(b)
-    z = precondition(r)
+    size = np.linalg.norm(b)
+    z = t.solve(r)
     p, rz = z.copy(), r @ z
-    for _ in range(steps):
-        if np.linalg.norm(r) <= goal:
-            return x
+    for _ in range(STEPS):
+        if np.linalg.norm(r) <= TOLERANCE * size:
+            break
         q = times(p)
         step = rz / (p @ q)
         x += step * p
         r -= step * q
-        z = precondition(r)
+        z = t.solve(r)
         p, rz = z + (r @ z) / rz * p, r @ z
-    if np.linalg.norm(b - times(x)) > 1e-6 * np.linalg.norm(b):
-        raise ArithmeticError(f"the lag regression did not settle in {steps} steps; a larger penalty helps")
-    return x
+        if not np.isfinite(rz) or rz <= 0:
+            break
+    good = np.isfinite(x).all() and np.linalg.norm(b - times(x)) <= GOOD * size
+    return x if good else None
+
+
+def written_out(ridge: np.ndarray, e: Edges, mean: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The equations themselves, ``d x d``, from the same moments."""
+    n, m = ridge.shape[:2]
+    full = np.empty((n, m, n, m))
+    for i in range(n):
+        for j in range(i, n):
+            full[i, :, j], full[j, :, i] = ridge[j - i], ridge[j - i].T
+    full = full.reshape(n * m, n * m)
+    for rows in (*e.heads, *e.tails):
+        w = np.ascontiguousarray(e._windows(rows))
+        full -= w.T @ w
+    full -= e.samples * np.outer(mean, mean)
+    size = np.sqrt(np.maximum(np.diag(full), np.finfo(float).tiny))
+    return np.linalg.lstsq(full / np.outer(size, size), b / size, rcond=None)[0] / size if n * m <= 2000 else np.linalg.solve(full / np.outer(size, size), b / size) / size
 
 
 # -- fit and predict

@@ -70,6 +70,33 @@ def test_same_coefficients_as_dense(spark, n_past, horizon, gaps, block):
     np.testing.assert_allclose(got["y"], [y for _, _, y in s])
 
 
+def test_every_way_to_solve_agrees():
+    pdf, cols = frame(300, 3, 7), ["c0", "c1", "y"]
+    n, h = 20, 4
+    z, y = pdf[cols].to_numpy(), pdf["y"].to_numpy()
+    cc = np.stack([z[:len(z) - k].T @ z[k:] for k in range(n)])
+    s = samples(pdf, cols, n, h)
+    want = dense(s, 2.0)
+    rows = np.column_stack([np.zeros(len(z)), np.arange(len(z)), np.full(len(z), len(z)), y, z]).ravel()
+    e = L.Edges(rows, n, 3, h)
+    x, t = np.stack([r[1] for r in s]), np.array([r[2] for r in s])
+    mean, b = x.mean(axis=0), (x - x.mean(axis=0)).T @ (t - t.mean())
+    cc[0] += 2.0 * np.eye(3)
+    for got in (L.by_gradients(cc, e, mean, b), L.written_out(cc, e, mean, b), L.in_samples(e, mean, t.mean(), n + h, 2.0)):
+        np.testing.assert_allclose(got, want[1:], rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [70, 90, 140])
+def test_few_samples_and_columns_of_very_different_size(spark, n):
+    pdf, cols = frame(n, 3, 11), ["c0", "c1", "y"]
+    pdf["c0"], pdf["c1"] = pdf["c0"] * 1e-4, pdf["c1"] * 1e5
+    df = spark.createDataFrame(pdf)
+    s = samples(pdf, cols, 24, 1)
+    want = dense(s, 1.0)
+    got = L.predict_lagged(df, L.fit_lagged(df, KEY, "ds", cols, "y", 24), KEY, "ds", cols, "y", 24).toPandas().sort_values("ds")
+    np.testing.assert_allclose(got["yhat"], [want[0] + x @ want[1:] for _, x, _ in s], rtol=1e-4)
+
+
 def test_nulls_short_series_and_empty_tables(spark):
     pdf = frame(60, 1, 2)
     pdf.loc[30, "c0"] = np.nan
