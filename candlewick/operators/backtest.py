@@ -41,12 +41,22 @@ def expand_cutoffs(df: DataFrame, key: Sequence[str], ts: str, start: str, end:
     return rows.drop("_s", "_c", "_k", "_lo", "_hi", "_last", "_first")
 
 
-def naive_test_rows(df: DataFrame, key: Sequence[str], ts: str, y: str, start: str, end: str,
-                    step_h: int = 6, train_days: int = 180, horizon: int = 120) -> DataFrame:
-    """Test rows with the value ``horizon`` hours earlier as forecast."""
+def naive_rows(df: DataFrame, key: Sequence[str], ts: str, y: str, origins: DataFrame, train_days: int | None = 180, horizon: int = 120) -> DataFrame:
+    """Test rows of every origin (see ``origins``) with the value ``horizon`` hours earlier as forecast.
+
+    The origins that test an hour are an arithmetic run, so they are generated, not joined.
+    """
     w = R.Blocked(df.select(*key, ts, y), key, ts, back=horizon)
     shifted = w.add(yhat=F.lag(y, horizon).over(w.window)).done()
-    return expand_cutoffs(shifted, key, ts, start, end, step_h, train_days, horizon, "test")
+    ends = df.groupBy(*key).agg(D.slot(F.max(ts)).alias("_last"), D.slot(F.min(ts)).alias("_first"))
+    rows = shifted.join(ends.join(origins, list(key)), list(key)).withColumn("_s", D.slot(ts))
+    lo = F.greatest(F.ceil((F.col("_s") - horizon - F.col("_base")) / F.col("_step")), F.lit(0)).cast("long")
+    hi = F.least(F.floor((F.col("_s") - 1 - F.col("_base")) / F.col("_step")), F.col("_count") - 1).cast("long")
+    rows = rows.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
+    rows = rows.withColumn("_c", F.col("_base") + F.col("_k") * F.col("_step"))
+    start = F.col("_first") if train_days is None else F.greatest(F.col("_first"), F.col("_c") - F.lit(train_days * 24 - 1))
+    return rows.select(*key, D.slot_start("_c").alias("cutoff"), D.slot_start(start).alias("training_start"), D.slot_start("_c").alias("training_end"),
+                       (F.col("_last") < F.col("_c") + horizon).alias("short_horizon"), ts, y, "yhat")
 
 
 def summarise_runs(tests: DataFrame, key: Sequence[str], ts: str, y: str, yhat: str = "yhat",

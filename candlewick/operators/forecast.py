@@ -6,14 +6,15 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import timefns as D
 from ..functions.scalars import bind
 from ..session import staged
-from . import backtest as B, rolling as R, stats as S
+from . import backtest as B, origins as N, rolling as R, stats as S
 from .lagfit import fit_lagged, predict_lagged
 from .leastsq import dot, ridge
 from .metrics import regression_metrics
@@ -155,41 +156,75 @@ def attach_baseline(df: DataFrame, key: Sequence[str], ts: str = "ds", y: str =
     return out.withColumnsRenamed({c: prefix + c for c in out.columns if c not in df.columns})
 
 
-def backtest_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_h: int = 6,
-                      train_days: int = 180, horizon: int = 120, ts: str = "ds", y: str = "y", **params) -> DataFrame:
-    """Baseline refitted at every cut-off, all cut-offs in one job; one summary row per run."""
-    rows = B.expand_cutoffs(df.select(*key, ts, y), key, ts, start, end, step_h, train_days, horizon)
-    group = [*key, "cutoff"]
-    fit = fit_baseline(rows.where(~F.col("is_test")), group, ts, y, **params)
-    shared = {k: v for k, v in params.items() if k in ("reach", "yearly")}
-    tests = predict_baseline(rows.where("is_test"), fit, group, ts, **shared)
-    return B.summarise_runs(tests, key, ts, y)
-
+def _seasons(yearly: bool) -> N.Waves:
+    return N.Waves([(7.0, WEEKLY_ORDER), (1.0, DAILY_ORDER)] + ([(365.25, YEARLY_ORDER)] if yearly else []))
 
-def tune_baseline(df: DataFrame, key: Sequence[str], start: str, end: str, step_h: int = 1440, horizon: int = 120,
-                  train_days: int = 3650, priors: Sequence[float] = PRIOR_GRID, season_priors: Sequence[float] = SEASON_GRID,
-                  reaches: Sequence[float] = RANGE_GRID, ts: str = "ds", y: str = "y") -> DataFrame:
-    """RMSE of every parameter combination over rolling origins.
 
-    Priors only change the penalty, so they share the summed equations of their range.
+def _fits(m: N.Moments, start: int, end: int, reach: float, priors: Sequence[float], season_priors: Sequence[float], yearly: bool):
+    """``(prior, season_prior, origin, beta, sigma)`` of one origin; its sums serve all priors."""
+    o = N.Origin(m, start, end, reach, CHANGEPOINTS)
+    if not o.rows:
+        return
+    n_t = CHANGEPOINTS + 2
+    for prior in priors:
+        trend = np.array(trend_penalty(prior))
+        xx, xy = o.joint(N.solved(o.tt, o.ty, trend))
+        for season_prior in season_priors:
+            penalty = np.concatenate([trend, np.array(season_penalty(season_prior, yearly)) * o.top ** 2])
+            beta = N.solved(xx, xy, penalty)
+            sse = max(o.yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
+            yield prior, season_prior, o, (beta[:n_t], beta[n_t:]), math.sqrt(sse / o.rows)
+
+
+def backtest_rows(df: DataFrame, key: Sequence[str], ts: str, y: str, origins: DataFrame, train_days: int | None = 180, horizon: int = 120,
+                  prior: float = CHANGEPOINT_PRIOR, season_prior: float = SEASONALITY_PRIOR, reach: float = CHANGEPOINT_RANGE, yearly: bool = False,
+                  group: int | None = None) -> DataFrame:
+    """Forecasts of the ``horizon`` hours behind every origin by a baseline fitted on the days before it:
+    key, cutoff, training_start, training_end, short_horizon, ds, y, yhat, yhat_lower, yhat_upper.
+
+    An hour without a value is no test row; ``short_horizon`` tells that the series ends early.
     """
-    rows = B.expand_cutoffs(df.select(*key, ts, y), key, ts, start, end, step_h, train_days, horizon)
-    rows = rows.withColumn("reach", F.explode(F.array(*[F.lit(float(r)) for r in reaches])))
-    group = [*key, "cutoff", "reach"]
-    rows = _design(rows.withColumn("_y", F.col(y).cast("double")), ts, "training_start", "training_end", F.col("reach"), False)
-    train, test = rows.where(~F.col("is_test") & F.col("_y").isNotNull()), rows.where("is_test")
-    level = ridge(train, group, "_t", "_y", [(repr(float(p)), trend_penalty(p)) for p in priors]).select(
-        *group, F.col("fit").alias("prior"), F.col("beta").alias("level_beta"))
-    pairs = [(f"{float(p)!r}|{float(q)!r}", trend_penalty(p) + season_penalty(q)) for p in priors for q in season_priors]
-    both = train.join(level, group).withColumn("_x", _joint(dot("_t", "level_beta")))
-    fits = (ridge(both, [*group, "prior"], "_x", "_y", pairs, match="prior", shares=range(CHANGEPOINTS + 2, len(pairs[0][1])))
-            .select(*group, "prior", F.substring_index("fit", "|", -1).alias("season_prior"), "beta"))
-    n_t, n_f = CHANGEPOINTS + 2, 2 * (WEEKLY_ORDER + DAILY_ORDER)
-    scored = test.join(fits, group).withColumn(
-        "yhat", dot("_t", F.slice("beta", 1, n_t)) * (F.lit(1.0) + dot("_f", F.slice("beta", n_t + 1, n_f))))
-    e = F.col("_y") - F.col("yhat")
-    return scored.groupBy(F.col("prior").cast("double").alias("prior"), F.col("season_prior").cast("double").alias("season_prior"),
-                          "reach").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    fields = [T.StructField("_at", T.LongType()), T.StructField("short_horizon", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in (y, "yhat", "yhat_lower", "yhat_upper")]]
+
+    def each(m: N.Moments, start: int, end: int, tests: np.ndarray):
+        short = len(tests) < horizon
+        tests = tests[~np.isnan(m.y[tests])]
+        for *_, o, (trend, seasons), sigma in _fits(m, start, end, reach, [prior], [season_prior], yearly):
+            u, t, f = o.features(tests)
+            factor = 1.0 + f @ seasons
+            yhat = t @ trend * factor
+            change = np.abs(trend[2:]).sum() / CHANGEPOINTS
+            drift = 2.0 * CHANGEPOINTS / 3.0 / reach * (change * factor) ** 2 * np.maximum(u - 1.0, 0.0) ** 3
+            half = INTERVAL_Z * np.sqrt(sigma ** 2 + drift)
+            yield from zip((tests + m.first).tolist(), [short] * len(tests), m.y[tests].tolist(), yhat.tolist(), (yhat - half).tolist(), (yhat + half).tolist())
+    out = N.by_origin(df, key, ts, y, origins, train_days, horizon, _seasons(yearly), each, fields, group)
+    return out.select(*key, "cutoff", "training_start", F.col("cutoff").alias("training_end"), "short_horizon", D.slot_start("_at").alias(ts), y, "yhat", "yhat_lower", "yhat_upper")
+
+
+def backtest_baseline(df: DataFrame, key: Sequence[str], origins: DataFrame, train_days: int | None = 180, horizon: int = 120, ts: str = "ds", y: str = "y", **params) -> DataFrame:
+    """Baseline refitted at every origin; one summary row per run."""
+    return B.summarise_runs(backtest_rows(df, key, ts, y, origins, train_days, horizon, **params), key, ts, y)
+
+
+def tune_baseline(df: DataFrame, key: Sequence[str], origins: DataFrame, train_days: int | None = None, horizon: int = 120,
+                  priors: Sequence[float] = PRIOR_GRID, season_priors: Sequence[float] = SEASON_GRID, reaches: Sequence[float] = RANGE_GRID,
+                  ts: str = "ds", y: str = "y", yearly: bool = False) -> DataFrame:
+    """RMSE of every parameter combination over all origins and series.
+
+    The sums of an origin are made once per range; priors only change penalties and the level that
+    the seasons are multiplied with.
+    """
+    fields = [T.StructField(c, T.DoubleType()) for c in ("prior", "season_prior", "reach", "sse")] + [T.StructField("n", T.LongType())]
+
+    def each(m: N.Moments, start: int, end: int, tests: np.ndarray):
+        tests = tests[~np.isnan(m.y[tests])]
+        for reach in reaches:
+            for prior, season_prior, o, (trend, seasons), _ in _fits(m, start, end, float(reach), priors, season_priors, yearly):
+                _, t, f = o.features(tests)
+                e = m.y[tests] - t @ trend * (1.0 + f @ seasons)
+                yield float(prior), float(season_prior), float(reach), float(e @ e), len(tests)
+    found = N.by_origin(df, key, ts, y, origins, train_days, horizon, _seasons(yearly), each, fields)
+    return found.groupBy("prior", "season_prior", "reach").agg(F.sqrt(F.try_divide(F.sum("sse"), F.sum("n"))).alias("rmse"))
 
 
 def best_parameters(tuned: DataFrame) -> DataFrame:
@@ -200,8 +235,8 @@ def evaluate_regressors(df: DataFrame, key: Sequence[str], ts: str, y: str, regr
                         horizon: int = 120) -> DataFrame:
     """Metrics of every subset of regressors on the last ``horizon`` hours.
 
-    As in the reference procedure the future holds each regressor at its training mean. All
-    subsets are solved from one set of summed equations.
+    Regressors multiply the trend, as the seasons do. As in the reference procedure the future holds
+    each at its training mean. All subsets are solved from one set of summed equations.
     """
     train, test = R.split_last(df, key, ts, horizon)
     span = train.groupBy(*key).agg(F.min(ts).alias("training_start"), F.max(ts).alias("training_end"),
@@ -211,20 +246,23 @@ def evaluate_regressors(df: DataFrame, key: Sequence[str], ts: str, y: str, regr
     scaled = F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in regressors])
 
     def design(rows: DataFrame, extra: Column) -> DataFrame:
-        u = _progress(ts, "training_start", "training_end")
-        return rows.join(span, list(key)).withColumn(
-            "_x", F.concat(trend_features(u, CHANGEPOINT_RANGE), season_features(ts), extra))
+        return rows.join(span, list(key)).withColumns({
+            "_y": F.col(y).cast("double"), "_t": trend_features(_progress(ts, "training_start", "training_end"), CHANGEPOINT_RANGE),
+            "_f": F.concat(season_features(ts), extra)})
 
     names, subsets = [], []
     for k in range(len(regressors) + 1):
         for combo in itertools.combinations(range(len(regressors)), k):
             names.append("+".join(regressors[i] for i in combo) or "none")
             subsets.append([*range(n_t + n_f), *[n_t + n_f + i for i in combo]])
+    rows = design(train.dropna(subset=[*regressors, y]), scaled)
+    level = ridge(rows, key, "_t", "_y", [("level", trend_penalty(CHANGEPOINT_PRIOR))]).select(*key, F.col("beta").alias("level_beta"))
+    both = rows.join(level, list(key)).withColumn("_x", _joint(dot("_t", "level_beta")))
     penalty = [*trend_penalty(CHANGEPOINT_PRIOR), *season_penalty(SEASONALITY_PRIOR), *([1e-6] * len(regressors))]
-    fits = ridge(design(train.dropna(subset=list(regressors)), scaled), key, "_x", y,
-                 [(n, penalty) for n in names], subsets)
+    fits = ridge(both, key, "_x", "_y", [(n, penalty) for n in names], subsets, shares=range(n_t, len(penalty)))
     zeros = F.array(*[F.lit(0.0) for _ in regressors])
-    tests = design(test, zeros).join(fits.select(*key, "fit", "beta"), list(key)).withColumn("yhat", dot("_x", "beta"))
+    tests = design(test, zeros).join(fits.select(*key, "fit", "beta"), list(key)).withColumn(
+        "yhat", dot("_t", F.slice("beta", 1, n_t)) * (F.lit(1.0) + dot("_f", F.slice("beta", n_t + 1, n_f + len(regressors)))))
     return regression_metrics(tests, y, "yhat", [*key, "fit"]).withColumnRenamed("fit", "regressors")
 
 

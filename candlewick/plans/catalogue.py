@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as M, textfns as X, timefns as D
 from ..operators import (
     backtest as B, dedupe as DD, forecast as P, grid as G, indicators as I, lookback as L, metrics as ME,
-    rolling as R, selection as SE, sentiment as S, serve as V, stats as ST)
+    origins as N, rolling as R, selection as SE, sentiment as S, serve as V, stats as ST)
 from ..operators.ewm import ewm_stds
 from ..session import staged, work_dir
 from ..sources import readers, schemas as SC
@@ -1049,27 +1049,36 @@ def confusion(spark, sf):
     return ME.confusion(w.done(), "a", "p", [-1, 0, 1])
 
 
-CUT = ("2024-01-10 00:00:00", "2024-01-28 00:00:00")
+_ORIGINS = """
+lim AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi, (epoch(max(ds)) - epoch(min(ds))) / 3600 + 1 AS n FROM dense GROUP BY 1)"""
+
+
+@register("rolling_origin_splits", O._with(O.BASE, _ORIGINS, """
+k AS (SELECT *, unnest(generate_series(0, 1000)) AS k FROM lim),
+c AS (SELECT series_id, lo, hi - (120 + 1440 * k) * INTERVAL 1 HOUR AS cutoff FROM k WHERE hi - (120 + 1440 * k) * INTERVAL 1 HOUR >= lo + round_even(0.7 * n, 0)::INT * INTERVAL 1 HOUR)""") + """
+SELECT series_id, cutoff, lo AS training_start, cutoff AS training_end, cutoff + INTERVAL 1 HOUR AS test_start, cutoff + INTERVAL 120 HOUR AS test_end,
+       CAST((epoch(cutoff) - epoch(lo)) / 3600 + 1 AS BIGINT) AS n_train FROM c""")
+def rolling_origin_splits(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds")
+    return N.splits(d, KEY, "ds", N.origins_by_period(d, KEY, "ds"))
 
 
 def _backtest_sql(select: str) -> str:
-    return O._with(O.BASE, _NAIVE, f"""
-cuts AS (SELECT unnest(generate_series(TIMESTAMP '{CUT[0]}', TIMESTAMP '{CUT[1]}', INTERVAL 6 HOUR)) AS cutoff),
-lim AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM dense GROUP BY 1),
+    return O._with(O.BASE, _NAIVE, _ORIGINS, """
+cuts AS (SELECT series_id, lo, hi, unnest(generate_series(lo + (round_even(0.7 * n, 0)::INT - 1) * INTERVAL 1 HOUR, hi - INTERVAL 120 HOUR, INTERVAL 1 HOUR)) AS cutoff FROM lim),
 trimmed AS (
-  SELECT s.series_id, s.ds, s.y, s.yhat, c.cutoff, row_number() OVER (PARTITION BY s.series_id, c.cutoff ORDER BY s.ds DESC) AS back, l.hi < c.cutoff + INTERVAL 120 HOUR AS short_horizon
-  FROM shifted s JOIN lim l USING (series_id) JOIN cuts c ON s.ds > c.cutoff - INTERVAL 10 DAY AND s.ds <= c.cutoff + INTERVAL 120 HOUR),
-bounds AS (SELECT series_id, cutoff, min(ds) AS training_start, max(ds) AS training_end FROM trimmed WHERE back > 120 GROUP BY 1, 2),
+  SELECT s.series_id, s.ds, s.y, s.yhat, c.cutoff, FALSE AS short_horizon
+  FROM shifted s JOIN cuts c ON s.series_id = c.series_id AND s.ds > c.cutoff AND s.ds <= c.cutoff + INTERVAL 120 HOUR),
+bounds AS (SELECT series_id, cutoff, greatest(lo, cutoff - INTERVAL 180 DAY + INTERVAL 1 HOUR) AS training_start, cutoff AS training_end FROM cuts),
 runs AS (
   SELECT series_id, cutoff, short_horizon, min(ds) AS mystery_start, max(ds) AS mystery_end, count(*) AS n_test, avg(abs(y - yhat)) AS mae, avg(power(y - yhat, 2)) AS mse,
          avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS mape, list(y ORDER BY ds) AS y, list(yhat ORDER BY ds) AS yhat
-  FROM trimmed WHERE back <= 120 GROUP BY 1, 2, 3)""") + select
+  FROM trimmed GROUP BY 1, 2, 3)""") + select
 
 
 def _naive_runs(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
-    tests = B.naive_test_rows(d, KEY, "ds", "y", *CUT, step_h=6, train_days=10)
-    return B.summarise_runs(tests, KEY, "ds", "y")
+    return B.summarise_runs(B.naive_rows(d, KEY, "ds", "y", N.origins_by_step(d, KEY, "ds")), KEY, "ds", "y")
 
 
 @register("backtest_naive", _backtest_sql("""
@@ -1090,16 +1099,14 @@ def mape_per_step(spark, sf):
 @register("backtest_baseline")
 def backtest_baseline(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
-    runs = P.backtest_baseline(d, KEY, *CUT, step_h=48, train_days=20)
+    runs = P.backtest_baseline(d, KEY, N.origins_by_step(d, KEY, "ds"))
     return B.ranked_runs(runs.drop("y", "yhat"))
 
 
 @register("backtest_side_by_side")
 def backtest_side_by_side(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
-    model = P.backtest_baseline(d, KEY, *CUT, step_h=48, train_days=20)
-    naive = B.summarise_runs(B.naive_test_rows(d, KEY, "ds", "y", *CUT, step_h=48, train_days=20), KEY, "ds", "y")
-    return B.side_by_side(model, naive, KEY, ("model", "naive"))
+    return B.side_by_side(P.backtest_baseline(d, KEY, N.origins_by_step(d, KEY, "ds")), _naive_runs(spark, sf), KEY, ("model", "naive"))
 
 
 @register("baseline_forecast")
@@ -1107,10 +1114,19 @@ def baseline_forecast(spark, sf):
     return P.baseline_forecast(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, prefix="baseline_")
 
 
+def _tuned(spark, sf):
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    return P.tune_baseline(d, KEY, N.origins_by_period(d, KEY, "ds"))
+
+
 @register("tune_baseline")
 def tune_baseline(spark, sf):
-    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
-    return P.tune_baseline(d, KEY, "2024-01-22 00:00:00", "2024-01-26 00:00:00", step_h=96)
+    return _tuned(spark, sf)
+
+
+@register("best_parameters")
+def best_parameters(spark, sf):
+    return P.best_parameters(_tuned(spark, sf))
 
 
 @register("regressor_subsets")
