@@ -12,7 +12,8 @@ by the task that it is dealt to, which goes on into later blocks only for the re
 document.
 
 Texts are cut where a space follows a character that is no white space. No piece of a byte-level
-vocabulary crosses such a place, so the library encodes each distinct part once.
+vocabulary crosses such a place, so the library's model merges the letters of each distinct part
+once, while it is remembered.
 
 Defined results: null and empty texts are the end id alone; the string of a special token in a
 text is that token, as the library reads it; a null id comes last; rows that share an id are in
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import files
 from .common import id_of, staged, tasks_for, text_of, work_dir
+from .tokencount import PATTERN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END = 0  # appended to every document
@@ -39,7 +42,7 @@ LIMIT = 18  # bits of the longest code
 STEP = 256  # ids between two checkpoints
 BLOCK = 1 << 18  # ids of a block
 FILE = 1 << 27  # bytes after which a file ends
-CACHE = 300_000  # parts of texts a task remembers
+CACHE = 250_000  # parts of texts a task remembers, twice
 MAGIC = b"CWHUFF01"
 
 TOKENS = "doc_id long, h long, ids binary, sym int, n long"
@@ -100,7 +103,7 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     width = 1 << (top - lengths[order].astype(np.int64))
     fill = (1 << top) - int(width.sum())  # a single code leaves half of the table unused
     ids = np.concatenate([np.repeat(order, width), np.zeros(fill, dtype=np.int64)])
-    return ids, lengths[ids].astype(np.int64), top
+    return ids.astype(np.int32), lengths[ids].astype(np.uint8), top
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, step: int = STEP) -> tuple[bytes, np.ndarray]:
@@ -127,7 +130,7 @@ def unpack(raw: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndarray,
     lanes = -(-n // step)
     b = np.frombuffer(raw + bytes(8), dtype=np.uint8).astype(np.uint32)
     window = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
-    at, out = checkpoints[:lanes].copy(), np.empty((step, lanes), dtype=np.int64)
+    at, out = checkpoints[:lanes].copy(), np.empty((step, lanes), dtype=np.int32)
     mask, last = (1 << top) - 1, len(window) - 1
     for k in range(step):
         # Lanes that are through read on, harmlessly, inside the block.
@@ -139,45 +142,85 @@ def unpack(raw: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndarray,
 
 # -- texts to ids
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable,
+    else the next letter from 256 on."""
+    own = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memory(dict):
+    """What ``make`` gives for a key. Of more than ``most`` keys the older ones are forgotten."""
+
+    def __init__(self, make, most: int = CACHE):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as raw integers, from the tokenizers library."""
 
     def __init__(self, vocabulary: str):
+        import regex
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(vocabulary)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.spaced: dict[str, bytes] = {}  # behind a space
-        self.bare: dict[str, bytes] = {}
+        self.letters, self.merge = byte_letters(), self.library.model.tokenize
+        self.pieces = regex.compile(PATTERN).findall
+        self.spaced, self.bare = Memory(self._spaced), Memory(self._bare)  # parts behind a space, and others
         self.blank = re.compile(r"\s ").search
         self.cut = re.compile(r"(?<=\S)(?= )").split
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _parts(self, text: str) -> tuple[str, list[str]]:
-        """The part before the first cut, and the parts behind a space, without it."""
+    def _one(self, piece: str) -> bytes:
+        spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def _spaced(self, part: str) -> bytes:
+        if part.isalpha():
+            return self._one(f" {part}")
+        first, *rest = self.pieces(f" {part}")
+        if not rest:
+            return self._one(first)
+        return (self.spaced[first[1:]] if len(first) > 1 and first[0] == " " else self.bare[first]) + b"".join([self.bare[p] for p in rest])
+
+    def _bare(self, part: str) -> bytes:
+        found = self.pieces(part)
+        return self._one(part) if len(found) == 1 else b"".join([self.bare[p] for p in found])
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         if self.blank(text) is None:
             first, *rest = text.split(" ")
-            return first, rest
-        first, *rest = self.cut(text)
-        return first, [x[1:] for x in rest]
+        else:
+            first, *rest = self.cut(text)
+            rest = [x[1:] for x in rest]
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > CACHE:
-            self.spaced.clear()
-            self.bare.clear()
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        parts = [self._parts(t) for t in texts]
-        behind = set().union(*(rest for _, rest in parts)).difference(self.spaced)
-        before = {first for first, _ in parts}.difference(self.bare)
-        self.spaced.update(zip(behind, self._raw([f" {w}" for w in behind])))
-        self.bare.update(zip(before, self._raw(list(before))))
-        get = self.spaced.__getitem__
-        out = [self.bare[first] + b"".join(map(get, rest)) for first, rest in parts]
-        for i, raw in zip(whole, self._raw([texts[i] for i in whole])):
-            out[i] = raw
-        return out
+        return [self._text(t) for t in texts]
+
+
+_CODER: list[tuple[int, Encoder]] = []
+
+
+def coder_of(vocabulary: str) -> Encoder:
+    """The encoder of this worker process: later tasks go on with what it remembers."""
+    mark = hash(vocabulary)
+    if not _CODER or _CODER[0][0] != mark:
+        _CODER[:] = [(mark, Encoder(vocabulary))]
+    return _CODER[0][1]
 
 
 def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +230,7 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, id_
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        coder = Encoder(sent.value)
+        coder = coder_of(sent.value)
         kind = coder.kind
         closing = np.array([end], dtype=kind).tobytes()
         counts = np.zeros(max(coder.library.get_vocab_size(), end + 1), dtype=np.int64)
