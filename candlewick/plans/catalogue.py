@@ -1207,7 +1207,17 @@ def snapshot_lines(spark, sf):
 
 def _run(spark, sf, name: str, shape, write_for, mode: str) -> str:
     root = f"{work_dir(spark)}/{name}-{uuid4().hex}"
-    src = STR.stream_files(spark, f"{sf}/events.parquet*", SC.EVENTS)  # a file, or a folder of them
+    src = STR.stream_files(spark, f"{sf}/events.parque[t]", SC.EVENTS)  # exactly this file, or this folder of files
+    STR.run_stream(shape(src.withColumn("ts", F.col("ts").cast("timestamp"))), write_for(f"{root}/out"), f"{root}/log", mode).awaitTermination()
+    return f"{root}/out"
+
+
+def _run_batches(spark, sf, name: str, shape, write_for, mode: str, batches: int = 5) -> str:
+    """The events as a stream of several micro-batches whose times overlap."""
+    root = f"{work_dir(spark)}/{name}-{uuid4().hex}"
+    e = T.table(spark, sf, "events")
+    e.repartition(batches, F.pmod("event_id", F.lit(batches))).write.parquet(f"{root}/in")
+    src = STR.stream_files(spark, f"{root}/in", e.schema, files_per_batch=1)
     STR.run_stream(shape(src.withColumn("ts", F.col("ts").cast("timestamp"))), write_for(f"{root}/out"), f"{root}/log", mode).awaitTermination()
     return f"{root}/out"
 
@@ -1227,14 +1237,40 @@ def stream_sliding(spark, sf):
     return rounded(STR.read_last_update(spark, out, ["event_type", "ds"]), ["mean"], 8)
 
 
+@register("stream_sliding_long", """
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)
+SELECT event_type, hour + k * INTERVAL 1 HOUR AS ds, sum(n)::BIGINT AS n, round(sum(total) / sum(n), 6) AS mean FROM h, (SELECT unnest(generate_series(1, 120)) AS k) GROUP BY 1, 2""")
+def stream_sliding_long(spark, sf):
+    out = _run_batches(spark, sf, "ring", lambda e: STR.sliding_ring(e, "ts", ["event_type"], "value", 120), STR.append_kinds, "update")
+    return rounded(STR.read_sliding(spark, out, ["event_type"], 120), ["mean"])
+
+
+@register("stream_late_merged", """
+SELECT event_type, date_trunc('hour', ts) AS ds, count(value) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
+def stream_late_merged(spark, sf):
+    shape = lambda rows: STR.hourly_sums(rows, "ts", ["event_type"], "value")
+    out = _run_batches(spark, sf, "late", lambda e: e, lambda t: STR.write_with_late(t, "ts", "72 HOURS", shape), "append")
+    return rounded(STR.merge_late(spark, out, shape, ["event_type", "ds"], ["n", "total"]), ["total"])
+
+
+@register("stream_compacted", O._with(O.SNAPSHOTS, f"ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {NEWEST}) AS rn FROM snapshots)")
+          + "SELECT id, event_id, event_type, self_text_md5, fetch_datetime FROM ranked WHERE rn = 1")
+def stream_compacted(spark, sf):
+    tie, schema = ("self_text_md5", "event_id"), _snapshot_shape(T.events(spark, sf)).schema
+    out = _run_batches(spark, sf, "compacted", _snapshot_shape, lambda t: STR.upsert_compacted(t, schema, "id", "fetch_datetime", tie, every=2), "append")
+    return STR.read_compacted(spark, out, schema, "id", "fetch_datetime", tie)
+
+
+def _snapshot_shape(e):
+    return e.select(F.col("user_id").cast("string").alias("id"), "event_id", "event_type", F.md5("props").alias("self_text_md5"),
+                    F.when(F.col("value") >= 1.0, F.col("ts")).alias("fetch_datetime"))
+
+
 @register("stream_latest", O._with(O.SNAPSHOTS, f"ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {NEWEST}) AS rn FROM snapshots)")
           + "SELECT id, event_id, event_type, self_text_md5, fetch_datetime FROM ranked WHERE rn = 1")
 def stream_latest(spark, sf):
-    def shape(e):
-        return e.select(F.col("user_id").cast("string").alias("id"), "event_id", "event_type", F.md5("props").alias("self_text_md5"),
-                        F.when(F.col("value") >= 1.0, F.col("ts")).alias("fetch_datetime"))
     tie = ("self_text_md5", "event_id")
-    out = _run(spark, sf, "latest", shape, lambda t: STR.upsert_batch(t, "id", "fetch_datetime", tie), "append")
+    out = _run(spark, sf, "latest", _snapshot_shape, lambda t: STR.upsert_batch(t, "id", "fetch_datetime", tie), "append")
     return STR.read_latest(spark, out, "id", "fetch_datetime", tie)
 
 

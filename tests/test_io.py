@@ -83,8 +83,6 @@ def test_stream_upsert_keeps_the_newest_and_takes_late_rows(spark, tmp_path):
     assert go() == {"a": 3, "b": 5, "c": 7}
     batch = DD.latest_per_id(spark.read.parquet(src), "id", "at", ("v",))
     assert {r["id"]: r["v"] for r in batch.collect()} == go()
-    STR.compact_deltas(spark, out, str(tmp_path / "base"), "id", "at", ("v",))
-    assert STR.read_latest(spark, str(tmp_path / "base"), "id", "at", ("v",)).count() == 3
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
@@ -110,3 +108,74 @@ def test_late_rows_are_split_not_lost(spark):
     df = spark.createDataFrame([("a", 1, at(1)), ("b", 2, at(5)), ("c", 3, None)], SCHEMA)
     ok, late = STR.split_late(df, "at", F.lit(at(3)))
     assert {r["id"] for r in late.collect()} == {"a"} and ok.count() == 2
+
+
+def test_compaction_in_the_stream(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    schema = SC.T.StructType.fromDDL(SCHEMA)
+    read = lambda: {r["id"]: r["v"] for r in STR.read_compacted(spark, out, schema, "id", "at", ("v",)).collect()}
+    assert read() == {}
+    write = STR.upsert_compacted(out, schema, "id", "at", ("v",), every=3)
+    want = {}
+    for k in range(7):
+        rows = [(f"i{j}", 10 * k + j, at((k * 5 + j * 3) % 17)) for j in range(6) if (j + k) % 3]
+        for i, v, t in rows:
+            want[i] = max(want.get(i, (t, v)), (t, v))
+        put(spark, src, rows)
+        STR.run_stream(STR.stream_files(spark, src, schema), write, log).awaitTermination()
+        assert read() == {i: v for i, (_, v) in want.items()}
+    version, base, upto = STR.pointer(spark, out)
+    assert (version, upto) == (2, 5) and base
+    held = STR.read_compacted(spark, out, schema, "id", "at", ("v",))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_id" in plan and "(batch_id" in plan and "> 5)]" in plan  # base and open deltas only
+    STR.fold(spark, out, schema, "id", "at", ("v",), 5)  # a replayed batch folds nothing
+    assert STR.pointer(spark, out) == (version, base, upto)
+    STR.fold(spark, out, schema, "id", "at", ("v",), 6)
+    assert sorted(map(tuple, held.collect())) == sorted((i, v, t) for i, (t, v) in want.items())  # an older reader goes on
+    STR.clean(spark, out, keep=1)
+    assert read() == {i: v for i, (_, v) in want.items()} and len(list((tmp_path / "out").glob("base-*"))) == 1 and not list((tmp_path / "out/deltas").glob("batch_id=*"))
+
+
+def test_late_rows_go_to_a_side_table_and_are_merged(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    shape = lambda d: STR.hourly_sums(d, "at", ["id"], "v")
+    write = STR.write_with_late(out, "at", "3 HOURS", shape)
+    schema = SC.T.StructType.fromDDL(SCHEMA)
+    for rows in ([("a", 1, at(1)), ("a", 2, at(9))], [("a", 4, at(2)), ("b", 8, at(8)), ("b", 16, None)], [("a", 32, at(0)), ("a", 64, at(20))]):
+        put(spark, src, rows)
+        STR.run_stream(STR.stream_files(spark, src, schema), write, log).awaitTermination()
+    assert sorted(r["v"] for r in spark.read.parquet(f"{out}/late").collect()) == [4, 32]
+    rows = lambda d: sorted(map(tuple, d.select("id", "ds", "n", "total").collect()), key=str)
+    assert rows(STR.merge_late(spark, out, shape, ["id", "ds"], ["n", "total"])) == rows(shape(spark.read.parquet(src)))
+    late = spark.read.parquet(f"{out}/late").count()
+    write(spark.read.parquet(src).where("v = 4"), 1)  # a replay overwrites its own folders
+    assert spark.read.parquet(f"{out}/late").count() == late
+
+
+def test_ring_of_hours_equals_windows(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    rng = __import__("random").Random(4)
+    hours = 24
+    for k in range(5):  # each batch goes on in time and has some older rows, a few beyond the ring
+        put(spark, src, [(rng.choice("aab"), rng.randint(-9, 9), at(k * 40 + rng.randint(0, 50) - (rng.random() < 0.1) * rng.randint(0, 90))) for _ in range(60)] + [("c", 1, None)])
+    s = STR.stream_files(spark, src, SC.T.StructType.fromDDL(SCHEMA), files_per_batch=1)
+    STR.run_stream(STR.sliding_ring(s, "at", ["id"], "v", hours, lateness=6), STR.append_kinds(out), log, "update").awaitTermination()
+    assert spark.read.parquet(out).where("kind = 'late'").count() > 0
+    key = lambda d: sorted((r["id"], r["ds"], r["n"], round(r["mean"], 9)) for r in d.collect())
+    want = STR.sliding_means(spark.read.parquet(src).where("at IS NOT NULL"), "at", ["id"], "v", hours)
+    assert key(STR.read_sliding(spark, out, ["id"], hours)) == key(want)
+
+
+def test_stream_reads_a_file_or_a_folder_and_no_siblings(spark, tmp_path):
+    from candlewick.plans.catalogue import QUERIES
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.coalesce(1).write.parquet(str(tmp_path / "one"))
+    file = next((tmp_path / "one").glob("*.parquet"))
+    (tmp_path / "as_file").mkdir()
+    file.rename(tmp_path / "as_file/events.parquet")
+    e.repartition(4).write.parquet(str(tmp_path / "as_folder/events.parquet"))
+    for d in ("as_file", "as_folder"):
+        e.limit(5).write.parquet(str(tmp_path / d / "events.parquet_old"))
+        got = QUERIES["stream_hourly"](spark, str(tmp_path / d))
+        assert got.agg(F.sum("n")).first()[0] == e.count()
