@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import DataQualityError
 from ..functions import timefns as D
 from . import rolling as R
+from .single import row_of
 
 
 def join_model_frame(bars: DataFrame, senti: DataFrame, key: Sequence[str] = (), ts: str = "ds",
@@ -25,6 +26,18 @@ def join_model_frame(bars: DataFrame, senti: DataFrame, key: Sequence[str] = (),
     return bars.join(senti, ts, "left")
 
 
+def guarded_model_frame(bars: DataFrame, senti: DataFrame, key: Sequence[str] = (), ts: str = "ds") -> DataFrame:
+    """The strict ``join_model_frame`` with its guards in the plan: nothing runs before the result is read,
+    and it can't be read when a guard fails. Their counts are two aggregates that run once."""
+    a = row_of(bars.agg(F.to_date(F.max(ts)).alias("d"), F.count_distinct(*key, ts).alias("n"),
+                        (F.count_distinct(*key) if key else F.lit(1)).alias("k")))
+    b = row_of(senti.agg(F.to_date(F.max(ts)).alias("d"), F.count(F.lit(1)).alias("n")))
+    day = F.assert_true(a["d"].eqNullSafe(b["d"]), F.concat(F.lit("bars end on "), a["d"].cast("string"), F.lit(", sentiment on "), b["d"].cast("string")))
+    hours = F.assert_true(a["n"] == b["n"] * a["k"], F.concat(a["n"].cast("string"), F.lit(" bars against "), b["n"].cast("string"),
+                                                              F.lit(" sentiment hours for "), a["k"].cast("string"), F.lit(" series")))
+    return bars.join(senti, ts, "left").where(day.isNull() & hours.isNull())
+
+
 def history_and_forecast(hist: DataFrame, pred: DataFrame, key: Sequence[str], as_of: str, ts: str = "ds",
                          price: str = "close_price", limit: int = 120, days: int = 10) -> DataFrame:
     """History before ``as_of`` and at most ``limit`` forecast hours from it on, price at 2 decimals."""

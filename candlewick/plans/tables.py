@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import textfns as X, timefns as D
@@ -38,8 +40,19 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def bars(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).withColumnRenamed("event_type", "series_id")
+def events_between(spark: SparkSession, sf: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """Events with ``since <= ts < until``. The bounds meet the column as it is stored, so they reach the scan."""
+    e = table(spark, sf, "events")
+    kind = e.schema["ts"].dataType
+    for bound, keep in ((since, lambda b: F.col("ts") >= b), (until, lambda b: F.col("ts") < b)):
+        if bound is not None:
+            e = e.where(keep(F.lit(bound).cast(kind)))
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def bars(spark: SparkSession, sf: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """Hourly candles; with whole-hour bounds only the hours between them are read."""
+    e = events_between(spark, sf, since, until).withColumnRenamed("event_type", "series_id")
     # Time inside the hour, then event id, packed in one decimal: a primitive sort key.
     order = F.expr("CAST(CAST(unix_micros(ts) % 3600000000 AS DECIMAL(10,0)) * 10000000000000000000BD "
                    "+ CAST(event_id AS DECIMAL(19,0)) AS DECIMAL(38,0))")
@@ -50,6 +63,31 @@ def dense_bars(spark: SparkSession, sf: str) -> DataFrame:
     return G.fill_bar_gaps(bars(spark, sf), KEY)
 
 
+def dense_between(spark: SparkSession, sf: str, since: datetime, until: datetime | None = None) -> DataFrame:
+    """The rows of ``dense_bars`` with ``since <= ds < until``, without building the others.
+
+    A gap at an edge is filled from the last bar before ``since`` and up to the first one from
+    ``until`` on. Where those lie follows from one light scan each (series and time only), and the
+    candles are read between them.
+    """
+    def edge(e: DataFrame, pick) -> datetime | None:
+        found = e.groupBy("event_type").agg(pick("ts").alias("t"))
+        return found.agg((F.min if pick is F.max else F.max)("t").alias("t")).select(D.floor_hour("t").alias("t")).first()["t"]
+    first = edge(events_between(spark, sf, None, since), F.max) or since
+    last = edge(events_between(spark, sf, until), F.min) if until else None
+    last = last + timedelta(hours=1) if last else None
+    dense = G.fill_bar_gaps(bars(spark, sf, first, last), KEY).where(F.col("ds") >= F.lit(since))
+    return dense.where(F.col("ds") < F.lit(until)) if until else dense
+
+
+def latest_dense(spark: SparkSession, sf: str, hours: int) -> DataFrame:
+    """The last ``hours`` hours of every series of ``dense_bars``, read from the first of them on."""
+    newest = events(spark, sf).groupBy("event_type").agg(F.max("ts").alias("t"))
+    since = newest.agg(D.floor_hour(F.min("t") - F.make_dt_interval(hours=F.lit(hours - 1))).alias("t")).first()["t"]
+    recent = dense_between(spark, sf, since) if since else dense_bars(spark, sf)
+    return G.latest_hours(recent, KEY, "ds", hours)
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     docs = documents(spark, sf)

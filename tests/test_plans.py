@@ -43,3 +43,11 @@ def test_time_filter_reaches_the_scan(spark):
 
 def test_numeric_queries_do_not_read_texts_for_post_times(spark):
     assert "text#" not in plan(queries()["lookback_unaligned"](spark, SF))
+
+
+@pytest.mark.parametrize("name,bounds", [("time_range", ["GreaterThanOrEqual(ts,2024-01-10", "LessThan(ts,2024-01-20"]), ("latest_hours", ["GreaterThanOrEqual(ts,2024-01-2"]),
+                                         ("history_and_forecast", ["GreaterThanOrEqual(ts,2024-01-1", "LessThan(ts,2024-01-25"]), ("price_range", ["GreaterThanOrEqual(ts,2024-01-1"])])
+def test_times_of_registered_queries_reach_the_scan(spark, name, bounds):
+    text = queries()[name](spark, SF)._jdf.queryExecution().toString()
+    pushed = [p for p in text.split("PushedFilters: [")[1:]]
+    assert pushed and all(b in text for b in bounds)

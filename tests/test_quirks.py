@@ -149,6 +149,15 @@ def test_model_frame_guards(spark):
         V.join_model_frame(bars, good.withColumn("ds", F.col("ds") + F.expr("INTERVAL 2 DAYS")), ["series_id"])
 
 
+def test_model_frame_guards_in_the_plan(spark):
+    bars = spark.createDataFrame([("a", T0), ("a", T0 + dt.timedelta(hours=1))], "series_id string, ds timestamp")
+    good = bars.select("ds").withColumn("s", F.lit(1.0))
+    assert V.guarded_model_frame(bars, good, ["series_id"]).count() == 2
+    for bad, says in ((good.limit(1), "2 bars against 1 sentiment hours"), (good.withColumn("ds", F.col("ds") + F.expr("INTERVAL 2 DAYS")), "bars end on")):
+        with pytest.raises(Exception, match=says):
+            V.guarded_model_frame(bars, bad, ["series_id"]).collect()
+
+
 def test_coinciding_quantile_edges_raise(spark):
     df = spark.createDataFrame([(1.0,)] * 20 + [(2.0,)], "x double")
     with pytest.raises(Exception, match="quantile edges coincide"):
