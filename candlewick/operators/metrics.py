@@ -98,3 +98,25 @@ def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence[int])
         F.count(F.lit(1)).alias("total")).select(
             F.coalesce(F.col(actual).cast("string"), F.lit("Total")).alias("actual"),
             *[f"predicted_{l}".replace("-", "m") for l in labels], "total")
+
+
+def constant_class(df: DataFrame, actual: str, key: Sequence[str]) -> DataFrame:
+    """The class that is most frequent (the smaller of equals), and how often it is right."""
+    counts = df.groupBy(*key, F.col(actual).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.max(F.struct("_n", (-F.col("label")).alias("_minus")))
+    out = counts.groupBy(*key).agg(best.alias("_b"), F.sum("_n").alias("n"))
+    return out.select(*key, (-F.col("_b._minus")).cast("int").alias("label"), "n", (F.col("_b._n") / F.col("n")).alias("accuracy"))
+
+
+def accuracy_by(df: DataFrame, actual: str, predicted: str, key: Sequence[str]) -> DataFrame:
+    """Rows and share of right answers per key."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"))
+
+
+def mean_confusion(df: DataFrame, actual: str, predicted: str, split: str, labels: Sequence[int]) -> DataFrame:
+    """Confusion matrix averaged over splits: mean count per actual and predicted class (0 where a split has none)."""
+    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("_n"))
+    n = df.agg(F.count_distinct(split).alias("_s"))
+    cells = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels], "actual int, predicted int")
+    return cells.join(counts, ["actual", "predicted"], "left").withColumn("_s", n.scalar()).select(
+        "actual", "predicted", F.try_divide(F.coalesce("_n", F.lit(0)), F.col("_s")).alias("mean_count"))

@@ -168,16 +168,21 @@ def _with_neighbours(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[
 
 def gradient(df: DataFrame, key: Sequence[str], ts: str, cols: dict[str, str],
              block: int = BLOCK_STEPS) -> DataFrame:
-    """Central differences per row, one-sided at both ends."""
-    w = Blocked(df, key, ts, back=1, ahead=1, block=block)
-    new = {}
-    for out, c in cols.items():
-        x, before, after = F.col(c), F.lag(c).over(w.window), F.lead(c).over(w.window)
-        has_before = F.lag(ts).over(w.window).isNotNull()
-        has_after = F.lead(ts).over(w.window).isNotNull()
-        new[out] = (F.when(has_before & has_after, (after - before) / 2)
-                    .when(has_after, after - x).when(has_before, x - before))
-    return w.add(**new).done()
+    """Central differences between neighbouring rows, one-sided at both ends of a series.
+
+    Neighbours may be any time apart: what lies outside a row's block comes from the last row of the
+    block before and the first of the block after, one summary row per block.
+    """
+    names, inner = list(key), list(dict.fromkeys(cols.values()))
+    base = df.withColumn("_block", F.floor(D.slot(ts) / F.lit(block)).cast("long"))
+    w, across = Window.partitionBy(*names, "_block").orderBy(ts), Window.partitionBy(*names).orderBy("_block")
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in inner])
+    ends = base.groupBy(*names, "_block").agg(F.min_by(row, ts).alias("_first"), F.max_by(row, ts).alias("_last"))
+    ends = ends.select(*names, "_block", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    rows = base.withColumns({"_p": F.lag(row).over(w), "_n": F.lead(row).over(w)}).join(ends, [*names, "_block"])
+    p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
+    new = {out: F.when(p.isNotNull() & n.isNotNull(), (n[c] - p[c]) / 2).when(n.isNotNull(), n[c] - F.col(c)).when(p.isNotNull(), F.col(c) - p[c]) for out, c in cols.items()}
+    return rows.withColumns(new).select(*df.columns, *[c for c in new if c not in df.columns])
 
 
 def first_cross(flag: Column, w: WindowSpec) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +28,13 @@ def select_by_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.
     return variances(df, cols).where(F.col("variance") > threshold)
 
 
+def compared_sets(one: DataFrame, two: DataFrame) -> DataFrame:
+    """``part, <columns>``: distinct rows of either table, of both, of the first alone, of the second alone."""
+    parts = {"either": one.union(two).distinct(), "both": one.intersect(two), "first only": one.subtract(two), "second only": two.subtract(one)}
+    tagged = [df.select(F.lit(name).alias("part"), "*") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def assemble(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(target).cast("double").alias("_label"))
     return VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip").transform(

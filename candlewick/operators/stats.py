@@ -238,6 +238,11 @@ def corr_to(df: DataFrame, target: str, cols: Sequence[str], threshold: float |
     return out.where(F.abs("correl") > threshold) if threshold is not None else out
 
 
+def by_strength(df: DataFrame, value: str, name: str, place: str = "place") -> DataFrame:
+    """Few rows (one per column) with their place by absolute value, strongest first; ties by ``name``."""
+    return df.withColumn(place, F.row_number().over(Window.orderBy(F.abs(value).desc_nulls_last(), name)))
+
+
 def compare_weighted(correls: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Plain against weighted look-back features of the same label and window."""
     plain = r"^(.+)_rolling_w(\d+)$"

@@ -139,10 +139,7 @@ SELECT series_id, ds, y, {', '.join(f'lag(y, {k}) {O.W} AS y_lag_{k}hr' for k in
        round(y - lag(y) {O.W}, 6) AS y_momentum FROM dense""")
 def lag_momentum(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
-    w = R.Blocked(d, KEY, "ds", back=7)
-    w.add(**{f"y_lag_{k}hr": F.lag("y", k).over(w.window) for k in LAGS},
-          y_momentum=F.col("y") - F.lag("y").over(w.window))
-    return rounded(w.done(), ["y_momentum"])
+    return rounded(R.diff(R.lags(d, KEY, "ds", ["y"], LAGS), KEY, "ds", ["y"]), ["y_momentum"])
 
 
 @register("returns_past", O._with(O.BASE) + "SELECT series_id, ds, y, " + ", ".join(
@@ -207,12 +204,7 @@ SELECT series_id, ds, round(y, 6) AS y, round(CASE WHEN lag(y) {O.W} IS NOT NULL
   WHEN lead(y) {O.W} IS NOT NULL THEN lead(y) {O.W} - y ELSE y - lag(y) {O.W} END, 6) AS slope FROM daily""")
 def gradient(spark, sf):
     daily = G.resample(T.bars(spark, sf), KEY, D.floor_day("ds"), G.means(["y"]))
-    # A day is 24 hourly slots, so a reach of one row is 24 slots.
-    w = R.Blocked(daily, KEY, "ds", back=1, ahead=1, step=86400)
-    x, before, after = F.col("y"), F.lag("y").over(w.window), F.lead("y").over(w.window)
-    w.add(slope=F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2)
-          .when(after.isNotNull(), after - x).otherwise(x - before))
-    return rounded(w.done(), ["y", "slope"])
+    return rounded(R.gradient(daily, KEY, "ds", {"slope": "y"}), ["y", "slope"])
 
 
 @register("supervised_frame", O._with(O.BASE, f"""
@@ -1153,6 +1145,20 @@ def direction_model(spark, sf):
     return out.groupBy("split", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("direction_scores")
+def direction_scores(spark, sf):
+    """Accuracy of every split, and the confusion matrix averaged over the splits."""
+    d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
+    w = R.Blocked(d, KEY, "ds", back=72, ahead=24)
+    w.add(label=M.signal_label(R.forward_return(w, "y", 24)), **{f"r{k}": R.past_return(w, "y", k) for k in (1, 24, 72)})
+    out = staged(P.direction_model(w.done(), KEY, "ds", ["r1", "r24", "r72"], "label").select("split", "label", "predicted"), "directions")
+    acc = ME.accuracy_by(out, "label", "predicted", ["split"]).select(F.lit("accuracy").alias("part"), "split", F.lit(None).cast("int").alias("actual"),
+                                                                      F.lit(None).cast("int").alias("predicted"), F.col("accuracy").alias("value"))
+    cells = ME.mean_confusion(out, "label", "predicted", "split", [-1, 0, 1]).select(F.lit("confusion").alias("part"), F.lit(None).cast("int").alias("split"), "actual", "predicted",
+                                                                                    F.col("mean_count").alias("value"))
+    return acc.unionByName(cells)
+
+
 @register("direction_holdout")
 def direction_holdout(spark, sf):
     d = T.dense_bars(spark, sf).select(*KEY, "ds", "y")
