@@ -1,14 +1,16 @@
 """Secrets: base patterns, and random-looking strings by character Markov models.
 
 Two models of character pairs are trained: one from strings that the base patterns label as
-secrets, one from ordinary identifiers, the words of texts. A run of token characters whose
-log-likelihood ratio is high, in all and per pair, is reported as ``random``. The training sample
-is bounded: ``RANDOM`` labelled strings and the words of ``TEXTS`` texts, those with the smallest
-hashes. Scoring looks at every run of every whole text.
-
-Defined results: null and empty texts have no spans; without labelled strings there is no model and
-only the base matches are reported; repeated rows get equal answers; an empty table gives an empty
-result; further columns are ignored.
+secrets, each string with the same weight, one from ordinary identifiers, which are all other runs of
+token characters: words, numbers, mixed names. A run whose log-likelihood ratio is high, in all and per
+pair, is reported as ``random``. The least ratio per pair is chosen on a fifth of the labels that
+training leaves out, half way between ordinary identifiers and secrets. The sample is bounded:
+``RANDOM`` labelled strings and the identifiers of ``TEXTS`` texts, those with the smallest hashes.
+Scoring looks at every run of every whole text.
+
+Defined results: null and empty texts have no spans; without labelled strings or ordinary identifiers
+there is no model and only the base matches are reported; repeated rows get equal answers; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ KINDS = ("assign", "access", "hex")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"  # what the models look at
 RANDOM = 20_000  # labelled strings to train from
-TEXTS = 500  # texts whose words are ordinary identifiers
-PER_PAIR = 0.7  # least log-likelihood ratio per pair of characters
-IN_ALL = 16.0  # and of a whole run
+TEXTS = 500  # texts whose other runs are ordinary identifiers
+HELD_OUT = 5  # every fifth label chooses the threshold
+SURE = 0.97  # share of either side's labels that the threshold leans on
+LEAST_PAIR = 0.2  # least log-likelihood ratio per pair of characters, whatever the labels say
+LONG_ENOUGH = 10  # characters of ordinary identifiers that the threshold is chosen on
+IN_ALL = 8.0  # least ratio of a whole run
 
 
 def _base() -> dict[str, str]:
@@ -56,11 +61,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of the character pairs of ``s`` within the alphabet."""
-    chars = strings.where("length(s) > 1").select(F.split("s", "").alias("c"))
+    """Weights of the character pairs of ``s`` within the alphabet; every string weighs the same."""
+    chars = strings.where("length(s) > 1").select(F.split("s", "").alias("c"), (16.0 / (F.length("s") - 1)).alias("w"))
     at = "zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> a || b)"
-    pair = chars.select(F.explode(F.expr(at)).alias("pair"))
-    return pair.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").count()
+    pair = chars.select(F.explode(F.expr(at)).alias("pair"), "w")
+    return pair.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.sum("w").alias("count"))
 
 
 def labelled_random(found: DataFrame, limit: int = RANDOM) -> DataFrame:
@@ -71,27 +76,46 @@ def labelled_random(found: DataFrame, limit: int = RANDOM) -> DataFrame:
 
 
 def ordinary(docs: DataFrame, limit: int = TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words of at most ``limit`` texts that no base pattern matches."""
+    """Distinct runs of the alphabet that base matches leave in at most ``limit`` texts."""
     rows = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     chosen = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = rows.join(F.broadcast(chosen), "doc_id").where(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
-    return texts.select(F.explode(F.expr(r"regexp_extract_all(text, r'(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}+', 0)")).alias("s")).distinct()
+    texts = rows.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
+    rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    return texts.select(F.explode(F.regexp_extract_all(rest, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}+"), F.lit(0))).alias("s")).distinct()
+
+
+def held_out():
+    return F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
 
 
 def train(random: DataFrame, words: DataFrame) -> list[float] | None:
-    """Log-likelihood ratio of every pair of the alphabet, row by row; None without labelled strings.
+    """Log-likelihood ratio of every pair of the alphabet, row by row; None when either side has no string.
 
-    Add-one counts given the first character. At most one number per pair reaches the driver.
+    Add-one weights given the first character. Labels show some alphabets of random strings only, so
+    half of that model is uniform over the whole one. At most one number per pair reaches the driver.
     """
-    n = len(ALPHABET)
     table = {name: {r["pair"]: r["count"] for r in _pairs(df).collect()} for name, df in (("random", random), ("words", words))}
     if not table["random"] or not table["words"]:
         return None
 
-    def given(counts: dict[str, int], a: str) -> list[float]:
-        own = [counts.get(a + b, 0) + 1 for b in ALPHABET]
+    def given(weights: dict[str, float], a: str) -> list[float]:
+        own = [weights.get(a + b, 0.0) + 1.0 for b in ALPHABET]
         return [x / sum(own) for x in own]
-    return [math.log(p / q) for a in ALPHABET for p, q in zip(given(table["random"], a), given(table["words"], a))] if n else None
+    even = 1.0 / len(ALPHABET)
+    return [math.log((p + even) / 2 / q) for a in ALPHABET for p, q in zip(given(table["random"], a), given(table["words"], a))]
+
+
+def threshold(model: list[float], random: DataFrame, words: DataFrame) -> float:
+    """The least ratio per pair: half way between what ``SURE`` of the held-out ordinary identifiers stay
+    below and what ``SURE`` of the held-out secrets reach.
+
+    Some ordinary identifiers are secrets that no base pattern knows, so the share is no smaller.
+    """
+    per = F.expr(f"({ratio('s', model)}) / (length(s) - 1)")
+    top = words.where(held_out() & (F.length("s") >= LONG_ENOUGH)).agg(F.percentile_approx(per, SURE, 10_000).alias("t")).first()["t"]
+    low = random.where(held_out()).agg(F.percentile_approx(per, 1 - SURE, 10_000).alias("t")).first()["t"]
+    both = [x for x in (top, low) if x is not None]
+    return max(LEAST_PAIR, sum(both) / len(both)) if both else LEAST_PAIR
 
 
 def ratio(value: str, model: list[float]) -> str:
@@ -105,13 +129,14 @@ def ratio(value: str, model: list[float]) -> str:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts of the base kinds, base and extra (arrays of spans)."""
     found = staged(scan(docs, id_col, text_col), "spans")
-    model = train(labelled_random(found), ordinary(docs, TEXTS, id_col, text_col))
+    random, words = staged(labelled_random(found), "labelled"), staged(ordinary(docs, TEXTS, id_col, text_col), "ordinary")
+    model = train(random.where(~held_out()), words.where(~held_out()))
     plain = "transform({}, s -> named_struct('from', s.from, 'place', s.place, 'to', s.to, 'kind', s.kind))"
     if model is None:
         chosen = "filter(run, s -> false)"
     else:
-        score = ratio("s.value", model)
-        chosen = f"filter(run, s -> exists(array({score}), r -> r >= {IN_ALL} AND r >= {PER_PAIR} * (length(s.value) - 1)))"
+        least = threshold(model, random, words)
+        chosen = f"filter(run, s -> exists(array({ratio('s.value', model)}), r -> r >= {IN_ALL}D AND r >= {least!r}D * (length(s.value) - 1)))"
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
                         F.expr(plain.format("concat(assign, access, hex)")).alias("base"), F.expr(plain.format(chosen)).alias("extra"))
 

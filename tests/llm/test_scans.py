@@ -4,6 +4,8 @@ import brute
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from candlewick.llm import langid, pii, secrets
 
 CHARS = st.text(st.sampled_from("aZ09@.-+ %_()=:'\"\nAKIA4f token"), max_size=40)
@@ -122,3 +124,19 @@ def test_sizes_cover_the_whole_text():
 @pytest.mark.parametrize("text", [None, "", "   ", "123"])
 def test_no_letters_is_undetermined(text):
     assert langid.Sizes({"a": b"abc"}).best(text) == ("und", 0.0)
+
+
+def test_planted_random_strings_and_plain_numbers(spark):
+    """Of the given documents, some with planted strings: recall at least 0.9, and no number is a secret."""
+    import random
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [letters + letters.lower() + "0123456789", letters + letters.lower() + "0123456789+/", letters.lower() + "0123456789"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    some = docs.orderBy("doc_id").limit(150).collect()
+    rows = [(10_000 + k, f"{(r['text'] or '')[:300]} {''.join(rng.choices(alphabets[k % 3], k=rng.choice((24, 32, 40))))} end") for k, r in enumerate(some)]
+    rows += [(20_000 + k, f"{(r['text'] or '')[:300]} {rng.randrange(10**15, 10**16)} 2024-01-{k % 28 + 1:02}-{rng.randrange(10**8, 10**9)} end") for k, r in enumerate(some)]
+    out = secrets.scan_secrets(docs.union(spark.createDataFrame(rows, docs.schema))).select("doc_id", F.contains("spans", F.lit("random:")).alias("found")).collect()
+    found = {r["doc_id"] for r in out if r["found"]}
+    assert sum(10_000 <= d < 20_000 for d in found) >= 0.9 * len(some) and not any(d >= 20_000 for d in found)
+    assert sum(d < 10_000 for d in found) <= 0.002 * docs.count()
