@@ -259,3 +259,17 @@ def test_scan_and_read_back_are_dealt_to_many_tasks(spark, tmp_path):
     read = warc.read_bundles(warc.write_bundles(pages, frame=4000), stretch=5)
     met = read.selectExpr("spark_partition_id() AS p", "page_id").collect()
     assert len({r["p"] for r in met}) >= spark.sparkContext.defaultParallelism and sorted(r["page_id"] for r in met) == list(range(400))
+
+
+def test_shared_bounds_and_ordered_blocks_prune(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12))
+    rows = [(int(i), (centres[i % 30] + rng.normal(size=12) * 0.02).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert topk.visited_share(df, block=32) < 0.4
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, 5, block=32, size=700, sample=50).collect()}
+    for q in range(0, 4000, 400):
+        s = x @ x[q]
+        best = sorted((-int(s[i]), i) for i in range(4000) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -v) for v, i in best]
