@@ -105,7 +105,7 @@ def mask_users_and_links(c: str | Column) -> Column:
 
 def tokens(c: str | Column) -> Column:
     """Lower-case words between blanks; an empty text gives an empty array."""
-    return F.filter(F.split(F.lower(_c(c)), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(c)), r"\s+"), "")
 
 
 def softmax(scores: Column) -> Column:

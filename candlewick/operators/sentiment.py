@@ -29,22 +29,68 @@ class LexiconScorer:
     def labels(self) -> list[str]:
         return list(self.weights)
 
+    @property
+    def words(self) -> list[str]:
+        return sorted({w for own in self.weights.values() for w in own})
+
     def scores(self, text: Column) -> Column:
-        def logits(words: Column) -> Column:
+        return M.bind(X.tokens(text), self.scores_of)
+
+    def scores_of(self, words: Column) -> Column:
+        """Scores of tokenised text. One hash look-up per word; the weights meet the few words that are left."""
+        def logits(hits: Column) -> Column:
             size = F.greatest(F.size(words), F.lit(1)).cast("double")
             return F.array(*[
-                X.lexicon_logit(words, w) / size * F.lit(self.scale) + F.lit(float(self.bias.get(l, 0.0)))
+                X.lexicon_logit(hits, w) / size * F.lit(self.scale) + F.lit(float(self.bias.get(l, 0.0)))
                 for l, w in self.weights.items()])
-        return X.softmax(M.bind(X.tokens(text), logits))
+        return X.softmax(M.bind(F.filter(words, lambda t: t.isin(self.words)), logits))
 
 
 def score_text(df: DataFrame, text: str, scorer: LexiconScorer, prefix: str = "sentiment_") -> DataFrame:
     """Add ``{prefix}labels`` and ``{prefix}scores``; an empty text has none."""
+    return score_texts(df, text, {prefix: scorer})
+
+
+def score_texts(df: DataFrame, text: str, scorers: Mapping[str, LexiconScorer]) -> DataFrame:
+    """``score_text`` for several scorers (by prefix) with one tokenisation."""
     empty = F.col(text).isNull() | (F.col(text) == "")
-    return df.withColumns({
-        f"{prefix}labels": F.when(~empty, F.array(*[F.lit(l) for l in scorer.labels])),
-        f"{prefix}scores": F.when(~empty, scorer.scores(F.col(text))),
-    })
+    out = df.withColumn("_words", F.when(~empty, X.tokens(F.col(text))))
+    return out.withColumns({c: v for prefix, scorer in scorers.items() for c, v in (
+        (f"{prefix}labels", F.when(~empty, F.array(*[F.lit(l) for l in scorer.labels]))),
+        (f"{prefix}scores", F.when(~empty, scorer.scores_of(F.col("_words")))))}).drop("_words")
+
+
+# -- weights learned from labels ---------------------------------------------------------------------------
+
+def learn_weights(labelled: DataFrame, text: str, label: str, prior: float = 10.0) -> DataFrame:
+    """``token, n_1, n_0, weight``: log-odds of a token in texts of class 1 against class 0.
+
+    Each class's counts are joined by ``prior`` tokens that follow the frequencies of both together, so
+    rare tokens have weights near 0. Tokens are counted in the map tasks; one row per token and task is shuffled.
+    """
+    words = labelled.where(F.col(label).isin(0, 1)).select(F.explode(X.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"), F.col(label).alias("_l"))
+    counts = words.groupBy("token").agg(F.sum(F.col("_l").cast("long")).alias("n_1"), F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("token", "n_1", (F.col("_n") - F.col("n_1")).alias("n_0"))
+    total = row_of(counts.agg(F.sum("n_1").alias("t_1"), F.sum("n_0").alias("t_0")))
+    both = F.lit(prior) * (F.col("n_1") + F.col("n_0")) / (total["t_1"] + total["t_0"])
+
+    def odds(n: Column, of: Column) -> Column:
+        return F.ln((n + both) / (of + F.lit(prior) - n - both))
+    return counts.withColumn("weight", odds(F.col("n_1"), total["t_1"]) - odds(F.col("n_0"), total["t_0"]))
+
+
+def score_with_weights(df: DataFrame, id_col: str, text: str, weights: DataFrame) -> DataFrame:
+    """``id, n_tokens, logit, score``: mean weight of a text's tokens and its logistic.
+
+    One tokenisation for all labels; equal tokens of a row are counted before they meet the token
+    table, and what is shuffled are token counts, never texts. Tokens without a weight count 0.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.explode_outer(X.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    counts = rows.groupBy("id", "token").agg(F.count("token").alias("n"))
+    joined = counts.join(weights.select("token", "weight"), "token", "left")
+    out = joined.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("_sum"))
+    logit = F.coalesce(F.try_divide(F.col("_sum"), F.col("n_tokens")), F.lit(0.0))
+    return out.select("id", "n_tokens", logit.alias("logit"), (1.0 / (1.0 + F.exp(-logit))).alias("score"))
 
 
 def score_text_with_model(df: DataFrame, text: str, load: Callable[[], Callable[[pd.Series], list]],

@@ -176,6 +176,40 @@ def scored_table_upsert(spark, sf):
     return rounded(wide.select("id", "self_text_md5", "fetch_datetime", "s_positive", F.size("his_sentiment_scores").alias("n_scores")), ["s_positive"])
 
 
+_LEARNED = f"""
+lab AS (SELECT t.*, l.quality FROM tokenized t JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id)),
+words AS (SELECT unnest(words) AS token, quality FROM lab),
+counts AS (SELECT token, sum(quality)::BIGINT AS n_1, (count(*) - sum(quality))::BIGINT AS n_0 FROM words GROUP BY 1),
+totals AS (SELECT sum(n_1) AS t_1, sum(n_0) AS t_0 FROM counts),
+learned AS (SELECT token, n_1, n_0, ln((n_1 + b) / (t_1 + 10 - n_1 - b)) - ln((n_0 + b) / (t_0 + 10 - n_0 - b)) AS weight
+            FROM (SELECT *, 10.0::DOUBLE * (n_1 + n_0) / (t_1 + t_0) AS b FROM counts, totals))"""
+
+
+def _clean_documents(spark, sf):
+    return T.with_text(T.posts(spark, sf)).select("id", "clean_text")
+
+
+def _learned(spark, sf):
+    labels = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    return S.learn_weights(_clean_documents(spark, sf).join(labels, "id"), "clean_text", "quality")
+
+
+@register("learned_weights", O._with(O.CLEAN, O.TOKENS.strip().lstrip(","), _LEARNED) + "SELECT token, n_1, n_0, round(weight, 6) AS weight FROM learned")
+def learned_weights(spark, sf):
+    """Token weights for quality, learned from the labels."""
+    return rounded(_learned(spark, sf), ["weight"])
+
+
+@register("learned_scores", O._with(O.CLEAN, O.TOKENS.strip().lstrip(","), _LEARNED, """
+hits AS (SELECT t.id, w.weight FROM (SELECT id, unnest(words) AS token FROM tokenized) t LEFT JOIN learned w USING (token))""") + """
+SELECT t.id, len(t.words)::BIGINT AS n_tokens, round(1 / (1 + exp(-coalesce(h.s / len(t.words), 0))), 6) AS score FROM tokenized t
+LEFT JOIN (SELECT id, sum(coalesce(weight, 0)) AS s FROM hits GROUP BY 1) h USING (id)""")
+def learned_scores(spark, sf):
+    """Every document scored with the learned weights."""
+    weights = staged(_learned(spark, sf), "weights")
+    return rounded(S.score_with_weights(_clean_documents(spark, sf), "id", "clean_text", weights).select("id", "n_tokens", "score"), ["score"])
+
+
 # -- comparisons and sets -----------------------------------------------------------------------------------------
 
 @register("sentiment_change", O._with(O.SCORED, O.GRID) + f"""

@@ -114,8 +114,7 @@ def with_text(df: DataFrame) -> DataFrame:
 
 
 def score_posts(df: DataFrame) -> DataFrame:
-    p = with_text(df)
-    return S.score_text(S.score_text(p, "clean_text", SENTIMENT), "clean_text", EMOTION, "emotion_")
+    return S.score_texts(with_text(df), "clean_text", {"sentiment_": SENTIMENT, "emotion_": EMOTION})
 
 
 def widen(df: DataFrame) -> DataFrame:
