@@ -41,8 +41,7 @@ def join_text(title: str | Column, body: str | Column) -> Column:
 
 def clean_text(c: str | Column) -> Column:
     """Line breaks, tabs and links become blanks, other characters outside the kept set too."""
-    out = F.regexp_replace(_c(c), "\n+", " ")
-    out = F.regexp_replace(out, "\t+", " ")
+    out = F.regexp_replace(_c(c), "\n+|\t+", " ")
     out = F.regexp_replace(out, r"(?U)http\S+", " ")
     out = F.regexp_replace(out, KEPT_CHARACTERS, " ")
     return F.trim(out)

@@ -258,3 +258,35 @@ def constant_class(spark, sf):
     w = R.Blocked(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, "ds", ahead=24)
     w.add(a=M.signal_label(R.forward_return(w, "y", 24)))
     return rounded(ME.constant_class(w.done(), "a", KEY), ["accuracy"])
+
+
+# -- densities at plotting resolution ------------------------------------------------------------------------------
+
+@register("kde_binned", """
+WITH e AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 511 AS step FROM lineitem),
+s AS (SELECT l_returnflag, count(*) AS n, stddev_samp(l_extendedprice) * power(count(*), -0.2) AS h FROM lineitem GROUP BY 1),
+c AS (SELECT l_returnflag, (l_extendedprice - lo) / step AS u, least(floor((l_extendedprice - lo) / step), 511)::INTEGER AS i FROM lineitem, e),
+w AS (SELECT l_returnflag, i, sum(w) AS w FROM (SELECT l_returnflag, i, 1 - (u - i) AS w FROM c UNION ALL SELECT l_returnflag, i + 1, u - i FROM c) GROUP BY 1, 2),
+g AS (SELECT l_returnflag, n, h, lo, step, unnest(generate_series(0, 511))::INTEGER AS point FROM s, e)
+SELECT g.l_returnflag, point, round(any_value(lo + step * point), 4) AS x,
+       round(1e6 * coalesce(sum(w * exp(-0.5 * power((point - i) * step / h, 2))) FILTER (abs(point - i) <= ceil(6 * h / step)), 0) / any_value(n * h * sqrt(2 * pi())), 6) AS density
+FROM g JOIN w ON g.l_returnflag = w.l_returnflag GROUP BY 1, 2""")
+def kde_binned(spark, sf):
+    out = ST.kde_binned(T.table(spark, sf, "lineitem"), "l_extendedprice", 512, "l_returnflag")
+    return rounded(rounded(out.withColumn("density", F.col("density") * 1e6), ["density"]), ["x"], 4)
+
+
+@register("kde_2d_binned", """
+WITH s AS (SELECT count(*) AS n, min(l_quantity) AS alo, (max(l_quantity) - min(l_quantity)) / 63 AS sa, min(l_extendedprice) AS blo, (max(l_extendedprice) - min(l_extendedprice)) / 63 AS sb,
+  var_samp(l_quantity) * power(count(*), -1/3.0) AS vaa, var_samp(l_extendedprice) * power(count(*), -1/3.0) AS vbb, covar_samp(l_quantity, l_extendedprice) * power(count(*), -1/3.0) AS vab FROM lineitem),
+u AS (SELECT (l_quantity - alo) / sa AS x, (l_extendedprice - blo) / sb AS y FROM lineitem, s),
+c AS (SELECT least(floor(x), 63)::INTEGER AS i, least(floor(y), 63)::INTEGER AS j, x - least(floor(x), 63) AS p, y - least(floor(y), 63) AS q FROM u),
+w AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, (1 - p) * (1 - q) AS w FROM c UNION ALL SELECT i + 1, j, p * (1 - q) FROM c UNION ALL SELECT i, j + 1, (1 - p) * q FROM c
+  UNION ALL SELECT i + 1, j + 1, p * q FROM c) GROUP BY 1, 2),
+g AS (SELECT ia::INTEGER AS ia, ib::INTEGER AS ib FROM (SELECT unnest(generate_series(0, 63)) AS ia), (SELECT unnest(generate_series(0, 63)) AS ib)),
+k AS (SELECT ia, ib, sum(w * exp(-0.5 * (vbb * power((i - ia) * sa, 2) - 2 * vab * (i - ia) * sa * (j - ib) * sb + vaa * power((j - ib) * sb, 2)) / (vaa * vbb - vab * vab))) AS k
+  FROM g, s JOIN w ON TRUE WHERE abs(i - ia) <= ceil(6 * sqrt(vaa) / sa) AND abs(j - ib) <= ceil(6 * sqrt(vbb) / sb) GROUP BY 1, 2)
+SELECT ia, ib, round(1e6 * coalesce(k, 0) / (n * 2 * pi() * sqrt(vaa * vbb - vab * vab)), 5) AS density FROM g CROSS JOIN s LEFT JOIN k USING (ia, ib)""")
+def kde_2d_binned(spark, sf):
+    out = ST.kde_2d_binned(T.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 64)
+    return rounded(out.withColumn("density", F.col("density") * 1e6), ["density"], 5)

@@ -42,3 +42,21 @@ def test_sets_strength_and_classes(spark):
     mean = {(r["actual"], r["predicted"]): r["mean_count"] for r in ME.mean_confusion(p, "a", "p", "split", [-1, 0, 1]).collect()}
     assert len(mean) == 9 and mean[(1, 1)] == 0.5 and mean[(-1, 1)] == 0.0
     assert ME.constant_class(p.limit(0), "a", ["k"]).count() == 0
+
+
+def test_binned_densities_follow_the_direct_sum(spark):
+    rng = np.random.default_rng(0)
+    a = np.concatenate([rng.normal(size=900), rng.normal(4, 0.5, size=400)])
+    b = 0.6 * a + rng.normal(size=len(a))
+    df = spark.createDataFrame([("k" if i % 3 else "m", float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))] + [("k", None, 1.0)], "k string, a double, b double")
+    direct = {(r["k"], r["point"]): r["density"] for r in ST.kde(df, "a", 129, "k").collect()}
+    fine = {(r["k"], r["point"]): r["density"] for r in ST.kde_binned(df, "a", 513, "k").collect()}
+    top = max(direct.values())
+    assert len(fine) == 2 * 513 and max(abs(fine[k, 4 * p] - d) for (k, p), d in direct.items()) < 2e-3 * top
+    one = {r["point"]: r["density"] for r in ST.kde_binned(df, "a", 200).collect()}
+    assert len(one) == 200 and abs(sum(one.values()) * (a.max() - a.min()) / 199 - 1) < 0.02
+    two = {(r["ia"], r["ib"]): r["density"] for r in ST.kde_2d(df.dropna(), "a", "b", 10).collect()}
+    grid = {(r["ia"], r["ib"]): r["density"] for r in ST.kde_2d_binned(df.dropna(), "a", "b", 64).collect()}
+    assert len(grid) == 4096 and max(abs(grid[7 * i, 7 * j] - d) for (i, j), d in two.items()) < 0.03 * max(two.values())
+    flat = ST.kde_binned(df.where("a IS NOT NULL").withColumn("a", F.lit(2.0)), "a", 8)
+    assert {r["density"] for r in flat.collect()} == {None} and ST.kde_binned(df.limit(0), "a", 8, "k").count() == 0
