@@ -42,7 +42,8 @@ LIMIT = 18  # bits of the longest code
 STEP = 256  # ids between two checkpoints
 BLOCK = 1 << 18  # ids of a block
 FILE = 1 << 27  # bytes after which a file ends
-CACHE = 250_000  # parts of texts a task remembers, twice
+CACHE = 600_000  # parts of texts a task remembers, twice
+MARKS = frozenset(".,;:!?)")  # behind a word they are pieces of their own
 MAGIC = b"CWHUFF01"
 
 TOKENS = "doc_id long, h long, ids binary, sym int, n long"
@@ -183,12 +184,17 @@ class Encoder:
         self.cut = re.compile(r"(?<=\S)(?= )").split
 
     def _one(self, piece: str) -> bytes:
-        spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():
+            spelt = piece.replace(" ", self.letters[32])
+        else:
+            spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.merge(spelt)]).tobytes()
 
     def _spaced(self, part: str) -> bytes:
         if part.isalpha():
             return self._one(f" {part}")
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return self.spaced[part[:-1]] + self.bare[part[-1]]
         first, *rest = self.pieces(f" {part}")
         if not rest:
             return self._one(first)
