@@ -1,8 +1,10 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base matches of four kinds are the seeds. Every seed, and every other identifier-like token,
-stands between two words; a pattern is the word to the left, the word to the right, or both.
-Patterns and values form a bipartite graph. In each round a pattern's confidence in a kind is the
+stands between words; a pattern is the word to the left or right, both, the two words to a side, the
+value's shape (its classes of characters), its prefix up to the first digit, or shape and left word.
+Patterns and values form a bipartite graph: contexts of seeds believe in tokens, and shapes and prefixes
+that those share believe in tokens of other contexts in the next rounds. In each round a pattern's confidence in a kind is the
 belief in that kind over its values, divided by one more than the number of its values; patterns
 of high confidence and support pass belief on to their values, which count as support in the next
 round. Tokens believed in at the end are reported as ``<kind>_context``.
@@ -17,7 +19,7 @@ answers; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as S
 from .common import id_of, staged, text_of
@@ -51,14 +53,20 @@ def _base() -> dict[str, str]:
 
 
 def _word(piece: str, side: int) -> str:
-    """SQL of the word at the end (-1) or start (1) of a piece beside a match: letters only, lower case."""
+    """SQL of the words (-2, -1: the last ones; 1, 2: the first ones) of a piece beside a match: letters and the blank
+    between them only, lower case."""
     plain = rf"translate({piece}, '\t\n\r', '   ')"
-    return rf"lower(regexp_replace(substring_index(trim({plain}), ' ', {side}), r'[^\p{{L}}]', ''))"
+    return rf"trim(lower(regexp_replace(substring_index(trim({plain}), ' ', {side}), r'[^\p{{L}} ]', '')))"
+
+
+def _shape(value: Column) -> Column:
+    """Letters as ``a``, digits as ``9``, other characters as they are."""
+    return F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[0-9]", "9")
 
 
 def _with_words(found: str, kind: str, place: int) -> str:
     return (f"transform({found}, s -> named_struct('from', s.from, 'place', {place}, 'to', s.to, 'kind', {kind}, 'value', s.value, "
-            f"'left', {_word('s.before', -1)}, 'right', {_word('s.after', 1)}))")
+            f"'left', {_word('s.before', -1)}, 'right', {_word('s.after', 1)}, 'left2', {_word('s.before', -2)}, 'right2', {_word('s.after', 2)}))")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,9 +80,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _edges(found: DataFrame) -> DataFrame:
     """Distinct ``(pattern, value, kind)``; kind is null for tokens that no base pattern matched."""
-    one = found.select(F.explode(F.concat(*KINDS, "token")).alias("s")).select("s.kind", F.lower("s.value").alias("value"), "s.left", "s.right").distinct()
-    patterns = F.array(F.when(F.col("left") != "", F.concat(F.lit("<"), "left")), F.when(F.col("right") != "", F.concat(F.lit(">"), "right")),
-                       F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("="), "left", F.lit(" "), "right")))
+    sides = ("left", "right", "left2", "right2")
+    one = found.select(F.explode(F.concat(*KINDS, "token")).alias("s")).select("s.kind", F.lower("s.value").alias("value"), *[f"s.{c}" for c in sides]).distinct()
+    shape, prefix = _shape(F.col("value")), F.regexp_extract("value", "^[^0-9]+", 0)
+    has = {c: F.col(c) != "" for c in ("left", "right")} | {c: F.contains(c, F.lit(" ")) for c in ("left2", "right2")}
+
+    def pattern(mark: str, test: Column, *parts: str | Column) -> Column:
+        return F.when(test, F.concat_ws(" ", F.lit(mark), *parts))
+    patterns = F.array(pattern("<", has["left"], "left"), pattern(">", has["right"], "right"), pattern("=", has["left"] & has["right"], "left", "right"),
+                       pattern("<<", has["left2"], "left2"), pattern(">>", has["right2"], "right2"), pattern("#", F.lit(True), shape),
+                       pattern("^", prefix != "", prefix), pattern("#<", has["left"], shape, "left"))
     return one.select(F.explode(F.array_compact(patterns)).alias("pattern"), "value", "kind").distinct()
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
-from candlewick.llm import langid, pii, secrets
+from candlewick.llm import common, langid, pii, secrets
 
 CHARS = st.text(st.sampled_from("aZ09@.-+ %_()=:'\"\nAKIA4f token"), max_size=40)
 
@@ -140,3 +140,19 @@ def test_planted_random_strings_and_plain_numbers(spark):
     found = {r["doc_id"] for r in out if r["found"]}
     assert sum(10_000 <= d < 20_000 for d in found) >= 0.9 * len(some) and not any(d >= 20_000 for d in found)
     assert sum(d < 10_000 for d in found) <= 0.002 * docs.count()
+
+
+def test_later_rounds_find_identifiers_in_other_contexts(spark):
+    """Contexts of seeds find client numbers in round 1; their prefix finds the same numbers elsewhere in the next."""
+    contexts = ["{} wrote to us again", "please answer {} today", "the account of {} is closed"]
+    seeds = [contexts[i % 3].format(f"user{i}@mail.example.com") for i in range(300)]
+    known = [contexts[i % 3].format(f"CU-{48000 + 7 * i}") for i in range(30)]
+    unseen = ["a note without any context CU-77123", "order 4711-9 left the house", "CU-90210 stood alone"]
+    df = spark.createDataFrame(list(enumerate([*seeds, *known, *unseen])), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan_private(df).collect()}
+    first = 300 + len(known)
+    assert all("email_context" in got[d] for d in range(300, first))
+    assert got[first].startswith("email_context:27:") and got[first + 1] == "" and got[first + 2] == "email_context:0:8"
+    edges = common.staged(pii._edges(pii.scan(df)), "edges")
+    values = [pii.bootstrap(edges, rounds=k).where("value IN ('cu-77123', 'cu-90210')").count() for k in (1, 2)]
+    assert values == [0, 2]
