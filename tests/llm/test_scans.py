@@ -156,3 +156,34 @@ def test_later_rounds_find_identifiers_in_other_contexts(spark):
     edges = common.staged(pii._edges(pii.scan(df)), "edges")
     values = [pii.bootstrap(edges, rounds=k).where("value IN ('cu-77123', 'cu-90210')").count() for k in (1, 2)]
     assert values == [0, 2]
+
+
+def test_language_query_against_brute_force(spark):
+    """Every document of the given table: plain compression with each dictionary, the smallest sum wins."""
+    import zlib
+
+    import zstandard as z
+
+    from candlewick.llm.queries import op6_language
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    content = langid.dictionaries(docs.where(~langid.held_out()))
+    assert set(content) == {r["lang"] for r in docs.collect() if r["lang"] is not None and r["text"] is not None and fold(r["doc_id"])}
+    truth, got = {}, {r["doc_id"]: r for r in op6_language(spark, sf).collect()}
+    for r in docs.collect():
+        truth[r["doc_id"]] = r["lang"]
+        text, own = r["text"] or "", got[r["doc_id"]]
+        assert own["held_out"] == (fold(r["doc_id"]) == 0)
+        if not any(map(str.isalpha, text)):
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        sums = {}
+        for lang, raw in content.items():
+            packer = z.ZstdCompressor(level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+                                      dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT))
+            sums[lang] = sum(len(packer.compress(text[i:i + langid.BLOCK].encode())) for i in range(0, len(text), langid.BLOCK))
+        first, second = sorted((v, k) for k, v in sums.items())[:2]
+        assert own["lang_pred"] == first[1] and abs(own["score"] - (1 - first[0] / second[0])) < 1e-12
+    held = [d for d, r in got.items() if r["held_out"] and truth[d] is not None]
+    assert sum(got[d]["lang_pred"] == truth[d] for d in held) >= 0.9 * len(held)
