@@ -8,8 +8,8 @@ from uuid import uuid4
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import timefns as D
-from ..operators import dedupe as DD, grid as G, selection as SE, sentiment as S, stats as ST
+from ..functions import scalars as M, timefns as D
+from ..operators import dedupe as DD, grid as G, lookback as LB, selection as SE, sentiment as S, stats as ST
 from ..session import staged, work_dir
 from ..sources import readers as RD, schemas as SC, writers as WR
 from ..streaming import streams as STR
@@ -253,7 +253,6 @@ n AS (SELECT series_id, a, count(*) AS n FROM c GROUP BY 1, 2)""") + """
 SELECT series_id, arg_max(a, n * 10 - a)::INTEGER AS label, sum(n)::BIGINT AS n, round(max(n) / sum(n), 6) AS accuracy FROM n GROUP BY 1""")
 def constant_class(spark, sf):
     """The most frequent direction of each series as its only forecast."""
-    from ..functions import scalars as M
     from ..operators import metrics as ME, rolling as R
     w = R.Blocked(T.dense_bars(spark, sf).select(*KEY, "ds", "y"), KEY, "ds", ahead=24)
     w.add(a=M.signal_label(R.forward_return(w, "y", 24)))
@@ -290,3 +289,37 @@ SELECT ia, ib, round(1e6 * coalesce(k, 0) / (n * 2 * pi() * sqrt(vaa * vbb - vab
 def kde_2d_binned(spark, sf):
     out = ST.kde_2d_binned(T.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 64)
     return rounded(out.withColumn("density", F.col("density") * 1e6), ["density"], 5)
+
+
+# -- look-back with the squared quantile in the weights --------------------------------------------------------------
+
+_WEIGHED = "(1 + (p.score > q[1])::INT + (p.score > q[2])::INT + (p.score > q[3])::INT + (p.score > q[4])::INT)"
+
+
+def _lookback_weighed_sql(windows, cols, weight: str) -> str:
+    """The range join of ``O.lookback_sql`` with another weight."""
+    edges = "\nquantiles AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM posts),\nends AS ("
+    sql = O.lookback_sql(windows, cols).replace("p.relevancy_score * ln(p.num_comments + 1) AS wt", f"{weight} AS wt")
+    return sql.replace("\nends AS (", edges).replace(f"INTERVAL {max(windows)} HOUR),", f"INTERVAL {max(windows)} HOUR, quantiles),")
+
+
+def _weighed_posts(spark, sf):
+    p = T.sentiment_posts(spark, sf)
+    return staged(ST.quantile_bucket(p, "score"), "weighed")
+
+
+@register("lookback_panel_weighed", _lookback_weighed_sql(LB.WINDOWS, ["sentiment_positive"], f"power({_WEIGHED}, 2) * p.relevancy_score * ln(p.num_comments + 1)"))
+def lookback_panel_weighed(spark, sf):
+    bars = T.bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    w = M.post_weight("score_quantile", "relevancy_score", "num_comments")
+    out = LB.lookback_panel(bars, _weighed_posts(spark, sf), ["sentiment_positive"], weight=w)
+    return rounded(out, [c for c in out.columns if "_w" in c])
+
+
+@register("lookback_two_weeks_weighed", _lookback_weighed_sql((336,), ["sentiment_positive"], f"power({_WEIGHED}, 2)").replace(
+    "SELECT b.series_id, b.y AS close_price, a.*",
+    "SELECT b.series_id, a.ds, b.y AS close_price, a.sentiment_positive_rolling_w336, a.sentiment_positive_rolling_wgt_w336"))
+def lookback_two_weeks_weighed(spark, sf):
+    bars = T.bars(spark, sf).select(*KEY, "ds", F.col("y").alias("close_price"))
+    out = LB.lookback_panel(bars, _weighed_posts(spark, sf), ["sentiment_positive"], (336,), weight=M.post_weight("score_quantile"), weighted_only=True)
+    return rounded(out, [c for c in out.columns if "_w" in c])
