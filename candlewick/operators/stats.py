@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
 from .single import row_of, sent, small_rows, small_side, with_row
 
 # Value ranges per cut, and the rows a range may hold before it is cut again.
@@ -216,8 +217,12 @@ def kde_2d_binned(df: DataFrame, a: str, b: str, points: int = 64) -> DataFrame:
 
 
 def kde_2d(df: DataFrame, a: str, b: str, points: int = 12) -> DataFrame:
-    """Joint Gaussian kernel density with the full data covariance, on a points x points grid."""
-    v = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).dropna()
+    """Joint Gaussian kernel density with the full data covariance, on a points x points grid.
+
+    The two values of every row are written once: spread and kernel read them, and the test for missing
+    ones doesn't repeat what computes them.
+    """
+    v = staged(df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")), "pairs").dropna()
     factor = F.pow(F.count(F.lit(1)).cast("double"), F.lit(-1.0 / 3.0))
     s = v.agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("_a").alias("alo"), F.max("_a").alias("ahi"),
               F.min("_b").alias("blo"), F.max("_b").alias("bhi"),
