@@ -416,7 +416,8 @@ SELECT id, CASE WHEN s IS NULL THEN 'to_score' ELSE 'reused' END AS part, round(
 def score_reuse_split(spark, sf):
     scores = T.scored(spark, sf).select("id", F.col("sentiment_labels").alias("his_sentiment_labels"),
                                         F.col("sentiment_scores").alias("his_sentiment_scores"))
-    memo = T.relevance_memo(spark, sf).select("id", "self_text_md5").join(scores, "id")
+    # Both parts look it up; the test for a remembered score meets stored scores, not the scoring.
+    memo = staged(T.relevance_memo(spark, sf).select("id", "self_text_md5").join(scores, "id"), "memo")
     posts = T.posts(spark, sf).select("id", "self_text_md5")
     done, todo = DD.reuse_scores(posts, memo, ["sentiment_labels", "sentiment_scores"])
     both = done.withColumn("part", F.lit("reused")).unionByName(todo.withColumn("part", F.lit("to_score")))

@@ -36,3 +36,42 @@ def test_kde_2d_computes_its_input_once(spark):
     df = spark.createDataFrame(rows, "x double, b double").select(counted("x").alias("a"), "b")
     assert len(ST.kde_2d(df, "a", "b", 4).collect()) == 16
     assert seen.value == 21
+
+
+DOCS = [(1, "the and of was"), (2, "la la que\nthe  with"), (3, ""), (4, "die und der"), (5, "https://a.b"), (6, "to is in!")]
+LABELS = [(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1), (5, 0, 0)]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("small"))
+    spark.createDataFrame([(i, t, "xx", f"src{i}", len(t)) for i, t in DOCS], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{root}/labels.parquet")
+    return root
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["score_reuse_split"])
+def test_scoring_is_not_repeated_by_tests_for_missing_scores(spark, small, monkeypatch, name):
+    import oracle_compare as OC
+    from __spark_entry__ import oracle_sql, queries
+    from candlewick.plans import catalogue, connectors
+    from candlewick.session import staged
+    plans = []
+
+    def noted(df, label):
+        plans.append(plan(df))
+        return staged(df, label)
+
+    monkeypatch.setattr(catalogue, "staged", noted, raising=False)
+    monkeypatch.setattr(connectors, "staged", noted)
+    out = queries()[name](spark, small)
+    plans.append(plan(out))
+    assert sum(p.count("http\\S+") for p in plans) == 1
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet/*.parquet'")
+    assert OC.difference(out.toPandas(), con.execute(oracle_sql()[name]).df()) is None
