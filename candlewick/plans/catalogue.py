@@ -432,7 +432,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetch_datetime
            FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh))""")
     + "SELECT id, self_text_md5, fetch_datetime, round(p, 6) AS p FROM ranked WHERE rn = 1")
 def score_memo_upsert(spark, sf):
-    wide = T.scored_wide(spark, sf)
+    # Memo and batch hold the same scores: written once, so that the test for missing ones doesn't repeat the scoring.
+    wide = staged(T.scored_wide(spark, sf).select("id", "self_text_md5", "created_at", "sentiment_positive"), "scored")
     fresh = wide.select("id", "self_text_md5", F.col("created_at").alias("fetch_datetime"), F.col("sentiment_positive").alias("p"))
     old = (T.relevance_memo(spark, sf).drop("is_relevant")
            .join(wide.select("id", (F.col("sentiment_positive") + 1).alias("p")), "id"))
