@@ -164,8 +164,8 @@ def scored_table_upsert(spark, sf):
     """The scored table with its nested scores: missing at first, then written, then upserted by a newer load."""
     root = folder(spark, "scored")
     s = T.scored(spark, sf).select("id", "self_text_md5", F.col("created_at").alias("fetch_datetime"), F.col("sentiment_labels").alias("his_sentiment_labels"),
-                                   F.col("sentiment_scores").alias("his_sentiment_scores")).dropna(subset=["his_sentiment_scores"])
-    s = staged(s, "scored")
+                                   F.col("sentiment_scores").alias("his_sentiment_scores"))
+    s = staged(s, "scored").dropna(subset=["his_sentiment_scores"])  # before the write the test would repeat the scoring
     schema = SC.T.StructType([SC.SCORE_MEMO[c] for c in s.columns])
     old = s.where("CAST(id AS LONG) % 2 = 0").withColumns({"fetch_datetime": F.col("fetch_datetime") - F.expr("INTERVAL 1 DAY"), "self_text_md5": F.lit("old")})
     for load in (old, s):

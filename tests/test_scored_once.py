@@ -54,7 +54,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["score_reuse_split", "score_memo_upsert"])
+@pytest.mark.parametrize("name", ["score_reuse_split", "score_memo_upsert", "scored_table_upsert"])
 def test_scoring_is_not_repeated_by_tests_for_missing_scores(spark, small, monkeypatch, name):
     import oracle_compare as OC
     from __spark_entry__ import oracle_sql, queries
