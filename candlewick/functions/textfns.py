@@ -108,6 +108,17 @@ def tokens(c: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(_c(c)), r"\s+"), "")
 
 
+def token_counts(words: Column) -> Column:
+    """Structs (token, n) of the distinct words of an array, counted in the row: equal ones are next to each other once sorted."""
+    def starts(s: Column) -> Column:
+        return F.array_compact(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)))
+
+    def runs(s: Column) -> Column:
+        return bind(starts(s), lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n"))))
+    return bind(F.sort_array(words), runs)
+
+
 def softmax(scores: Column) -> Column:
     """Softmax of an array of doubles."""
     shifted = bind(scores, lambda s: bind(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))

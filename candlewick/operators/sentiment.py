@@ -82,12 +82,15 @@ def learn_weights(labelled: DataFrame, text: str, label: str, prior: float = 10.
 def score_with_weights(df: DataFrame, id_col: str, text: str, weights: DataFrame) -> DataFrame:
     """``id, n_tokens, logit, score``: mean weight of a text's tokens and its logistic.
 
-    One tokenisation for all labels; equal tokens of a row are counted before they meet the token
-    table, and what is shuffled are token counts, never texts. Tokens without a weight count 0.
+    One tokenisation for all labels; equal tokens are counted inside their row, and what is shuffled
+    are token counts, never texts: once to meet the token table and once to the sums per id. The table
+    grows with the texts and is never broadcast. Tokens without a weight count 0.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.explode_outer(X.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-    counts = rows.groupBy("id", "token").agg(F.count("token").alias("n"))
-    joined = counts.join(weights.select("token", "weight"), "token", "left")
+    texts = df.select(F.col(id_col).alias("id"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    # A text without words keeps a row with no token, each under its own key: null tokens would meet in one task.
+    none = F.array(F.struct(F.concat(F.lit(" "), F.xxhash64("id").cast("string")).alias("token"), F.lit(0).cast("long").alias("n")))
+    rows = texts.select("id", F.inline(F.when(F.size("_words") > 0, X.token_counts(F.col("_words"))).otherwise(none)))
+    joined = rows.join(weights.select("token", "weight").hint("shuffle_hash"), "token", "left")
     out = joined.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("_sum"))
     logit = F.coalesce(F.try_divide(F.col("_sum"), F.col("n_tokens")), F.lit(0.0))
     return out.select("id", "n_tokens", logit.alias("logit"), (1.0 / (1.0 + F.exp(-logit))).alias("score"))

@@ -191,7 +191,9 @@ def _clean_documents(spark, sf):
 
 def _learned(spark, sf):
     labels = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
-    return S.learn_weights(_clean_documents(spark, sf).join(labels, "id"), "clean_text", "quality")
+    # Joined first: only labelled texts are cleaned.
+    posts = T.posts(spark, sf).select("id", "title", "body").join(labels, "id")
+    return S.learn_weights(T.with_text(posts), "clean_text", "quality")
 
 
 @register("learned_weights", O._with(O.CLEAN, O.TOKENS.strip().lstrip(","), _LEARNED) + "SELECT token, n_1, n_0, round(weight, 6) AS weight FROM learned")

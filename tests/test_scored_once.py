@@ -1,13 +1,14 @@
 """Scores are computed once per text, whatever reads or filters them later."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions import textfns as X
-from candlewick.operators import stats as ST
+from candlewick.operators import sentiment as S, stats as ST
 
 
 def test_other_characters_are_all_but_the_kept_ones():
@@ -75,3 +76,28 @@ def test_scoring_is_not_repeated_by_tests_for_missing_scores(spark, small, monke
     for t in ("documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet/*.parquet'")
     assert OC.difference(out.toPandas(), con.execute(oracle_sql()[name]).df()) is None
+
+
+def test_token_counts(spark):
+    texts = ["b a b  b c", "", "one", "ß é ß z z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.token_counts(X.tokens("t")).alias("c")).collect():
+        assert {c["token"]: c["n"] for c in r["c"]} == dict(Counter(r["t"].split()))
+
+
+def test_learned_scores_shuffle_counts_once_and_broadcast_no_weights(spark):
+    """Repeated and missing ids, texts without words and tokens without weight."""
+    df = spark.createDataFrame([("1", "a a b"), ("1", "a x"), (None, "b"), ("2", ""), (None, None), ("3", "x")], "id string, t string")
+    weights = spark.createDataFrame([("a", 0.5), ("b", -1.0)], "token string, weight double")
+    out = S.score_with_weights(df, "id", "t", weights)
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in physical and not re.search(r"hashpartitioning\(id#\d+, token", physical)
+    got = {r["id"]: (r["n_tokens"], r["logit"]) for r in out.collect()}
+    assert got == {"1": (5, pytest.approx(0.1)), None: (1, -1.0), "2": (0, 0.0), "3": (1, 0.0)}
+
+
+def test_learned_weights_clean_only_labelled_texts(spark, small):
+    from candlewick.plans import connectors
+    optimized = plan(connectors._learned(spark, small))
+    words = optimized[:optimized.index("Join Inner")]
+    assert "http\\S+" in words
