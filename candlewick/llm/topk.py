@@ -245,8 +245,9 @@ def scored(vectors: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_i
     group = F.pmod(F.xxhash64("pack"), F.lit(groups))
     asked = staged(queries_of(packed, every, Sample(packed, rows, sample), k), "queries")
     every_pack = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    # The query packs are repeated, but their estimate is that of one copy: without a hint they are broadcast through the driver.
     # Few rows with large bodies: the number of tasks is given.
-    pairs = every_pack.join(packed.withColumn("g", group), "g").drop("g").repartition(max(vectors.sparkSession.sparkContext.defaultParallelism, groups), "pack", "qp")
+    pairs = every_pack.hint("merge").join(packed.withColumn("g", group), "g").drop("g").repartition(max(vectors.sparkSession.sparkContext.defaultParallelism, groups), "pack", "qp")
 
     def run(batches):
         for b in batches:

@@ -186,6 +186,16 @@ def test_top_k_is_exact(spark, block, size):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_repeated_query_packs_are_not_broadcast(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    found = topk.scored(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), size=16, block=4)
+    assert found.where("q_at IS NULL").count() >= 25  # packs
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     x = np.sort(rng.integers(0, 1000, 4096))[:, None] * np.ones((1, 4), dtype=np.int64)
